@@ -66,11 +66,12 @@ def verify_signature(body: Column, signature: Column, secret: Column) -> Column:
     return F.coalesce(sign_payload(body, secret) == signature, F.lit(False))
 
 
-def canonical_json(drop: tuple[str, ...] = ()):
+def canonical_json(drop: tuple[str, ...] = (), parse: tuple[str, ...] = ()):
     """UDF: JSON text to sorted, ASCII-escaped JSON with Python's separators.
 
-    ``to_json`` writes other separators and no escapes, so digests of records
-    that another system sealed can only be recomputed from this form.
+    ``to_json`` writes other separators and no escapes, so the form in which
+    records are sealed comes from here. ``drop`` leaves out top-level keys,
+    ``parse`` names keys that hold JSON as text.
     """
 
     def canonical(texts: pd.Series) -> pd.Series:
@@ -78,8 +79,11 @@ def canonical_json(drop: tuple[str, ...] = ()):
             if text is None:
                 return None
             obj = json.loads(text)
-            if drop and isinstance(obj, dict):
+            if isinstance(obj, dict):
                 obj = {k: v for k, v in obj.items() if k not in drop}
+                for k in parse:
+                    if isinstance(obj.get(k), str):
+                        obj[k] = json.loads(obj[k])
             return json.dumps(obj, sort_keys=True, ensure_ascii=True)
 
         return texts.map(one)

@@ -126,6 +126,8 @@ _TAILS = {
     "guardian": (r"\s,.;:/\\|", 24, None),
 }
 
+_NEAR_END = 400
+
 BLOCK_THRESHOLD = 7.0
 EVIDENCE_CUT, INJECTION_SNIPPET_CUT = 180, 160
 PAYLOAD_LABEL, PAYLOAD_SCORE, PAYLOAD_CANDIDATES = "Encoded Payload Bypass", 4.0, 5
@@ -144,9 +146,10 @@ def _tail_sql(text: str, kind: str) -> str:
     """
     sep, least, symbols = _TAILS[kind]
     breaker = JAVA_FLAGS + rf"(?i)[^\w{sep}]|\b(?![a-z]{{1,3}}\b)\w+"
-    # Only the last breaker matters: look for it in the last part of the text first.
-    tail = f"element_at(split({text}, {quoted(breaker)}, -1), -1)"
-    trimmed = f"regexp_replace({tail}, {quoted(JAVA_FLAGS + '^[' + sep + ']+')}, '')"
+    # Only the last breaker matters, and nearly every text has one near its end.
+    near, whole = (f"split({x}, {quoted(breaker)}, -1)" for x in (f"right({text}, {_NEAR_END})", text))
+    tail = f"CASE WHEN size({near}) > 1 THEN element_at({near}, -1) ELSE element_at({whole}, -1) END"
+    trimmed = f"regexp_replace(({tail}), {quoted(JAVA_FLAGS + '^[' + sep + ']+')}, '')"
     run = f"CASE WHEN regexp_count({trimmed}, {quoted(JAVA_FLAGS + chr(92) + 'w+')}) >= {least} THEN {trimmed} END"
     if symbols is None:
         return run
