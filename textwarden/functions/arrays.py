@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 256
@@ -94,3 +94,16 @@ def cut_text(text: Column, blocks: Column, start: Column, end: Column) -> Column
             F.greatest(end - start, F.lit(0)),
         )
     )
+
+
+def explode_rows(df: DataFrame, keep: tuple, array: Column | str, alias: str, position: str | None = None) -> DataFrame:
+    """One row per item of a computed array.
+
+    A plain ``explode`` lets the optimizer add a filter on the size of the
+    array, which repeats the whole computation below it; the outer form does
+    not, and the rows of empty arrays are dropped afterwards.
+    """
+    if position:
+        rows = df.select(*keep, F.posexplode_outer(array).alias(position, alias))
+        return rows.where(F.col(position).isNotNull())
+    return df.select(*keep, F.explode_outer(array).alias(alias)).where(F.col(alias).isNotNull())

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import cut_text, prefix_sums, scan_fold, text_blocks
+from ..functions.arrays import cut_text, explode_rows, prefix_sums, scan_fold, text_blocks
 from ..functions.patterns import (
     ALL_PATTERNS,
     CLASSIFICATION_PATTERNS,
@@ -291,8 +291,9 @@ def order_findings(findings: Column | str) -> Column:
 
 def findings_long(df: DataFrame, *keys: str, findings: str = "findings", outer: bool = False) -> DataFrame:
     """One row per finding; only the keys travel along, not the text."""
-    explode = F.explode_outer if outer else F.explode
-    return df.select(*keys, explode(findings).alias("f")).select(*keys, "f.*")
+    if outer:
+        return df.select(*keys, F.explode_outer(findings).alias("f")).select(*keys, "f.*")
+    return explode_rows(df, keys, findings, "f").select(*keys, "f.*")
 
 
 def label_counts(counts: Column | str, patterns: Sequence[Pattern] = ALL_PATTERNS) -> Column:
@@ -312,7 +313,7 @@ def label_counts(counts: Column | str, patterns: Sequence[Pattern] = ALL_PATTERN
 def redaction_label_stats(df: DataFrame, counts: str = "counts", patterns: Sequence[Pattern] = ALL_PATTERNS, *by: str) -> DataFrame:
     """Findings per label over a corpus: summed before the shuffle."""
     return (
-        df.select(*by, F.explode(label_counts(counts, patterns)).alias("x"))
+        explode_rows(df, by, label_counts(counts, patterns), "x")
         .groupBy(*by, "x.type", "x.label")
         .agg(F.sum("x.n").alias("n_findings"))
     )
@@ -321,6 +322,6 @@ def redaction_label_stats(df: DataFrame, counts: str = "counts", patterns: Seque
 def pattern_coverage(df: DataFrame, counts: str = "counts", patterns: Sequence[Pattern] = ALL_PATTERNS, required: Sequence[str] = REQUIRED_LABELS) -> DataFrame:
     """Required labels that a corpus never triggers."""
     spark = df.sparkSession
-    detected = df.select(F.explode(label_counts(counts, patterns)).alias("x")).select("x.label").distinct()
+    detected = explode_rows(df, (), label_counts(counts, patterns), "x").select("x.label").distinct()
     needed = spark.createDataFrame([(r,) for r in required], "label string")
     return needed.join(detected, "label", "left_anti")

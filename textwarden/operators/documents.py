@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import cut_text, text_blocks
+from ..functions.arrays import cut_text, explode_rows, text_blocks
 from ..functions.patterns import US_PATTERNS
 from .detect import scan
 from .mask import redact_india, redact_spans, scanner_risk
@@ -30,7 +30,7 @@ def chunk(df: DataFrame, *keep: str, text: str = "text", size: int = CHUNK_SIZE,
     n = F.length("__t")
     starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
     pieces = F.transform(starts, lambda s: cut_text(F.col("__t"), F.col("__b"), s, F.least(s + size, n)))
-    return staged.select(*keep, F.posexplode(pieces).alias("chunk_no", "chunk"))
+    return explode_rows(staged, keep, pieces, "chunk", "chunk_no")
 
 
 def split_separators(text: str, size: int, overlap: int) -> list[str]:
@@ -61,7 +61,7 @@ def chunk_separators(df: DataFrame, *keep: str, text: str = "text", size: int =
         return texts.map(lambda t: split_separators(t or "", size, overlap))
 
     udf = F.pandas_udf(split, "array<string>")
-    return df.select(*keep, F.posexplode(udf(F.col(text))).alias("chunk_no", "chunk"))
+    return explode_rows(df, keep, udf(F.col(text)), "chunk", "chunk_no")
 
 
 def ingest_documents(docs: DataFrame, *keep: str, text: str = "text", embed: bool = True, model=None) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_rows
 from ..functions.patterns import JAVA_FLAGS
 from ..functions.presets import DEFAULT_ENFORCEMENT, DEFAULT_NAME, DEFAULT_THRESHOLD, ENFORCEMENTS, bundled_rules
 from ..schemas import RULE
@@ -162,7 +163,7 @@ def match_table(
     )
     r = rules.select(
         F.coalesce(F.upper("dept"), F.lit(_EVERYWHERE)).alias("__d"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint").alias("__s"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("__s"),
         "entity_types",
         "keywords",
         "risk_threshold",
@@ -236,7 +237,7 @@ def policy_summary(rules: DataFrame) -> DataFrame:
 def rule_hits(df: DataFrame, matched: str = "matched", *by: str) -> DataFrame:
     """How often each rule fires over a corpus."""
     return (
-        df.select(*by, F.explode(matched).alias("r"))
+        explode_rows(df, by, matched, "r")
         .groupBy(*by, "r.rule_ord", "r.name", "r.enforcement")
         .agg(F.count("*").alias("n_hits"))
     )
