@@ -26,10 +26,12 @@ MAX_VECTORS = 20_000  # vectors of the side that is sent to every task
 
 def chunk(df: DataFrame, *keep: str, text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Fixed-stride chunks: ``size`` characters, each starting ``size - overlap`` after the last."""
-    staged = df.where(F.length(text) > 0).select(*keep, F.col(text).alias("__t"), text_blocks(F.col(text)).alias("__b"))
+    # An empty text has no chunk. It is left out here and not by a filter, which
+    # the optimizer would push below the work that made the text.
+    staged = df.select(*keep, F.col(text).alias("__t"), text_blocks(F.col(text)).alias("__b"))
     n = F.length("__t")
     starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    pieces = F.transform(starts, lambda s: cut_text(F.col("__t"), F.col("__b"), s, F.least(s + size, n)))
+    pieces = F.when(n > 0, F.transform(starts, lambda s: cut_text(F.col("__t"), F.col("__b"), s, F.least(s + size, n))))
     return explode_rows(staged, keep, pieces, "chunk", "chunk_no")
 
 
