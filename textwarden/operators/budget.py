@@ -27,27 +27,42 @@ def request_cost(tokens: Column, per_1k: float = COST_PER_1K) -> Column:
     return F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)) / F.lit(1000.0) * F.lit(per_1k)
 
 
-def _groups(batches: Iterable[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
-    """Runs of rows with equal keys from sorted batches, across batch borders."""
+def _whole_groups(batches: Iterable[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted batches cut so that no group of equal keys is split, with the group borders.
+
+    The last group of a batch waits for the next batch, so at most one batch
+    and one group are held.
+    """
     held: list[pd.DataFrame] = []
     last = None
     for pdf in batches:
         if not len(pdf):
             continue
         codes = [pdf[k].to_numpy() for k in keys]
-        change = np.zeros(len(pdf) - 1, dtype=bool)
+        change = np.zeros(len(pdf), dtype=bool)
         for c in codes:
-            change |= c[1:] != c[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1), len(pdf)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            key = tuple(c[lo] for c in codes)
-            if held and key != last:
-                yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
-                held = []
-            held.append(pdf.iloc[lo:hi])
-            last = key
+            change[1:] |= c[1:] != c[:-1]
+        change[0] = last is not None and tuple(c[0] for c in codes) != last
+        starts = np.flatnonzero(change)
+        last = tuple(c[-1] for c in codes)
+        if not len(starts):
+            held.append(pdf)
+            continue
+        cut = starts[-1]
+        done = [*held, pdf.iloc[:cut]] if cut else held
+        held = [pdf.iloc[cut:]]
+        if done:
+            yield _bordered(pd.concat(done, ignore_index=True), keys)
     if held:
-        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        yield _bordered(pd.concat(held, ignore_index=True), keys)
+
+
+def _bordered(pdf: pd.DataFrame, keys: Sequence[str]) -> tuple[pd.DataFrame, np.ndarray]:
+    change = np.zeros(len(pdf), dtype=bool)
+    for k in keys:
+        c = pdf[k].to_numpy()
+        change[1:] |= c[1:] != c[:-1]
+    return pdf, np.concatenate([[0], np.flatnonzero(change), [len(pdf)]])
 
 
 def _next(us: np.ndarray, window: int) -> np.ndarray:
@@ -83,15 +98,17 @@ def window_starts(
     rows = requests.withColumn("__blk", F.floor(F.col(us) / F.lit(block)).cast("bigint"))
 
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
-        for g in _groups(batches, [actor, "__blk"]):
-            cand, ends = _exits(g[us].to_numpy(), window)
-            out.append((g[actor].iloc[0], g["__blk"].iloc[0], cand.tolist(), ends.tolist()))
-            if len(out) >= 1000:
-                yield pd.DataFrame(out, columns=[actor, "__blk", "cand", "ends"])
-                out = []
-        if out:
-            yield pd.DataFrame(out, columns=[actor, "__blk", "cand", "ends"])
+        for pdf, cuts in _whole_groups(batches, [actor, "__blk"]):
+            t = pdf[us].to_numpy()
+            found = [_exits(t[lo:hi], window) for lo, hi in zip(cuts, cuts[1:])]
+            yield pd.DataFrame(
+                {
+                    actor: pdf[actor].iloc[cuts[:-1]].to_numpy(),
+                    "__blk": pdf["__blk"].iloc[cuts[:-1]].to_numpy(),
+                    "cand": [f[0] for f in found],
+                    "ends": [f[1] for f in found],
+                }
+            )
 
     actor_type = requests.schema[actor].dataType.simpleString()
     slim = rows.select(actor, "__blk", us).repartition(actor, "__blk").sortWithinPartitions(actor, "__blk", us)
@@ -117,16 +134,18 @@ def window_starts(
     )
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, [actor, "__blk"]):
-            t = g[us].to_numpy()
-            start, starts, i = int(g["__entry"].iloc[0]), np.empty(len(t), dtype=np.int64), 0
-            while i < len(t):
-                if t[i] > start + window:
-                    start = int(t[i])
-                j = int(np.searchsorted(t, start + window, side="right"))
-                starts[i:j] = start
-                i = j
-            yield g.drop(columns=["__blk", "__entry"]).assign(window_start=starts)
+        for pdf, cuts in _whole_groups(batches, [actor, "__blk"]):
+            t, entry = pdf[us].to_numpy(), pdf["__entry"].to_numpy()
+            starts = np.empty(len(t), dtype=np.int64)
+            for lo, hi in zip(cuts, cuts[1:]):
+                start, i = int(entry[lo]), lo
+                while i < hi:
+                    if t[i] > start + window:
+                        start = int(t[i])
+                    j = i + int(np.searchsorted(t[i:hi], start + window, side="right"))
+                    starts[i:j] = start
+                    i = j
+            yield pdf.drop(columns=["__blk", "__entry"]).assign(window_start=starts)
 
     schema = requests.select("*", F.lit(0).cast("bigint").alias("window_start")).schema
     joined = rows.join(entries, [actor, "__blk"]).repartition(actor, "__blk").sortWithinPartitions(actor, "__blk", us)
@@ -164,8 +183,11 @@ def rate_cost_decisions(
     schema = marked.select("*", F.lit("").alias("decision")).schema
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, [actor, "window_start"]):
-            yield g.assign(decision=_decide(g["cost"].to_numpy(), max_requests, max_cost))
+        for pdf, cuts in _whole_groups(batches, [actor, "window_start"]):
+            costs, out = pdf["cost"].to_numpy(), []
+            for lo, hi in zip(cuts, cuts[1:]):
+                out += _decide(costs[lo:hi], max_requests, max_cost)
+            yield pdf.assign(decision=out)
 
     ordered = marked.repartition(actor, "window_start").sortWithinPartitions(actor, "window_start", "us", tie)
     return ordered.mapInPandas(decide, schema).withColumn("allowed", F.col("decision") == OK)
