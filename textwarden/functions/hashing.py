@@ -36,10 +36,9 @@ def ledger_actor_hash(tenant: Column, user: Column, role: Column) -> Column:
     return sha256(F.concat_ws(":", tenant, user, role))
 
 
-def hmac_sha256(body: Column, secret: Column) -> Column:
-    """Hex HMAC-SHA256 built from two native digests, for a secret per row."""
-    raw = F.hex(secret.cast("binary"))
-    key = F.when(F.octet_length(secret) > HMAC_BLOCK, F.upper(sha256(secret))).otherwise(raw)
+def hmac_pads(secret: Column) -> Column:
+    """Inner and outer key block of a secret; worth computing once per secret."""
+    key = F.when(F.octet_length(secret) > HMAC_BLOCK, F.upper(sha256(secret))).otherwise(F.hex(secret.cast("binary")))
     padded = F.rpad(key, 2 * HMAC_BLOCK, "0")
 
     def pad(mask: int) -> Column:
@@ -54,12 +53,17 @@ def hmac_sha256(body: Column, secret: Column) -> Column:
             )
         )
 
-    inner = F.unhex(F.sha2(F.concat(pad(0x36), body.cast("binary")), 256))
-    return F.sha2(F.concat(pad(0x5C), inner), 256)
+    return F.struct(pad(0x36).alias("inner"), pad(0x5C).alias("outer"))
 
 
-def sign_payload(body: Column, secret: Column) -> Column:
-    return F.concat(F.lit("sha256="), hmac_sha256(body, secret))
+def hmac_sha256(body: Column, pads: Column) -> Column:
+    """Hex HMAC-SHA256 from two native digests."""
+    inner = F.unhex(F.sha2(F.concat(pads["inner"], body.cast("binary")), 256))
+    return F.sha2(F.concat(pads["outer"], inner), 256)
+
+
+def sign_payload(body: Column, secret: Column, pads: Column | None = None) -> Column:
+    return F.concat(F.lit("sha256="), hmac_sha256(body, hmac_pads(secret) if pads is None else pads))
 
 
 def verify_signature(body: Column, signature: Column, secret: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -45,34 +44,39 @@ def _digests(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return heads, signs
 
 
-def embed_batch(word_lists: pa.Array, dims: int = DIMS) -> np.ndarray:
-    """L2-normalised matrix of one Arrow batch of word lists.
-
-    Pairs are built by Arrow kernels; the digest runs once per distinct token
-    of the batch and the sums are one ``bincount``.
-    """
-    n = len(word_lists)
+def encode_tokens(word_lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and dictionary code of every word and adjacent pair, and the dictionary."""
     if isinstance(word_lists, pa.ChunkedArray):
         word_lists = word_lists.combine_chunks()
     rows = pc.list_parent_indices(word_lists).to_numpy(zero_copy_only=False)
-    flat = pc.list_flatten(word_lists)
+    flat = pc.list_flatten(word_lists).cast(pa.large_string())
     if len(flat) == 0:
-        return np.zeros((n, dims))
-    flat = flat.cast(pa.large_string())
+        return rows, rows, flat
     pairs = pc.binary_join_element_wise(flat[:-1], flat[1:], pa.scalar("_", pa.large_string()))
     same = rows[:-1] == rows[1:]
-    tokens = pa.concat_arrays([flat, pairs.filter(pa.array(same))])
-    token_rows = np.concatenate([rows, rows[:-1][same]])
-    coded = tokens.dictionary_encode()
-    heads, signs = _digests(coded.dictionary)
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    cells = token_rows * dims + (heads % dims)[codes]
-    matrix = np.bincount(cells, weights=signs[codes], minlength=n * dims).reshape(n, dims)
+    coded = pa.concat_arrays([flat, pairs.filter(pa.array(same))]).dictionary_encode()
+    return np.concatenate([rows, rows[:-1][same]]), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
+def _matrix(n: int, rows: np.ndarray, codes: np.ndarray, dictionary: pa.Array, dims: int) -> np.ndarray:
+    if not len(codes):
+        return np.zeros((n, dims))
+    heads, signs = _digests(dictionary)
+    matrix = np.bincount(rows * dims + (heads % dims)[codes], weights=signs[codes], minlength=n * dims).reshape(n, dims)
     norms = np.sqrt((matrix**2).sum(axis=1))
     norms[norms == 0] = 1.0
     return matrix / norms[:, None]
 
 
+def embed_batch(word_lists: pa.Array, dims: int = DIMS) -> np.ndarray:
+    """L2-normalised matrix of one Arrow batch of word lists.
+
+    Pairs are built by Arrow kernels; the digest runs once per distinct token
+    of the batch and the sums are one ``bincount``.
+    """
+    return _matrix(len(word_lists), *encode_tokens(word_lists), dims)
+
+
 def hash_embed_udf(dims: int = DIMS):
     """UDF: word list to a dense unit vector."""
 
@@ -85,18 +89,33 @@ def hash_embed_udf(dims: int = DIMS):
     return hash_embed
 
 
-def cosine_udf(vectors: np.ndarray):
-    """UDF: word list to its cosines with a few fixed unit vectors."""
+def concept_udf(vectors: np.ndarray, token_sets: list[list[str]]):
+    """UDF: word list to its cosines with a few fixed unit vectors, followed by
+    the share of each one's tokens that the list contains."""
     table = np.ascontiguousarray(vectors.T)
     k = table.shape[1]
+    names = sorted({t for ts in token_sets for t in ts})
+    wanted = pa.array(names, pa.large_string())
+    member = np.array([[float(t in ts) for ts in token_sets] for t in names])
+    sizes = np.array([len(ts) for ts in token_sets], dtype=float)
 
     @F.arrow_udf("array<double>")
-    def cosines(word_lists: pa.Array) -> pa.Array:
-        scores = embed_batch(word_lists, table.shape[0]) @ table
-        offsets = pa.array(np.arange(0, scores.size + 1, k, dtype=np.int32))
+    def concepts(word_lists: pa.Array) -> pa.Array:
+        n = len(word_lists)
+        rows, codes, dictionary = encode_tokens(word_lists)
+        scores = np.zeros((n, 2 * k))
+        if len(codes):
+            scores[:, :k] = _matrix(n, rows, codes, dictionary, table.shape[0]) @ table
+            # Presence of the few tokens that some vector has, then shares by a small product.
+            slot = pc.index_in(dictionary, wanted).to_numpy(zero_copy_only=False)[codes]
+            hit = ~np.isnan(slot)
+            present = np.zeros((n, len(wanted)))
+            present[rows[hit], slot[hit].astype(np.int64)] = 1.0
+            scores[:, k:] = present @ member / sizes
+        offsets = pa.array(np.arange(0, scores.size + 1, 2 * k, dtype=np.int32))
         return pa.ListArray.from_arrays(offsets, pa.array(scores.ravel()))
 
-    return cosines
+    return concepts
 
 
 def embed_texts(texts: list[str], dims: int = DIMS) -> np.ndarray:
@@ -105,7 +124,3 @@ def embed_texts(texts: list[str], dims: int = DIMS) -> np.ndarray:
 
     lists = [re.findall(_WORD, t.lower()) for t in texts]
     return embed_batch(pa.array(lists, pa.list_(pa.string())), dims)
-
-
-def word_lists_to_pandas(series: pd.Series) -> pa.Array:
-    return pa.array(series.tolist(), pa.list_(pa.string()))

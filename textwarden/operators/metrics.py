@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import sign_payload
+from ..functions.arrays import explode_rows
+from ..functions.hashing import hmac_pads, hmac_sha256
 
 # Fixed values.
 BLOCKING_EVENTS = ("PROMPT_INJECTION_BLOCKED", "SEMANTIC_DLP_BLOCKED", "HIGH_SENSITIVITY_LOCAL_ROUTE", "AUTO_QUARANTINE")
@@ -121,10 +122,15 @@ def route_webhooks(events: DataFrame, hooks: DataFrame, *keep: str, event_type:
 
     The lists of the hooks are exploded, so this is an equality join.
     """
-    h = (
-        hooks.where("active")
-        .select("hook_id", "target_url", "secret", F.coalesce("tenant_id", F.lit("default")).alias("tenant_id"), F.explode(F.array_distinct("event_types")).alias("__type"))
+    # Key blocks are worked out per hook, before the join multiplies the rows.
+    h = hooks.where("active").select(
+        "hook_id",
+        "target_url",
+        F.coalesce("tenant_id", F.lit("default")).alias("tenant_id"),
+        F.array_distinct("event_types").alias("__types"),
+        F.when(F.coalesce("secret", F.lit("")) != "", hmac_pads(F.col("secret"))).alias("__pads"),
     )
+    h = explode_rows(h, ("hook_id", "target_url", "tenant_id", "__pads"), "__types", "__type")
     body = F.to_json(
         F.struct(
             F.col(event_type).alias("sentinel_event"), "tenant_id", F.col("ts").cast("string").alias("timestamp"), "payload"
@@ -132,7 +138,7 @@ def route_webhooks(events: DataFrame, hooks: DataFrame, *keep: str, event_type:
     )
     joined = events.join(h, (events["tenant_id"] == h["tenant_id"]) & (events[event_type] == h["__type"])).drop(h["tenant_id"])
     signed = joined.withColumn("body", body)
-    signature = F.when(F.coalesce("secret", F.lit("")) != "", sign_payload(F.col("body"), F.col("secret")))
+    signature = F.concat(F.lit("sha256="), hmac_sha256(F.col("body"), F.col("__pads")))
     return signed.select(*keep, "hook_id", "target_url", "body", signature.alias("signature"))
 
 

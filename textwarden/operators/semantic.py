@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import SCORE_CAP, SEMANTIC_DLP
-from ..functions.tokens import _WORD, bigrams, cosine_udf, embed_texts, hash_embed_udf, words
+from ..functions.tokens import _WORD, concept_udf, embed_texts, hash_embed_udf, words
 from ..schemas import FINDINGS
 
 # The concepts of each label and the numbers of the score.
@@ -56,30 +56,21 @@ def semantic_scan(
 ) -> DataFrame:
     """Findings per label, best first. No shuffle: texts never leave their row.
 
-    Words are cut natively; one Arrow call per batch gives the cosines with
-    all concepts; the choice of the concept and the token share are native.
+    Words are cut natively; one Arrow call per batch gives the cosines with all
+    concepts and the token shares; the choice of the concept is native.
     """
     flat = [(label, c) for label, cs in concepts.items() for c in cs]
-    cosines = cosine_udf(embed_texts([c for _, c in flat]))
-    staged = df.withColumn("__w", F.coalesce(words(F.col(text)), F.array().cast("array<string>")))
-    staged = staged.withColumn("__cos", cosines(F.col("__w")))
-    # Only tokens that some concept has can add to a share.
-    vocabulary = sorted({t for _, c in flat for t in _concept_tokens(c)})
-    known = F.array_intersect(
-        F.array_union(F.col("__w"), F.when(F.size("__w") > 1, bigrams(F.col("__w"))).otherwise(F.array().cast("array<string>"))),
-        F.array(*[F.lit(v) for v in vocabulary]),
-    )
-    staged = staged.withColumn("__tok", known).drop("__w")
+    both = concept_udf(embed_texts([c for _, c in flat]), [_concept_tokens(c) for _, c in flat])
+    k = len(flat)
+    staged = df.withColumn("__cos", both(F.coalesce(words(F.col(text)), F.array().cast("array<string>"))))
     items, i = [], 0
     for rank, (label, cs) in enumerate(concepts.items()):
         best, concept, boost = F.lit(0.0), F.lit(""), F.lit(0.0)
         for c in cs:
             cos = F.get("__cos", F.lit(i))
-            tokens = _concept_tokens(c)
-            share = F.size(F.array_intersect("__tok", F.array(*[F.lit(t) for t in tokens]))) / F.lit(float(len(tokens)))
             better = cos > best
             concept = F.when(better, c).otherwise(concept)
-            boost = F.when(better, F.least(F.lit(BOOST_CAP), share * BOOST_FACTOR)).otherwise(boost)
+            boost = F.when(better, F.least(F.lit(BOOST_CAP), F.get("__cos", F.lit(k + i)) * BOOST_FACTOR)).otherwise(boost)
             best = F.when(better, cos).otherwise(best)
             i += 1
         score = F.least(F.lit(1.0), F.round(best + boost, 3))
@@ -101,7 +92,7 @@ def semantic_scan(
             F.lit(None).cast("string").alias("dpdp_category"),
         ),
     )
-    return staged.withColumn(out, found.cast(FINDINGS)).drop("__cos", "__tok")
+    return staged.withColumn(out, found.cast(FINDINGS)).drop("__cos")
 
 
 def semantic_sensitivity(findings: Column | str = "semantic_findings") -> Column:
