@@ -126,6 +126,8 @@ def _against_queries(queries: DataFrame, index: DataFrame, qid: str, iid: str, q
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, q = shared.value
+        if not len(query_ids):
+            return
         best = None
         for pdf in batches:
             if not len(pdf):

@@ -64,9 +64,8 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def read_documents(spark: SparkSession, folder: str, glob: str = "*", processed: DataFrame | None = None) -> DataFrame:
     """Whole text files of a drop folder, without temporary, hidden and already processed ones."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", glob)
-        .text(folder)
+        spark.read.option("pathGlobFilter", glob)
+        .text(folder, wholetext=True)
         .select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified_at"), F.col("value").alias("text"))
     )
     files = files.where(~F.endswith("file", F.lit(".tmp")) & ~F.startswith("file", F.lit(".")))
