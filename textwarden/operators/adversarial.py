@@ -126,7 +126,11 @@ _TAILS = {
     "guardian": (r"\s,.;:/\\|", 24, None),
 }
 
+_EIGHT_SYMBOLS = r"[!#@$%^&*_=+\-]{8}"
 _NEAR_END = 400
+# What the last characters of a text must contain for a pattern to match: ten
+# symbols with at most 60 characters and a line end after them.
+_NEEDED_AT_END = {r"(?<![^\w\s])[^\w\s]{10,}+.{0,60}$": (71, r"[^\w\s]{10}")}
 
 BLOCK_THRESHOLD = 7.0
 EVIDENCE_CUT, INJECTION_SNIPPET_CUT = 180, 160
@@ -154,7 +158,8 @@ def _tail_sql(text: str, kind: str) -> str:
     if symbols is None:
         return run
     sym = f"nullif(regexp_extract({text}, {quoted(JAVA_FLAGS + symbols)}, 0), '')"
-    return f"coalesce({sym}, {run})"
+    ends_so = f"right({text}, 9) RLIKE {quoted(_EIGHT_SYMBOLS)}"
+    return f"coalesce(CASE WHEN {ends_so} THEN {sym} END, {run})"
 
 
 def _evidence_sql(text: str, pattern: str, literals: Sequence[str]) -> str:
@@ -162,6 +167,9 @@ def _evidence_sql(text: str, pattern: str, literals: Sequence[str]) -> str:
     if pattern.startswith("TAIL:"):
         return _tail_sql(text, pattern.split(":")[1])
     found = f"nullif(regexp_extract({text}, {quoted(JAVA_FLAGS + pattern)}, 0), '')"
+    if pattern in _NEEDED_AT_END:
+        last, needed = _NEEDED_AT_END[pattern]
+        return f"CASE WHEN right({text}, {last}) RLIKE {quoted(JAVA_FLAGS + needed)} THEN {found} END"
     return f"CASE WHEN {any_literal('__afold', literals)} THEN {found} END" if literals else found
 
 
