@@ -90,11 +90,12 @@ def _matrix(series: pd.Series) -> np.ndarray:
 
 
 def _pairs(qids, ids, scores) -> pd.DataFrame:
-    k = ids.shape[1]
-    return pd.DataFrame({"query_id": np.repeat(qids, k), "item_id": ids.ravel(), "score": scores.ravel()})
+    n, k = ids.shape
+    ranks = np.tile(np.arange(1, k + 1, dtype=np.int32), n)
+    return pd.DataFrame({"query_id": np.repeat(qids, k), "rank": ranks, "item_id": ids.ravel(), "score": scores.ravel()})
 
 
-_PAIR = "query_id bigint, item_id bigint, score double"
+_PAIR = "query_id bigint, rank int, item_id bigint, score double"
 
 
 def _local(df: DataFrame, key: str, vec: str) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +177,7 @@ def similarity_topk(
     names = (query_id, index_id, query_vec, index_vec)
     n_index = index.select(index_id).limit(max_vectors + 1).count()
     if n_index <= max_vectors:
-        return _best(_against_index(queries, index, *names, k), k)
+        return _against_index(queries, index, *names, k)
     if queries.select(query_id).limit(max_vectors + 1).count() <= max_vectors:
         return _best(_against_queries(queries, index, *names, k), k)
     # Both are large: the queries are taken in blocks of a bounded size.

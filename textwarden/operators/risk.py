@@ -27,6 +27,7 @@ PII_TYPES = (PII, INDIA_PII, SECRET)
 
 # Sums of severities are exact decimals, so that their order does not matter.
 _MONEY = "decimal(28,8)"
+SEVERITY_UNITS = 100_000_000
 _FLAGS = {"pii": "is_pii", "inj": "is_injection", "sem": "is_semantic"}
 
 
@@ -87,6 +88,11 @@ def _capped(severity: Column) -> Column:
     return F.least(F.lit(SEVERITY_CAP), severity).cast(_MONEY)
 
 
+def severity_units(severity: Column) -> Column:
+    """The capped severity as a whole number of ``1 / SEVERITY_UNITS``, for sums in state."""
+    return (_capped(severity) * SEVERITY_UNITS).cast("bigint")
+
+
 def _profile_columns(sev: Column, pii: Column, inj: Column, sem: Column) -> dict[str, Column]:
     return {
         "risk_score": risk_score(sev, pii, inj, sem),

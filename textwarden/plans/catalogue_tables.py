@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,10 @@ from ..functions.presets import bundled_rules
 from ..operators import budget, compliance as comp, ledger as led, metrics, risk, shadow
 from ..operators.adversarial import BLOCKED_FRAGMENTS, suspicious_paths as path_checks
 from ..operators.mask import mask_columns
-from ..operators.policy import policy_versions, verify_manifests
+from ..operators.policy import normalize_rules, policy_versions, verify_manifests
+from ..session import checkpoint_dir
 from ..sources.sinks import audit_export as export_rows, upsert_by_key
+from ..streaming.jobs import stream_risk, use_rocksdb
 from . import control_room as rooms
 from .bindings import (
     AS_OF,
@@ -24,6 +27,7 @@ from .bindings import (
     ledger,
     load,
     view,
+    view_sql,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +82,31 @@ def risk_as_of_event(spark, sf):
     )
 
 
+@query(
+    "stream_risk_replay",
+    duck("risk_events", ctes=_WINDOW)
+    + f"SELECT event_id, CAST(pii AS BIGINT) AS pii, CAST(inj AS BIGINT) AS inj, CAST(sem AS BIGINT) AS sem, {_SCORE} AS risk_score, pii > 3 AS quarantined FROM win",
+)
+def stream_risk_replay(spark, sf):
+    """The event table read as a stream; state per actor gives the same profiles."""
+    table = load(spark, sf, "events")
+    use_rocksdb(spark)
+    spark.readStream.schema(table.schema).parquet(f"{sf}/events.parquet*").createOrReplaceTempView("streamed_events")
+    rows = spark.sql(view_sql("risk_events", "spark").replace("FROM events", "FROM streamed_events"))
+    profiles = stream_risk(rows.withColumn("ts", F.timestamp_micros("us")))
+    base = f"{checkpoint_dir(spark)}/stream-risk-{uuid.uuid4().hex}"
+    sink = profiles.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").outputMode("append")
+    sink.trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    return spark.read.schema(profiles.schema).parquet(f"{base}/out").select(
+        "event_id",
+        F.col("pii_attempts_last_hour").alias("pii"),
+        F.col("injection_attempts_last_hour").alias("inj"),
+        F.col("semantic_hits_last_hour").alias("sem"),
+        "risk_score",
+        "quarantined",
+    )
+
+
 @query(
     "quarantine_events",
     duck("risk_events", ctes=_WINDOW)
@@ -456,6 +485,29 @@ def newest_versions(spark, sf):
     return policy_versions(o.select(F.concat(F.lit("bundle_"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("name"), state.alias("approval_state")))
 
 
+@query(
+    "rule_validation",
+    """WITH raw AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS name,
+  CASE c_custkey % 5 WHEN 0 THEN 'warn' WHEN 1 THEN 'redact' WHEN 2 THEN 'block' WHEN 3 THEN 'explode' END AS e,
+  CASE WHEN c_custkey % 11 = 0 THEN 'high' WHEN c_custkey % 13 <> 0 THEN concat(c_custkey % 13, '.5') END AS t FROM customer)
+SELECT c_custkey, coalesce(name, 'unnamed') AS name, CASE WHEN e = 'explode' OR e IS NULL THEN 'redact' ELSE e END AS enforcement,
+  CASE WHEN try_cast(t AS DOUBLE) BETWEEN 0 AND 10 THEN try_cast(t AS DOUBLE) ELSE 5.0 END AS risk_threshold,
+  CASE WHEN name IS NULL THEN 1 ELSE 0 END + CASE WHEN e = 'explode' THEN 1 ELSE 0 END
+    + CASE WHEN t IS NOT NULL AND NOT coalesce(try_cast(t AS DOUBLE) BETWEEN 0 AND 10, FALSE) THEN 1 ELSE 0 END AS n_errors FROM raw""",
+)
+def rule_validation(spark, sf):
+    """Raw rules made from the customer table, good and bad ones."""
+    k = F.col("c_custkey")
+    raw = load(spark, sf, "customer").select(
+        "c_custkey",
+        F.when(k % 7 != 0, F.col("c_name")).alias("name"),
+        F.when(k % 5 == 0, "warn").when(k % 5 == 1, "redact").when(k % 5 == 2, "block").when(k % 5 == 3, "explode").alias("enforcement"),
+        F.when(k % 11 == 0, "high").when(k % 13 != 0, F.concat(k % 13, F.lit(".5"))).alias("risk_threshold"),
+    )
+    checked = normalize_rules(raw)
+    return checked.select("c_custkey", "name", "enforcement", "risk_threshold", F.size("errors").alias("n_errors"))
+
+
 # ---- compliance -----------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from ..functions.hashing import sha256
 from ..functions.patterns import ALL_PATTERNS, INDIA_PATTERNS, REQUIRED_LABELS, SECRET_PATTERNS, US_PATTERNS
 from ..functions.presets import bundled_rules
 from ..functions.tokens import tokenize
-from ..operators import adversarial, detect, documents as docs_ops, mask, policy, semantic
+from ..operators import adversarial, detect, documents as docs_ops, ledger as ledger_ops, mask, policy, risk, semantic
 from ..session import cut
 from . import gateway
 from . import oracle_text as o
@@ -344,6 +344,40 @@ def request_risk(spark, sf):
     return p.select("prompt_id", F.round(risk, 4).alias("risk_score"))
 
 
+_N_PII = f"({o.n_of('SECRET')} + {o.N_INDIA})"
+
+
+@query(
+    "prompt_risk_events",
+    duck("prompts", ctes=", ".join((o.counts_cte("prompts", "prompt_id", "actor, tenant_id"), o.injection_cte("prompts", "prompt_id"))))
+    + f"""SELECT prompt_id, sha256(concat('salt:', tenant_id, ':', actor)) AS actor_hash,
+  CASE WHEN len({o.INJECTION_LABELS}) > 0 THEN 'PROMPT_INJECTION' WHEN {_N_PII} > 0 THEN 'PII_ATTEMPT' ELSE 'POLICY_EVENT' END AS event_type,
+  {_N_PII} > 0 AS is_pii, array_to_string(list_sort(list_distinct(list_concat({o.LABELS}, {o.INJECTION_LABELS}))), ';') AS labels
+FROM cnt JOIN inj USING (prompt_id)""",
+)
+def prompt_risk_events(spark, sf):
+    """One risk event per prompt from its pattern and injection findings."""
+    p = adversarial.scan_injection(detect.scan(view(spark, sf, "prompts")))
+    both = p.withColumns({"findings": detect.union_findings("findings", "injection_findings"), "risk_score": F.lit(1.0)})
+    e = risk.to_risk_events(both, "prompt_id", salt="salt")
+    return e.select("prompt_id", "actor_hash", "event_type", "is_pii", F.array_join("labels", ";").alias("labels"))
+
+
+@query(
+    "llm_request_log",
+    duck("prompts", ctes=o.counts_cte("prompts", "prompt_id", "actor, text, preferred_model, department"))
+    + f"""SELECT prompt_id, 'LLM_GATEWAY_REQUEST' AS action, sha256(concat('default:', actor, ':SERVICE_ACTOR')) AS actor_hash, sha256(text) AS prompt_hash,
+  {o.policy_name()} AS policy_triggered, preferred_model AS model_queried, s AS risk_score
+FROM (SELECT *, {o.SENSITIVITY} AS s, {o.N_ALL} AS n FROM cnt)""",
+)
+def llm_request_log(spark, sf):
+    c = _prompt_counts(spark, sf).withColumn("sensitivity_score", mask.sensitivity_counts("counts"))
+    n = F.aggregate("counts", F.lit(0), lambda a, x: a + x)
+    c = c.withColumn("policy_triggered", mask.govern_policy_name(n, F.col("sensitivity_score"), F.col("department")))
+    log = ledger_ops.llm_request_log(c)
+    return log.select("prompt_id", "action", "actor_hash", "prompt_hash", "policy_triggered", "model_queried", "risk_score")
+
+
 @query("semantic_dlp")
 def semantic_dlp(spark, sf):
     s = semantic.semantic_scan(view(spark, sf, "prompts").select("prompt_id", "text"))

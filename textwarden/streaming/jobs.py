@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.budget import COST, MAX_COST, MAX_REQUESTS, OK, RATE, WINDOW_US, request_cost
-from ..operators.risk import HOUR_US, PII_LIMIT, QUARANTINE_REASON, alerts, heatmap, risk_profile
+from ..operators.risk import (
+    HOUR_US,
+    PII_LIMIT,
+    QUARANTINE_REASON,
+    SEVERITY_UNITS,
+    alerts,
+    heatmap,
+    risk_profile,
+    risk_score,
+    severity_units,
+)
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -42,7 +53,7 @@ class _TrailingHour(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getValueState(
-            "recent", "us array<bigint>, sev array<double>, pii array<bigint>, inj array<bigint>, sem array<bigint>"
+            "recent", "us array<bigint>, sev array<bigint>, pii array<bigint>, inj array<bigint>, sem array<bigint>"
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -58,18 +69,11 @@ class _TrailingHour(StatefulProcessor):
         hi = us.searchsorted(new["us"].to_numpy(), side="right")
         out = {"actor_hash": key[0], "event_id": new["event_id"], "us": new["us"]}
         for n in names[1:]:
-            total = both[n].astype(float).cumsum().to_numpy()
-            padded = pd.Series([0.0, *total]).to_numpy()
-            out[n] = padded[hi] - padded[lo]
-        latest = us.max()
-        kept = both[both["us"] >= latest - self.window_us]
-        self.recent.update(
-            tuple([float(v) if n == "sev" else int(v) for v in kept[n]] for n in names)
-        )
-        res = pd.DataFrame(out)
-        for n in ("pii", "inj", "sem"):
-            res[n] = res[n].round().astype("int64")
-        yield res
+            running = np.concatenate([[0], np.cumsum(both[n].to_numpy(dtype="int64"))])
+            out[n] = running[hi] - running[lo]
+        kept = both[both["us"] >= us.max() - self.window_us]
+        self.recent.update(tuple([int(v) for v in kept[n]] for n in names))
+        yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
@@ -79,7 +83,8 @@ def stream_risk(events: DataFrame, watermark: str = "10 minutes", window_us: int
     """Profile of the actor at each event of a stream, from state of the last hour.
 
     Columns in: ``event_id, actor_hash, ts, severity`` and the three flags.
-    Rows later than the watermark are dropped by the engine's own filter.
+    A batch is sorted per actor before it is added. A row that arrives after
+    newer ones is scored against what the state still holds of its hour.
     """
     num = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("bigint")
     slim = events.withWatermark("ts", watermark).select(
@@ -87,21 +92,21 @@ def stream_risk(events: DataFrame, watermark: str = "10 minutes", window_us: int
         "event_id",
         "ts",
         F.unix_micros("ts").alias("us"),
-        F.least(F.lit(10.0), F.col("severity")).alias("sev"),
+        severity_units(F.col("severity")).alias("sev"),
         num("is_pii").alias("pii"),
         num("is_injection").alias("inj"),
         num("is_semantic").alias("sem"),
     )
-    schema = "actor_hash string, event_id bigint, us bigint, sev double, pii bigint, inj bigint, sem bigint"
+    schema = "actor_hash string, event_id bigint, us bigint, sev bigint, pii bigint, inj bigint, sem bigint"
     state = slim.groupBy("actor_hash").transformWithStateInPandas(
         statefulProcessor=_TrailingHour(window_us), outputStructType=schema, outputMode="Append", timeMode="None"
     )
-    total = F.col("sev") + F.col("pii") * 8 + F.col("inj") * 12 + F.col("sem") * 10 + F.when(F.col("pii") > PII_LIMIT, 25).otherwise(0)
+    exact = F.col("sev").cast("decimal(28,8)") / F.lit(SEVERITY_UNITS)
     return state.select(
         "event_id",
         "actor_hash",
         F.timestamp_micros("us").alias("ts"),
-        F.least(F.lit(100.0), F.round(total, 2)).alias("risk_score"),
+        risk_score(exact.cast("decimal(28,8)"), F.col("pii"), F.col("inj"), F.col("sem")).alias("risk_score"),
         F.col("pii").alias("pii_attempts_last_hour"),
         F.col("inj").alias("injection_attempts_last_hour"),
         F.col("sem").alias("semantic_hits_last_hour"),
