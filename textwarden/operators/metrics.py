@@ -133,7 +133,7 @@ def route_webhooks(events: DataFrame, hooks: DataFrame, *keep: str, event_type:
     h = explode_rows(h, ("hook_id", "target_url", "tenant_id", "__pads"), "__types", "__type")
     body = F.to_json(
         F.struct(
-            F.col(event_type).alias("sentinel_event"), "tenant_id", F.col("ts").cast("string").alias("timestamp"), "payload"
+            F.col(event_type).alias("event_type"), "tenant_id", F.col("ts").cast("string").alias("timestamp"), "payload"
         )
     )
     joined = events.join(h, (events["tenant_id"] == h["tenant_id"]) & (events[event_type] == h["__type"])).drop(h["tenant_id"])

@@ -845,7 +845,7 @@ _PAD = {m: "".join(f"\\x{(b ^ m):02X}" for b in b"s3cret".ljust(64, b"\0")) for
     "webhook_routes",
     duck("ledger_rows", ctes=_HOOKS)
     + f"""SELECT seq, hook_id, sha256(body) AS body_sha, 'sha256=' || sha256('{_PAD[0x5C]}'::BLOB || unhex(sha256('{_PAD[0x36]}'::BLOB || encode(body)))) AS signature FROM (
-  SELECT seq, hook_id, concat('{{"sentinel_event":"', action, '","tenant_id":"', tenant_id, '","timestamp":"', us, '","payload":"', user_id, '"}}') AS body
+  SELECT seq, hook_id, concat('{{"event_type":"', action, '","tenant_id":"', tenant_id, '","timestamp":"', us, '","payload":"', user_id, '"}}') AS body
   FROM ledger_rows JOIN hooks USING (tenant_id) WHERE active AND list_contains(event_types, action))""",
 )
 def webhook_routes(spark, sf):
