@@ -8,10 +8,18 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import ngram_join, packing, tokenids
+from . import decontaminate, host_quality, licenses, ngram_join, packing, shards, tokenids, toxicity, url_rules, warc
 from .common import read
 
 
+def op1_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(read(spark, sf_dir, "documents"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_digest(read(spark, sf_dir, "documents"))
 
@@ -20,12 +28,44 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), 4, Fraction(85, 100)).drop("class_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(read(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_quality.judge(read(spark, sf_dir, "documents"))
+
+
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(read(spark, sf_dir, "pages"))
+
+
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_files, op4_ngram_jaccard_join, op8_best_fit_packing)
+    f.__name__: f
+    for f in (
+        op1_balanced_shards,
+        op2_license_scan,
+        op3_token_files,
+        op4_ngram_jaccard_join,
+        op5_toxicity,
+        op6_benchmark_decontamination,
+        op7_url_filter,
+        op8_best_fit_packing,
+        op9_host_quality,
+        op10_warc_revisits,
+    )
 }
 
 
@@ -37,4 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_benchmark_decontamination": decontaminate.ORACLE,
+        "op7_url_filter": url_rules.ORACLE,
+        "op9_host_quality": host_quality.ORACLE,
+        "op10_warc_revisits": warc.ORACLE,
+    }
