@@ -255,17 +255,16 @@ def fit(rows: list[tuple[int, list[str]]]) -> Machine:
     n = Counter(y for y, _ in bags)
     if not n[0] or not n[1]:
         return nothing_learned()
-    count = {c: Counter(w for y, bag in bags if y == c for w in bag) for c in (0, 1)}
-    rate = {w: (t + 0.1) / n[1] / ((count[0][w] + 0.1) / n[0]) for w, t in count[1].items() if len(w) >= LENGTH}
-    least = min(n[1], max(3, round(0.015 * n[1])))  # fewer would be chance, or copies of one document
-    worth = lambda w: (-count[1][w] * np.log(rate[w]), w)
-    bad = sorted((w for w in rate if rate[w] > 4 and count[1][w] >= least), key=worth)[:WORDS]
+    # A word is telling if it stands almost only in toxic documents, and in more than chance would put it.
+    least = min(n[1], max(3, round(0.015 * n[1])))
+    count = {c: Counter(w for y, bag in bags if y == c for w in bag if len(w) >= LENGTH) for c in (0, 1)}
+    telling = [w for w, t in count[1].items() if t >= least and 9 * count[0][w] <= t and t * n[0] > 4 * n[1] * count[0][w]]
+    bad = sorted(telling, key=lambda w: (-count[1][w], w))[:WORDS]
     hashed = lambda w: (xxhash.xxh3_64_intdigest(w), w)
-    good = sorted((w for w in count[0] if len(w) >= LENGTH and rate.get(w, 0) <= 1.5), key=hashed)[:WORDS]
+    good = sorted((w for w, t in count[0].items() if 2 * count[1][w] * n[0] <= 3 * n[1] * t), key=hashed)[:WORDS]
     if not bad or not good:
         return nothing_learned()
     # Landmarks: telling words that are not too close to one another, and clean words.
-    chosen: list[str] = []
     pool = bad[: 10 * LANDMARKS]
     near = kernel(pool, pool)
     at: list[int] = []
