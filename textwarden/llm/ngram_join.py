@@ -98,14 +98,13 @@ def least_overlap(n: int, similarity: Fraction) -> int:
     return math.ceil(similarity * n)
 
 
-def prefix_of(shingles: np.ndarray, levels: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, int]:
-    """The cheapest prefix of a set and its l."""
+def prefix_of(shingles: np.ndarray, levels: np.ndarray, noise: float, similarity: Fraction) -> tuple[np.ndarray, int]:
+    """The cheapest prefix of a set and its l; ``noise`` is the level that other shingles give a counter."""
     n = len(shingles)
     level = levels[(shingles & np.uint64(len(levels) - 1)).astype(np.int64)]
     base = n - least_overlap(n, similarity)
     longest = min(LONGEST, n - base)
     order = np.lexsort((shingles, level))[: base + longest]
-    noise = float(np.median(levels))  # what other shingles add to a counter
     others = np.maximum(0.0, np.exp2(level[order] / 2) - np.exp2(noise / 2)) * (level[order] > noise + 1)
     upto = np.cumsum(others)
     cost = [upto[base + k - 1] + VERIFY_COST * upto[base + k - 1] / k + base + k for k in range(1, longest + 1)]
@@ -120,12 +119,13 @@ def sketched(docs: DataFrame, levels: np.ndarray, n: int, similarity: Fraction)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = table.value
+        noise = float(np.median(levels))
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = blank_words(text)
                 s = shingle_set(word_hashes(words, len(words)), n)
-                prefix, need = prefix_of(s, levels, similarity) if len(s) and doc is not None else (s[:0], 0)
+                prefix, need = prefix_of(s, levels, noise, similarity) if len(s) and doc is not None else (s[:0], 0)
                 rows.append((doc, len(s), blake2b(s.tobytes(), digest_size=16).digest(), need, prefix.view(np.int64).tolist()))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
