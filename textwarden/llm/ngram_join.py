@@ -7,16 +7,20 @@ cost of its prefix: short prefixes read few lists but let many candidates
 through, long ones demand more common shingles. A pair is a candidate when it
 shares min(l, l') prefix shingles.
 
+Of two documents the smaller is looked up by a shorter prefix, since the pair
+must then share more than its own size alone demands.
+
 The global order is by estimated frequency, rare first. Estimates come from
 counters over all shingles of all documents (a fixed table of ``COUNTERS``,
 its size does not grow with the data); they steer cost only, any order gives
 the same result.
 
-Large groups do not become all pairs. Equal sets are one class. Each class is
-first compared with one other class of its lists (a star, linear in the rows);
-verified stars are merged into components, and only lists that still hold
-several components yield pairs, between different components. Links inside a
-component cannot change it, so the components are those of all links.
+Large groups do not become all pairs. Equal sets are one class. In ``STARS``
+rounds each class is compared with one other class, the centre of most of its
+lists (linear in the rows); verified links are merged into components. Only
+lists that then still hold several components yield pairs, and only between
+different components. Links inside a component cannot change it, so the
+components are those of all links.
 
 Defined results: words end at blanks, tabs and line ends; fewer words than n
 are one shingle; no words, null or "" give an empty set, linked with nothing;
@@ -35,7 +39,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, stored
@@ -47,6 +51,8 @@ CHUNKS = 64
 #: Longest extension of a prefix, and what verifying a candidate costs in list entries.
 LONGEST = 5
 VERIFY_COST = 50.0
+#: Rounds of comparisons with centres before the remaining pairs are listed.
+STARS = 3
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -161,11 +167,50 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, similarity: Fraction) ->
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _sizes_fit(x: str, y: str, similarity: Fraction):
+def _sizes_fit(x: str, y: str, similarity: Fraction) -> Column:
     num, den = similarity.numerator, similarity.denominator
     return (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
 
 
+def _placed(listed: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Adds ``c``, the component so far."""
+    if groups is None:
+        return listed.withColumn("c", F.col("doc_id"))
+    return listed.join(groups, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component")
+
+
+def _star_pairs(placed: DataFrame, rank: Column, similarity: Fraction) -> DataFrame:
+    """For each class the centre, of another component, of most of its lists."""
+    centres = placed.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "doc_id", "c", "size")).alias("top"))
+    return (
+        placed.join(centres, "token")
+        .select("doc_id", "size", "c", F.col("top.doc_id").alias("b"), F.col("top.c").alias("bc"), F.col("top.size").alias("bs"))
+        .where((F.col("c") != F.col("bc")) & _sizes_fit("size", "bs", similarity))
+        .groupBy("doc_id", "b")
+        .agg(F.count(F.lit(1)).alias("k"))
+        .groupBy("doc_id")
+        .agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+        .select(F.col("doc_id").alias("a"), "b")
+    )
+
+
+def _remaining_pairs(placed: DataFrame, similarity: Fraction) -> DataFrame:
+    """Pairs of different components that share enough of their prefixes; a is the larger set."""
+    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+    lists = stored(placed.join(mixed, "token", "left_semi").select("token", "doc_id", "size", "need", "indexed", "c"))
+    x = lists.select("token", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "size", "need", "c")])
+    y = lists.where("indexed").select("token", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "size", "need", "c")])
+    smaller = (F.col("y_size") < F.col("x_size")) | ((F.col("y_size") == F.col("x_size")) & (F.col("y_doc_id") < F.col("x_doc_id")))
+    return (
+        x.join(y, "token")
+        .where(smaller & (F.col("x_c") != F.col("y_c")) & _sizes_fit("x_size", "y_size", similarity))
+        .groupBy("x_doc_id", "y_doc_id")
+        .agg(F.count(F.lit(1)).alias("k"), F.min(F.least("x_need", "y_need")).alias("need"))
+        .where("k >= need")
+        .select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b"))
+    )
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id of every row."""
     docs = _slim(docs)
@@ -174,43 +219,28 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction = Fract
         rows.where("size > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     )
     known = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    entries = stored(
+    # Of two sets the smaller, y, shares at least 2 s / (1 + s) of its own size.
+    num, den = 2 * similarity.numerator, similarity.numerator + similarity.denominator
+    index_length = F.col("size") - F.ceil(F.col("size") * num / den - F.lit(1e-9)) + F.col("need")
+    entries = (
         known.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-        .select("doc_id", "size", "need", F.explode("prefix").alias("token"))
-    )
-    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("size", "doc_id")).alias("head"))
-    listed = entries.join(shared.where("k > 1"), "token")
-    # Stars: each class with the class that heads most of its lists and fits in size.
-    stars = (
-        listed.where("head.doc_id <> doc_id")
-        .withColumn("hs", F.col("head.size"))
-        .where(_sizes_fit("size", "hs", similarity))
-        .groupBy("doc_id", F.col("head.doc_id").alias("head"))
-        .agg(F.count(F.lit(1)).alias("k"))
-        .groupBy("doc_id")
-        .agg(F.max_by("head", F.struct("k", -F.col("head"))).alias("head"))
-        .select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    )
-    links = stored(verified(stored(stars), docs, n, similarity))
-    first = stored(components(links))
-    # Lists that still hold several components yield pairs between these.
-    left = listed.join(first, F.col("doc_id") == F.col("node"), "left").select(
-        "token", "doc_id", "size", "need", F.coalesce("component", "doc_id").alias("c")
-    )
-    mixed = left.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    open_lists = stored(left.join(mixed, "token", "left_semi"))
-    x = open_lists.select("token", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "size", "need", "c")])
-    y = open_lists.select("token", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "size", "need", "c")])
-    pairs = (
-        x.join(y, "token")
-        .where((F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_c") != F.col("y_c")) & _sizes_fit("x_size", "y_size", similarity))
-        .groupBy("x_doc_id", "y_doc_id")
-        .agg(F.count(F.lit(1)).alias("k"), F.min(F.least("x_need", "y_need")).alias("need"))
-        .where("k >= need")
-        .select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b"))
+        .select("doc_id", "size", "need", index_length.alias("ix"), F.posexplode("prefix").alias("at", "token"))
+        .select("token", "doc_id", "size", "need", (F.col("at") < F.col("ix")).alias("indexed"))
     )
-    more = stored(verified(stored(pairs), docs, n, similarity))
-    whole = components(links.unionByName(more))
+    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    listed = stored(entries.join(shared, "token"))
+    degree = listed.groupBy("doc_id").agg(F.sum(F.col("k") - 1).alias("degree"))
+    listed = stored(listed.join(degree, "doc_id").drop("k"))
+    links, groups = None, None
+    for turn in range(STARS):
+        rank = F.col("degree") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
+        pairs = stored(_star_pairs(_placed(listed, groups), rank, similarity))
+        found = stored(verified(pairs, docs, n, similarity))
+        links = found if links is None else links.unionByName(found)
+        groups = stored(components(links))
+    pairs = stored(_remaining_pairs(_placed(listed, groups), similarity))
+    links = links.unionByName(stored(verified(pairs, docs, n, similarity)))
+    whole = components(links)
     return (
         rows.join(classes, "class", "left")
         .withColumn("class_id", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")))
