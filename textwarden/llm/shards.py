@@ -11,7 +11,8 @@ fills several in that order). Wishes are summed into a matrix of shard pairs,
 and quotas accept what is matched by wishes the other way plus what the target
 has room for. After the rounds, single documents fill what is left, so that
 counts differ by at most one; if groups overfill a shard, its last units are
-split. Finally documents are numbered inside group and shard without gathering
+split (a group that is whole is never moved to make room for another). Finally
+documents are numbered inside group and shard without gathering
 either in one task.
 
 Defined results: null texts are one group and have no bytes; repeated rows are
@@ -43,11 +44,21 @@ def targets(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
-def _wishes(units: DataFrame, sizes: list[int]) -> DataFrame:
-    """grp, shard, n, to, m: how many rows of a unit want to leave, and where to."""
-    room = F.element_at(F.array(*[F.lit(s) for s in sizes]), F.col("shard").cast("int") + 1)
-    best_first = Window.partitionBy("grp").orderBy(F.desc("n"), "shard")
+def _per_shard(values: list[int]):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("shard").cast("int") + 1)
+
+
+def _wishes(units: DataFrame, sizes: list[int], load: list[int]) -> DataFrame:
+    """grp, shard, n, to, m: how many rows of a unit want to leave, and where to.
+
+    A shard with room for the whole group comes before one without, then that
+    which holds most of the group, then the emptier one.
+    """
+    room = _per_shard(sizes)
     whole = Window.partitionBy("grp")
+    units = units.withColumn("free", _per_shard([s - n for s, n in zip(sizes, load, strict=True)]))
+    units = units.withColumn("fits", F.sum("n").over(whole) - F.col("n") <= F.col("free"))
+    best_first = Window.partitionBy("grp").orderBy(F.desc("fits"), F.desc("n"), F.desc("free"), "shard")
     before = best_first.rowsBetween(Window.unboundedPreceding, -1)
     plan = (
         units.withColumn("size", room)
@@ -55,17 +66,30 @@ def _wishes(units: DataFrame, sizes: list[int]) -> DataFrame:
         .withColumn("taken", F.coalesce(F.sum("size").over(before), F.lit(0)))
         .withColumn("want", F.greatest(F.lit(0), F.least(F.col("size"), F.col("all") - F.col("taken"))))
         .withColumn("k", F.row_number().over(best_first))
-        .withColumn("takers", F.array_sort(F.collect_list(F.when(F.col("want") > F.col("n"), F.struct("k", "shard", (F.col("want") - F.col("n")).alias("free")))).over(whole)))
+        .withColumn("takers", F.array_sort(F.collect_list(F.when(F.col("want") > F.col("n"), F.struct("k", "shard", (F.col("want") - F.col("n")).alias("gap")))).over(whole)))
     )
     taker = F.get("takers", F.pmod(F.col("k"), F.greatest(F.size("takers"), F.lit(1))).cast("int"))
     return (
         plan.where((F.col("n") > F.col("want")) & (F.size("takers") > 0))
         .withColumn("taker", taker)
-        .select("grp", "shard", F.col("taker.shard").alias("to"), F.least(F.col("n") - F.col("want"), F.col("taker.free")).alias("m"))
+        .select("grp", "shard", F.col("taker.shard").alias("to"), F.least(F.col("n") - F.col("want"), F.col("taker.gap")).alias("m"))
         .withColumn("b", bucket_of(QUOTA_BUCKETS, "grp"))
     )
 
 
+def _shares(total: int, claims: list[int]) -> list[int]:
+    """``total`` dealt out in proportion to the claims, none more than it claims; what rounding leaves goes to the first."""
+    every = sum(claims)
+    total = min(total, every)
+    out = [c * total // every if every else 0 for c in claims]
+    rest = total - sum(out)
+    for k, c in enumerate(claims):
+        more = min(rest, c - out[k])
+        out[k] += more
+        rest -= more
+    return out
+
+
 def _quotas(wishes: list[tuple[int, int, int, int]], load: list[int], sizes: list[int]) -> list[tuple[int, int, int, int]]:
     """What each (from, to, bucket) may move: matched by the other direction, or into free room."""
     flow: dict[tuple[int, int], int] = {}
@@ -73,13 +97,16 @@ def _quotas(wishes: list[tuple[int, int, int, int]], load: list[int], sizes: lis
         flow[i, j] = flow.get((i, j), 0) + m
     granted = {}
     for j in range(len(sizes)):
-        into = {i: m for (i, t), m in flow.items() if t == j}
-        matched = {i: min(m, flow.get((j, i), 0)) for i, m in into.items()}
-        room = max(0, sizes[j] - load[j])
-        extra = sum(into.values()) - sum(matched.values())
-        for i, m in into.items():
-            granted[i, j] = matched[i] + ((m - matched[i]) * min(room, extra) // extra if extra else 0)
-    return [(i, j, b, granted[i, j] * m // flow[i, j]) for i, j, b, m in wishes if granted[i, j] * m // flow[i, j]]
+        into = sorted((i, m) for (i, t), m in flow.items() if t == j)
+        matched = [min(m, flow.get((j, i), 0)) for i, m in into]
+        extra = _shares(max(0, sizes[j] - load[j]), [m - k for (_, m), k in zip(into, matched, strict=True)])
+        for (i, _), k, x in zip(into, matched, extra, strict=True):
+            granted[i, j] = k + x
+    out = []
+    for pair, total in granted.items():
+        own = sorted(w for w in wishes if w[:2] == pair)
+        out += [(*w[:3], q) for w, q in zip(own, _shares(total, [w[3] for w in own]), strict=True) if q]
+    return out
 
 
 def _loads(units: DataFrame, shards: int) -> list[int]:
@@ -93,9 +120,10 @@ def propagate(units: DataFrame, sizes: list[int], rounds: int = ROUNDS) -> DataF
     """Moves rows of ``units`` (grp, shard, n) between shards until none wants or may move."""
     spark = units.sparkSession
     for _ in range(rounds):
-        wishes = cut(_wishes(units, sizes))
+        load = _loads(units, len(sizes))
+        wishes = cut(_wishes(units, sizes, load))
         flow = [tuple(r) for r in wishes.groupBy("shard", "to", "b").agg(F.sum("m")).collect()]
-        quotas = _quotas(flow, _loads(units, len(sizes)), sizes)
+        quotas = _quotas(flow, load, sizes)
         if not quotas:
             break
         allowed = F.broadcast(_values(spark, quotas, "shard, to, b, q"))
@@ -128,9 +156,6 @@ def _split_over(units: DataFrame, sizes: list[int]) -> DataFrame:
         over.append(at)
         at += max(0, n - size)
 
-    def per_shard(values: list[int]):
-        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("shard").cast("int") + 1)
-
     bucketed = units.withColumn("b", bucket_of(64, "grp"))
     upto = Window.rowsBetween(Window.unboundedPreceding, -1)
     offsets = bucketed.groupBy("shard", "b").agg(F.sum("n").alias("t")).select(
@@ -140,8 +165,8 @@ def _split_over(units: DataFrame, sizes: list[int]) -> DataFrame:
         bucketed.withColumn("inside", F.coalesce(F.sum("n").over(upto.partitionBy("shard", "b").orderBy("grp")), F.lit(0)))
         .join(offsets, ["shard", "b"])
         .withColumn("lo", F.col("off") + F.col("inside"))
-        .withColumn("stay", F.greatest(F.lit(0), F.least("n", per_shard(sizes) - F.col("lo"))))
-        .withColumn("x", per_shard(over) + F.greatest(F.lit(0), F.col("lo") - per_shard(sizes)))
+        .withColumn("stay", F.greatest(F.lit(0), F.least("n", _per_shard(sizes) - F.col("lo"))))
+        .withColumn("x", _per_shard(over) + F.greatest(F.lit(0), F.col("lo") - _per_shard(sizes)))
         .withColumn("y", F.col("x") + F.col("n") - F.col("stay"))
     )
     hole = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(s).cast("long").alias("s")) for a, b, s in holes])

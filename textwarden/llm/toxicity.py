@@ -194,11 +194,13 @@ class Machine:
         return out
 
     def scores(self, worst: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.zeros(len(worst))
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * worst + self.shift, -60, 60)))
 
 
 def nothing_learned() -> Machine:
-    return Machine(np.zeros(0, np.uint64), np.zeros(0), 0.0, 0.0, -1e9)
+    return Machine(np.zeros(0, np.uint64), np.zeros(0), 0.0, 0.0, 0.0)
 
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
