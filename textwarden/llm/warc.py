@@ -5,7 +5,8 @@ The record with the largest page_id of a digest is the response; the others
 become revisit records that name it. Archives are UTF-8 text files written by
 Spark's text writer, one record after the other, each with a fresh header.
 Reading finds records by their Content-Length and joins revisits with the
-headers of their responses.
+headers of their responses. Archives are compressed, and hold about ``ARCHIVE``
+bytes of payload each.
 
 Defined results: a null payload is empty; payloads of fewer than ``least``
 bytes are always responses; repeated rows with the largest page_id are all
@@ -16,6 +17,7 @@ percent-encoded; an empty table gives no records; other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_path, stored
 
-#: Bytes of payload in one archive, roughly; a record is never split.
+#: Bytes of payload in one archive, on average; a record is never split.
 ARCHIVE = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n"
@@ -59,11 +61,15 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
         .where("n > 1")
         .select(F.col("digest").alias("d"), "response")
     )
-    size = heads.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    files = max(1, size // ARCHIVE + 1, pages.sparkSession.sparkContext.defaultParallelism)
-    typed = full.join(originals, F.col("digest") == F.col("d"), "left").withColumn(
-        "refers", F.when((F.col("page_id") != F.col("response")), F.col("response"))
+    # Stored, so that its size is known: few revisits are broadcast and payloads stay where they are.
+    revisits = stored(
+        heads.join(originals, F.col("digest") == F.col("d"))
+        .where("page_id <> response")
+        .select(F.col("page_id").alias("p"), "d", F.col("response").alias("refers"))
+        .distinct()
     )
+    rows, size = heads.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    typed = full.join(revisits, (F.col("page_id") == F.col("p")) & (F.col("digest") == F.col("d")), "left")
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     revisit = F.col("refers").isNotNull()
 
@@ -84,10 +90,10 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     )
     record = F.concat(head, F.lit(_END), F.when(revisit, "").otherwise(F.col("html")))
     (
-        typed.select(record.alias("value"), F.col("page_id"))
-        .repartition(files, "page_id")
-        .select("value")
+        typed.select(record.alias("value"))
         .write.option("lineSep", _END * 2)
+        .option("compression", "gzip")
+        .option("maxRecordsPerFile", max(1, rows * ARCHIVE // max(1, size)))
         .text(path)
     )
 
@@ -120,7 +126,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = list(parse(content.as_py()))
+                rows = list(parse(gzip.decompress(content.as_py())))
                 cols = [
                     pa.array([_page(r["WARC-Record-ID"]) for r in rows], pa.int64()),
                     pa.array([r.get("WARC-Target-URI") for r in rows], pa.string()),
