@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,8 +133,8 @@ def kernel(words: list[str], others: list[str]) -> np.ndarray:
         table[np.searchsorted(codes, oc), oo] = ow
         at = np.minimum(np.searchsorted(codes, wc), len(codes) - 1)
         hit = codes[at] == wc
-        for lo in range(0, int(hit.sum()), 200_000):
-            pick = np.flatnonzero(hit)[lo : lo + 200_000]
+        for lo in range(0, int(hit.sum()), 20_000):
+            pick = np.flatnonzero(hit)[lo : lo + 20_000]
             np.add.at(out, wo[pick], table[at[pick]] * ww[pick, None])
     norm = np.sqrt(np.bincount(wo, ww**2, len(words)))[:, None] * np.sqrt(np.bincount(oo, ow**2, len(others)))[None]
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
@@ -150,7 +150,12 @@ class Machine:
     slope: float
     shift: float
 
-    def values(self, words: list[str]) -> np.ndarray:
+    def values(self, words: list[str], step: int = 20_000) -> np.ndarray:
+        """Distance of each word from the machine's boundary."""
+        parts = [self._values(words[at : at + step]) for at in range(0, len(words), step)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _values(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias)
         if not len(self.codes):
             return out
@@ -183,9 +188,7 @@ class Machine:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
                 new = list(set().union(*part))
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
-                known.update(zip(some, self.values([letters(t) for t in some]).tolist(), strict=True))
+            known.update(zip(new, self.values([letters(t) for t in new]).tolist(), strict=True))
             for i, bag in enumerate(part, lo):
                 if bag:
                     out[i] = max(self.bias, max(map(known.__getitem__, bag)))
@@ -235,14 +238,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def without_copies(bags: list[tuple[int, set[str]]]) -> list[tuple[int, set[str]]]:
-    """Leaves out bags that share three smallest hashes (of 4 draws) with an earlier one.
+def without_copies(bags: list[tuple[int, np.ndarray]], hashes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Leaves out bags of words that share three smallest hashes (in one of 4 draws) with an earlier one.
 
     Copies of one document would otherwise make its chance words look telling.
     """
     seen, out = [set() for _ in range(4)], []
     for y, bag in bags:
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, bag), np.uint64, len(bag))
+        h = hashes[bag]
         keys = [tuple(int((h * np.uint64(2 * (3 * d + k) + 3) ^ (h >> np.uint64(7 + d))).min(initial=2**64 - 1)) for k in range(3)) for d in range(4)]
         if not any(k in s for k, s in zip(keys, seen, strict=True)):
             out.append((y, bag))
@@ -251,23 +254,30 @@ def without_copies(bags: list[tuple[int, set[str]]]) -> list[tuple[int, set[str]
     return out
 
 
-def fit(rows: list[tuple[int, list[str]]]) -> Machine:
-    """A machine from (label, distinct tokens) of documents."""
-    bags = without_copies([(y, {letters(t) for t in toks} - {""}) for y, toks in rows])
+def fit(rows: Iterable[tuple[int, Iterable[str]]]) -> Machine:
+    """A machine from (label, words) of documents."""
+    ids: dict[str, int] = {}
+    bags = [(y, np.array(sorted({ids.setdefault(w, len(ids)) for w in words}), np.int32)) for y, words in rows]
+    words = list(ids)
+    del ids
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    bags = without_copies(bags, hashes)
     n = Counter(y for y, _ in bags)
     if not n[0] or not n[1]:
         return nothing_learned()
+    count = [np.bincount(np.concatenate([bag for y, bag in bags if y == c]).astype(np.int64), minlength=len(words)) for c in (0, 1)]
+    usable = np.fromiter(map(len, words), np.int64, len(words)) >= LENGTH
     # A word is telling if it stands almost only in toxic documents, and in more than chance would put it.
     least = min(n[1], max(3, round(0.015 * n[1])))
-    count = {c: Counter(w for y, bag in bags if y == c for w in bag if len(w) >= LENGTH) for c in (0, 1)}
-    telling = [w for w, t in count[1].items() if t >= least and 9 * count[0][w] <= t and t * n[0] > 4 * n[1] * count[0][w]]
-    bad = sorted(telling, key=lambda w: (-count[1][w], w))[:WORDS]
-    hashed = lambda w: (xxhash.xxh3_64_intdigest(w), w)
-    good = sorted((w for w, t in count[0].items() if 2 * count[1][w] * n[0] <= 3 * n[1] * t), key=hashed)[:WORDS]
+    telling = np.flatnonzero(usable & (count[1] >= least) & (9 * count[0] <= count[1]) & (count[1] * n[0] > 4 * n[1] * count[0]))
+    telling = sorted(telling, key=lambda i: (-count[1][i], words[i]))[:WORDS]
+    clean = np.flatnonzero(usable & (count[0] > 0) & (2 * count[1] * n[0] <= 3 * n[1] * count[0]))
+    clean = clean[np.argsort(hashes[clean], kind="stable")][:WORDS]
+    bad, good = [words[i] for i in telling], [words[i] for i in clean]
     if not bad or not good:
         return nothing_learned()
     # Landmarks: telling words that are not too close to one another, and clean words.
-    pool = bad[: 10 * LANDMARKS]
+    pool = bad[: 4 * LANDMARKS]
     near = kernel(pool, pool)
     at: list[int] = []
     for i in range(len(pool)):
@@ -280,7 +290,7 @@ def fit(rows: list[tuple[int, list[str]]]) -> Machine:
     gapped = [w[: len(w) // 2] + c + w[len(w) // 2 :] for w in bad for c in (w[len(w) // 2], "x")]
     z = kernel(bad + gapped + good, chosen) @ root
     y = np.r_[np.ones(len(bad) + len(gapped)), -np.ones(len(good))]
-    plain = np.sqrt([count[1][w] for w in bad])
+    plain = np.sqrt(count[1][telling])
     weight = np.r_[plain, np.repeat(plain / 4, 2), np.ones(len(good))]
     weight = np.where(y > 0, weight / weight[y > 0].sum(), weight / weight[y < 0].sum()) * len(good)
     w = _svm(np.c_[z, np.ones(len(y))], y, weight)
@@ -289,9 +299,8 @@ def fit(rows: list[tuple[int, list[str]]]) -> Machine:
     norm = np.sqrt(np.bincount(owner, own**2, len(chosen)))
     codes, back = np.unique(code, return_inverse=True)
     made = Machine(codes, np.bincount(back, own * alpha[owner] / norm[owner], len(codes)), float(w[-1]), 1.0, 0.0)
-    words = list(set().union(*(bag for _, bag in bags)))
-    value = dict(zip(words, made.values(words).tolist(), strict=True))
-    worst = np.array([max([made.bias, *(value[w] for w in bag)]) for _, bag in bags])
+    value = made.values(words)
+    worst = np.array([value[bag].max(initial=made.bias) for _, bag in bags])
     made.slope, made.shift = _logistic(worst, np.array([y for y, _ in bags], float))
     return made
 
@@ -317,11 +326,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(tokens_of(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["doc_id", "toxic", "tokens"])
+            found = [" ".join(sorted({letters(t) for t in tokens_of(text)} - {""})) for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], ["doc_id", "toxic", "words"])
 
-    got = rows.select("doc_id", "toxic", "text").mapInArrow(bags, "doc_id long, toxic int, tokens array<string>").collect()
-    return fit([(r["toxic"], list(r["tokens"])) for r in sorted(got, key=lambda r: r["doc_id"])])
+    got = rows.select("doc_id", "toxic", "text").mapInArrow(bags, "doc_id long, toxic int, words string").collect()
+    got.sort(key=lambda r: r["doc_id"])
+    return fit((r["toxic"], r["words"].split()) for r in got)
 
 
 def score(text: Column, machine: Machine) -> Column:
