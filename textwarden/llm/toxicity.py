@@ -6,7 +6,7 @@ left out, and is normalised to 1 for equal words; so an insult with inserted
 or changed characters stays close to the insult. Landmark words are chosen
 from labelled documents, the Nyström map makes the kernel linear, and a linear
 machine with squared hinge loss separates words of toxic documents from words
-of clean ones. A document is as toxic as its worst word; a logistic curve,
+of clean ones; clean words on the wrong side are learned again. A document is as toxic as its worst word; a logistic curve,
 fitted to the labelled documents, turns that into a score from 0 to 1.
 
 The machine is fitted on at most ``SAMPLE`` labelled documents of each class
@@ -42,6 +42,8 @@ DECAY = 0.6
 SAMPLE = 3000
 WORDS = 12_000
 LANDMARKS = 64
+#: Weight of a clean word that was once taken for toxic.
+HARD = 5.0
 #: Tokens remembered per Python worker; beyond that the memory is emptied. It changes no result.
 REMEMBERED = 700_000
 
@@ -222,10 +224,10 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through (x, y), with Platt's smoothed targets and balanced classes."""
+    """Slope and shift of a logistic curve through (x, y), with Platt's smoothed targets; toxic rows weigh a fifth."""
     n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
+    weight = np.where(y == 1, 0.2 / n1, 0.8 / n0) * len(y)
     f = np.c_[x, np.ones(len(x))]
     w = np.zeros(2)
     for _ in range(100):
@@ -268,11 +270,11 @@ def fit(rows: Iterable[tuple[int, Iterable[str]]]) -> Machine:
     count = [np.bincount(np.concatenate([bag for y, bag in bags if y == c]).astype(np.int64), minlength=len(words)) for c in (0, 1)]
     usable = np.fromiter(map(len, words), np.int64, len(words)) >= LENGTH
     # A word is telling if it stands almost only in toxic documents, and in more than chance would put it.
-    least = min(n[1], max(3, round(0.015 * n[1])))
+    least = min(n[1], max(4, round(0.015 * n[1])))
     telling = np.flatnonzero(usable & (count[1] >= least) & (9 * count[0] <= count[1]) & (count[1] * n[0] > 4 * n[1] * count[0]))
     telling = sorted(telling, key=lambda i: (-count[1][i], words[i]))[:WORDS]
-    clean = np.flatnonzero(usable & (count[0] > 0) & (2 * count[1] * n[0] <= 3 * n[1] * count[0]))
-    clean = clean[np.argsort(hashes[clean], kind="stable")][:WORDS]
+    every_clean = np.flatnonzero(usable & (count[0] > 0) & (2 * count[1] * n[0] <= 3 * n[1] * count[0]))
+    clean = every_clean[np.argsort(hashes[every_clean], kind="stable")][:WORDS]
     bad, good = [words[i] for i in telling], [words[i] for i in clean]
     if not bad or not good:
         return nothing_learned()
@@ -288,17 +290,26 @@ def fit(rows: Iterable[tuple[int, Iterable[str]]]) -> Machine:
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
     # Insults with a character written twice or left over, so that gapped forms count as toxic too.
     gapped = [w[: len(w) // 2] + c + w[len(w) // 2 :] for w in bad for c in (w[len(w) // 2], "x")]
-    z = kernel(bad + gapped + good, chosen) @ root
-    y = np.r_[np.ones(len(bad) + len(gapped)), -np.ones(len(good))]
     plain = np.sqrt(count[1][telling])
-    weight = np.r_[plain, np.repeat(plain / 4, 2), np.ones(len(good))]
-    weight = np.where(y > 0, weight / weight[y > 0].sum(), weight / weight[y < 0].sum()) * len(good)
-    w = _svm(np.c_[z, np.ones(len(y))], y, weight)
-    alpha = root @ w[:-1]
+    weight = np.r_[plain, np.repeat(plain / 4, 2)]
     owner, code, own = subsequences(chosen)
     norm = np.sqrt(np.bincount(owner, own**2, len(chosen)))
     codes, back = np.unique(code, return_inverse=True)
-    made = Machine(codes, np.bincount(back, own * alpha[owner] / norm[owner], len(codes)), float(w[-1]), 1.0, 0.0)
+    positive = kernel(bad + gapped, chosen) @ root
+    near: list[int] = []
+    for turn in range(3):
+        # After the first turn the clean words that the machine takes for toxic are learned too.
+        some = good + [words[i] for i in near]
+        z = np.r_[positive, kernel(some, chosen) @ root]
+        y = np.r_[np.ones(len(positive)), -np.ones(len(some))]
+        ballast = np.r_[np.ones(len(good)), np.full(len(near), HARD)]
+        w = _svm(np.c_[z, np.ones(len(y))], y, np.r_[weight / weight.sum() * ballast.sum(), ballast])
+        alpha = root @ w[:-1]
+        made = Machine(codes, np.bincount(back, own * alpha[owner] / norm[owner], len(codes)), float(w[-1]), 1.0, 0.0)
+        if turn < 2:
+            value = made.values([words[i] for i in every_clean])
+            top = np.argsort(-value, kind="stable")[: WORDS // 4]
+            near = sorted({*near, *every_clean[top[value[top] > -0.5]].tolist()})
     value = made.values(words)
     worst = np.array([value[bag].max(initial=made.bias) for _, bag in bags])
     made.slope, made.shift = _logistic(worst, np.array([y for y, _ in bags], float))
