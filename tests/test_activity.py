@@ -146,13 +146,13 @@ def test_budget_equals_model(spark, block):
 # ---- ledger ---------------------------------------------------------------
 
 
-def _sealed(spark, n=25, segment=1000, salt="s"):
+def _sealed(spark, n=25, salt="s"):
     rows = [("c", i, f"2024-01-01T00:00:{i:02d}+00:00", "default", "uñ", "STAFF", "HR", "AI_QUERY", ["PAN Card"], 1.5, '{"b": 1, "a": "é"}') for i in range(1, n + 1)]
     df = spark.createDataFrame(
         rows,
         "chain_id string, seq bigint, timestamp string, tenant_id string, user_id string, user_role string, department string, action string, redactions_applied array<string>, risk_score double, metadata string",
     ).repartition(3)
-    return ledger.build_chain(ledger.ledger_body(df), salt=salt, segment=segment)
+    return ledger.build_chain(ledger.ledger_body(df), salt=salt)
 
 
 def test_chain_equals_python(spark):
@@ -184,14 +184,49 @@ def test_verify_finds_first_break(spark, block):
         gone = good.where(F.col("seq") != seq)
         r = ledger.verify_chain(gone, "chain_id", "s", block=block).first()
         assert r.valid is (seq == 25)
+    empty = ledger.verify_chain(good.limit(0), None, "s").first()
+    assert (empty.valid, empty.total_entries, empty.corrupted_seq) == (True, 0, None)
     assert ledger.verify_chain(good.limit(0), "chain_id", "s").count() == 0
 
 
-def test_segments(spark):
-    sealed = _sealed(spark, segment=10)
-    assert ledger.verify_chain(sealed.withColumn("c", F.concat_ws("/", "chain_id", "segment")), "c", "s").where("not valid").count() == 0
-    roots = ledger.segment_roots(sealed).orderBy("segment").collect()
-    assert [r.entries for r in roots] == [9, 10, 6] and roots[1].previous_head == roots[0].head
+def test_chain_of_chains(spark):
+    rows = _sealed(spark).drop("prev_hash", "canonical", "entry_hash").withColumn("chain_id", F.concat(F.lit("day-"), F.expr("seq div 10")))
+    sealed = ledger.build_chain(rows, salt="s")
+    assert ledger.verify_chain(sealed, "chain_id", "s").where("valid").count() == 3
+    root = ledger.build_chain(ledger.chain_heads(sealed), salt="s").orderBy("seq").collect()
+    assert [(r.name, r.entries) for r in root] == [("day-0", 9), ("day-1", 10), ("day-2", 6)] and root[1].prev_hash == root[0].entry_hash
+    shorter = ledger.build_chain(ledger.chain_heads(sealed.where("seq < 25")), salt="s").agg(F.max_by("entry_hash", "seq")).first()[0]
+    assert shorter != root[2].entry_hash
+
+
+def test_root_tree_of_sparse_keys(spark):
+    keys = [0, 1, 7, 9_999, 10_000, 10**12, 2**62, 2**63 - 1]
+    df = spark.createDataFrame([(k, f"h{k}") for k in keys], "seq bigint, entry_hash string").repartition(3)
+    level = [(k, f"h{k}") for k in keys]
+    for _ in range(ledger.tree_levels(10_000)):
+        groups = {}
+        for k, h in level:
+            groups.setdefault(k // 10_000, []).append(h)
+        level = [(k, hashlib.sha256("".join(v).encode()).hexdigest()) for k, v in sorted(groups.items())]
+    want = hashlib.sha256("".join(h for _, h in level).encode()).hexdigest()
+    assert tuple(ledger.merkle_root(df).first()) == (want, len(keys)) and len(level) == 1
+    assert ledger.merkle_root(df.limit(0)).first().entry_count == 0
+
+
+def test_all_alerts_are_counted(spark):
+    rows = [(f"a{i}", "2024-01-15 11:30:00", 9.0, True, i % 2 == 0, False) for i in range(1000) for _ in range(4)]
+    events = spark.createDataFrame(rows, "actor_hash string, t string, severity double, is_pii boolean, is_injection boolean, is_semantic boolean")
+    profiles = risk.risk_profile(events.withColumn("ts", F.to_timestamp("t")), "2024-01-15 12:00:00")
+    assert risk.alerts(profiles).count() == 1000 and risk.heatmap(profiles).count() == 100
+
+
+def test_equal_timestamps_are_judged_one_by_one(spark):
+    rows = [(i, "a", "2024-01-15 11:30:00", 9.0, True, False, False) for i in range(1, 5)]
+    events = spark.createDataFrame(rows, "k bigint, actor_hash string, t string, severity double, is_pii boolean, is_injection boolean, is_semantic boolean")
+    events = events.withColumn("ts", F.to_timestamp("t"))
+    got = risk.risk_as_of_event(events, "k", one_by_one=True).orderBy("k").collect()
+    assert [r.quarantined for r in got] == [False, False, False, True]
+    assert all(r.quarantined for r in risk.risk_as_of_event(events, "k").collect())
 
 
 def test_reseal(spark, tmp_path):

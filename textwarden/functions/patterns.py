@@ -33,8 +33,40 @@ class Pattern:
     @property
     def java(self) -> str:
         """The Java form. Where the first character of every match is known, a
-        look-ahead tests it before the costlier Unicode word boundary."""
-        return JAVA_FLAGS + _first_character(self.regex) + self.regex
+        look-ahead tests it before the costlier word boundary."""
+        return JAVA_FLAGS + _first_character(self.regex) + word_classes(self.regex)
+
+
+# Java counts combining marks and join controls as word characters; here, as in
+# the rules' own language, only letters, numbers and the underscore are.
+_WORD = r"\p{L}\p{N}_"
+_BOUNDARY = rf"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+
+
+def word_classes(regex: str) -> str:
+    r"""The regex with every \b, \w and \W spelt out."""
+    out, inside, i = [], False, 0
+    while i < len(regex):
+        c = regex[i]
+        if c == "\\":
+            pair = regex[i : i + 2]
+            if pair == r"\w":
+                out.append(_WORD if inside else f"[{_WORD}]")
+            elif pair == r"\W":
+                out.append(f"[^{_WORD}]")
+            elif pair == r"\b" and not inside:
+                out.append(_BOUNDARY)
+            else:
+                out.append(pair)
+            i += 2
+            continue
+        if c == "[" and not inside:
+            inside = True
+        elif c == "]":
+            inside = False
+        out.append(c)
+        i += 1
+    return "".join(out)
 
 
 # Letters outside ASCII that case-insensitive matching equates with i, k and s.
@@ -192,36 +224,7 @@ INDIA_PATTERNS = tuple(
 US_PATTERNS = SECRET_PATTERNS + CLASSIFICATION_PATTERNS
 ALL_PATTERNS = US_PATTERNS + INDIA_PATTERNS
 
-# Compact names of the India labels, and the aliases used in pseudonym tokens.
-INDIA_FAMILIES = {
-    "Aadhaar Number": "Aadhaar",
-    "PAN Card": "PAN",
-    "Voter ID": "VoterID",
-    "Passport (India)": "Passport",
-    "Driving License (India)": "DrivingLicense",
-    "GST Number": "GST",
-    "UPI ID": "UPI",
-    "IFSC Code": "IFSC",
-    "Indian Bank Account": "BankAccount",
-    "MICR Code": "MICR",
-    "UHID (Hospital ID)": "UHID",
-    "NPI (Indian Doctor)": "DoctorRegistration",
-    "Ayushman Bharat ID": "ABHA",
-    "Indian Mobile": "Phone",
-    "Indian Landline": "Landline",
-    "Indian Pincode": "Pincode",
-    "Email Address (India Context)": "Email",
-    "CIN (Company ID)": "CIN",
-    "LLPIN": "LLPIN",
-    "TAN Number": "TAN",
-    "FSSAI License": "FSSAI",
-    "Caste / Tribe Reference": "SensitiveCategory",
-    "Religious Identity": "Religion",
-    "Political Opinion": "PoliticalOpinion",
-    "Health Data (India-specific)": "HealthData",
-    "Biometric Reference": "Biometric",
-}
-DEFAULT_INDIA_FAMILY = "IndiaPII"
+# Aliases used in pseudonym tokens.
 TOKEN_ALIASES = {
     "Aadhaar Number": "Aadhaar",
     "PAN Card": "PAN",

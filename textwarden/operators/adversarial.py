@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import JAVA_FLAGS, PROMPT_INJECTION, SCORE_CAP
+from ..functions.patterns import JAVA_FLAGS, PROMPT_INJECTION, SCORE_CAP, word_classes
 from ..schemas import FINDINGS
 from .detect import any_literal, folded, quoted
 
@@ -134,7 +134,7 @@ _NEEDED_AT_END = {r"(?<![^\w\s])[^\w\s]{10,}+.{0,60}$": (71, r"[^\w\s]{10}")}
 
 BLOCK_THRESHOLD = 7.0
 EVIDENCE_CUT, INJECTION_SNIPPET_CUT = 180, 160
-PAYLOAD_LABEL, PAYLOAD_SCORE, PAYLOAD_CANDIDATES = "Encoded Payload Bypass", 4.0, 5
+PAYLOAD_LABEL, PAYLOAD_SCORE = "Encoded Payload Bypass", 4.0
 PAYLOAD_REGEX = r"\b[A-Za-z0-9+/]{28,}={0,2}\b"
 PAYLOAD_WORDS = ("ignore", "bypass", "reveal", "secret", "system prompt", "policy", "aadhaar", "pan")
 JUDGE_LABEL, JUDGE_SCORE, JUDGE_EVIDENCE = "Local Judge Jailbreak", 3.0, "root/safety override intent"
@@ -149,12 +149,12 @@ def _tail_sql(text: str, kind: str) -> str:
     This needs no repeated group, so a long text cannot exhaust the stack.
     """
     sep, least, symbols = _TAILS[kind]
-    breaker = JAVA_FLAGS + rf"(?i)[^\w{sep}]|\b(?![a-z]{{1,3}}\b)\w+"
+    breaker = JAVA_FLAGS + word_classes(rf"(?i)[^\w{sep}]|\b(?![a-z]{{1,3}}\b)\w+")
     # Only the last breaker matters, and nearly every text has one near its end.
     near, whole = (f"split({x}, {quoted(breaker)}, -1)" for x in (f"right({text}, {_NEAR_END})", text))
     tail = f"CASE WHEN size({near}) > 1 THEN element_at({near}, -1) ELSE element_at({whole}, -1) END"
     trimmed = f"regexp_replace(({tail}), {quoted(JAVA_FLAGS + '^[' + sep + ']+')}, '')"
-    run = f"CASE WHEN regexp_count({trimmed}, {quoted(JAVA_FLAGS + chr(92) + 'w+')}) >= {least} THEN {trimmed} END"
+    run = f"CASE WHEN regexp_count({trimmed}, {quoted(JAVA_FLAGS + word_classes(chr(92) + 'w+'))}) >= {least} THEN {trimmed} END"
     if symbols is None:
         return run
     sym = f"nullif(regexp_extract({text}, {quoted(JAVA_FLAGS + symbols)}, 0), '')"
@@ -166,10 +166,10 @@ def _evidence_sql(text: str, pattern: str, literals: Sequence[str]) -> str:
     """First match of a pattern, NULL if there is none."""
     if pattern.startswith("TAIL:"):
         return _tail_sql(text, pattern.split(":")[1])
-    found = f"nullif(regexp_extract({text}, {quoted(JAVA_FLAGS + pattern)}, 0), '')"
+    found = f"nullif(regexp_extract({text}, {quoted(JAVA_FLAGS + word_classes(pattern))}, 0), '')"
     if pattern in _NEEDED_AT_END:
         last, needed = _NEEDED_AT_END[pattern]
-        return f"CASE WHEN right({text}, {last}) RLIKE {quoted(JAVA_FLAGS + needed)} THEN {found} END"
+        return f"CASE WHEN right({text}, {last}) RLIKE {quoted(JAVA_FLAGS + word_classes(needed))} THEN {found} END"
     return f"CASE WHEN {any_literal('__afold', literals)} THEN {found} END" if literals else found
 
 
@@ -222,10 +222,12 @@ def _decoded_sql(candidate: str) -> str:
     return f"replace(make_valid_utf8(cast({binary} as string)), '�', '')"
 
 
-def encoded_payload(text: str) -> str:
-    """SQL: ``base64:<decoded>`` of the first suspicious candidate, else NULL."""
+def encoded_payload(text: str, candidates: int | None = None) -> str:
+    """SQL: ``base64:<decoded>`` of the first suspicious candidate, else NULL; ``candidates`` looks at the first few only."""
     words = quoted("(?i)(" + "|".join(PAYLOAD_WORDS) + ")")
-    found = f"slice(regexp_extract_all({text}, {quoted(JAVA_FLAGS + PAYLOAD_REGEX)}, 0), 1, {PAYLOAD_CANDIDATES})"
+    found = f"regexp_extract_all({text}, {quoted(JAVA_FLAGS + word_classes(PAYLOAD_REGEX))}, 0)"
+    if candidates is not None:
+        found = f"slice({found}, 1, {int(candidates)})"
     decoded = f"transform({found}, c -> {_decoded_sql('c')})"
     return f"concat('base64:', try_element_at(filter({decoded}, d -> d IS NOT NULL AND d RLIKE {words}), 1))"
 

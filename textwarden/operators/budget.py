@@ -95,7 +95,7 @@ def window_starts(
     requests: DataFrame, actor: str = "actor", us: str = "us", window: int = WINDOW_US, block: int = BLOCK_US
 ) -> DataFrame:
     """Add ``window_start`` to every request. ``us`` is a BIGINT of microseconds."""
-    rows = requests.withColumn("__blk", F.floor(F.col(us) / F.lit(block)).cast("bigint"))
+    rows = requests.withColumn("__blk", F.expr(f"`{us}` div {int(block)}L"))
 
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, cuts in _whole_groups(batches, [actor, "__blk"]):

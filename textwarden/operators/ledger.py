@@ -3,7 +3,9 @@
 A ledger frame has ``seq`` (the chain order) and a ``canonical`` text per
 entry, written when the entry is sealed. Long chains are cut into blocks of
 ``seq``; a block is sorted by one task, and what must cross blocks is carried
-by one row per block.
+by one row per block. A chain is sealed in order by one task, so the caller
+chooses chains of bounded length (a tenant and a day, say) and ties them
+together with a chain over their heads (``chain_heads``).
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ PREV_MARK = "@@previous-entry-hash@@"
 _EMPTY = {"metadata": "{}", "department": "UNKNOWN", "tenant_id": "default"}
 HIGH_RISK = 7.0
 BLOCK = 1_000_000  # entries per task when a chain is checked
-SEGMENT = 1_000_000  # entries per task when a chain is sealed
 FANOUT = 10_000  # digests per node of the root tree
+KEY_SPAN = 1 << 63  # range of the keys that a root tree must cover
 
 
 # ---- sealing --------------------------------------------------------------
@@ -55,30 +57,26 @@ def foreign_entry_hash(line: Column, salt: str | None = None) -> Column:
     return entry_hash(canonical_json(drop)(line), salt)
 
 
-def build_chain(
-    entries: DataFrame, chain: str = "chain_id", seq: str = "seq", body: str = "body", salt: str = "", segment: int = SEGMENT
-) -> DataFrame:
+def build_chain(entries: DataFrame, chain: str = "chain_id", seq: str = "seq", body: str = "body", salt: str = "") -> DataFrame:
     """Seal entries: each digest covers the entry and the digest before it.
 
     ``body`` is the text of an entry with ``PREV_MARK`` where the digest of the
-    previous entry belongs (see ``ledger_body``). A digest depends on the one before, so a
-    chain is sealed in order by one task; a chain of more than ``segment``
-    entries is continued in segments that each start at GENESIS and that
-    ``segment_roots`` ties together. Rows stream through the task in batches.
+    previous entry belongs (see ``ledger_body``). A digest depends on the one
+    before, so a chain is sealed in order by one task, through which its rows
+    stream in batches; different chains are sealed in parallel.
     """
-    parts = entries.withColumn("segment", F.floor(F.col(seq) / F.lit(segment)).cast("bigint"))
-    schema = parts.select("*", F.lit("").alias("prev_hash"), F.lit("").alias("canonical"), F.lit("").alias("entry_hash")).schema
-    key_cols, prefix = (chain, "segment"), f"{salt}:"
+    schema = entries.select("*", F.lit("").alias("prev_hash"), F.lit("").alias("canonical"), F.lit("").alias("entry_hash")).schema
+    prefix = f"{salt}:"
 
     def seal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
-        current, prev = None, GENESIS
+        current, prev, begun = None, GENESIS, False
         for pdf in batches:
             prevs, canon, hashes = [], [], []
-            for c, s, text in zip(pdf[key_cols[0]], pdf[key_cols[1]], pdf[body]):
-                if (c, s) != current:
-                    current, prev = (c, s), GENESIS
+            for c, text in zip(pdf[chain], pdf[body]):
+                if not begun or c != current:
+                    current, prev, begun = c, GENESIS, True
                 full = text.replace(PREV_MARK, prev)
                 prevs.append(prev)
                 prev = hashlib.sha256((prefix + full).encode()).hexdigest()
@@ -86,15 +84,22 @@ def build_chain(
                 hashes.append(prev)
             yield pdf.assign(prev_hash=prevs, canonical=canon, entry_hash=hashes)
 
-    ordered = parts.repartition(chain, "segment").sortWithinPartitions(chain, "segment", seq)
-    return ordered.mapInPandas(seal, schema)
+    return entries.repartition(chain).sortWithinPartitions(chain, seq).mapInPandas(seal, schema)
+
 
+def chain_heads(sealed: DataFrame, chain: str = "chain_id", seq: str = "seq", root: str = "root") -> DataFrame:
+    """Entries of a chain over chains: one per chain, in the order of their names.
 
-def segment_roots(sealed: DataFrame, chain: str = "chain_id", seq: str = "seq") -> DataFrame:
-    """One row per sealed segment: its length, last digest and the root before it."""
-    heads = sealed.groupBy(chain, "segment").agg(F.count("*").alias("entries"), F.max_by("entry_hash", seq).alias("head"))
-    w = Window.partitionBy(chain).orderBy("segment")
-    return heads.withColumn("previous_head", F.coalesce(F.lag("head").over(w), F.lit(GENESIS)))
+    The body of an entry holds the name, the length and the last digest of a
+    chain, so sealing them with ``build_chain`` and checking them with
+    ``verify_chain`` covers every chain: neither a chain nor its last entries can
+    be replaced or left out unseen. ``seq`` numbers the names from 1.
+    """
+    heads = sealed.groupBy(F.col(chain).alias("name")).agg(F.count("*").alias("entries"), F.max_by("entry_hash", seq).alias("head"))
+    # One row per chain; their sealing is sequential too, so one task is what it takes.
+    numbered = heads.withColumn("seq", F.row_number().over(Window.partitionBy(F.lit(root)).orderBy("name")).cast("bigint"))
+    body = F.concat_ws("|", "name", F.col("entries").cast("string"), "head", F.lit(PREV_MARK))
+    return numbered.select(F.lit(root).alias("chain_id"), "seq", "name", "entries", "head", body.alias("body"))
 
 
 # ---- verification ---------------------------------------------------------
@@ -117,7 +122,7 @@ def _checked(ledger: DataFrame, chain: str | None, salt: str | None, seq: str, s
 
 def chain_breaks(ledger: DataFrame, chain: str | None = None, salt: str | None = None, seq: str = "seq", signature: str | None = None, block: int = BLOCK) -> DataFrame:
     """One row per chain and block: counts, edges and the first break inside it."""
-    rows = _checked(ledger, chain, salt, seq, signature).withColumn("block", F.floor(F.col("seq") / F.lit(block)).cast("bigint"))
+    rows = _checked(ledger, chain, salt, seq, signature).withColumn("block", F.expr(f"CAST(seq AS BIGINT) div {int(block)}L"))
     w = Window.partitionBy("chain_id", "block").orderBy("seq")
     linked = rows.withColumns({"before": F.lag("entry_hash").over(w), "first": F.row_number().over(w) == 1})
     link_ok = F.col("first") | F.col("prev_hash").eqNullSafe(F.col("before"))
@@ -137,7 +142,7 @@ def verify_chain(ledger: DataFrame, chain: str | None = None, salt: str | None =
 
     The link is checked before the content. Later entries are compared with
     the stored digest, so one change yields one break and the check is exact
-    without recomputing the chain in order.
+    without recomputing the chain in order. An empty global chain is valid.
     """
     blocks = chain_breaks(ledger, chain, salt, seq, signature, block)
     w = Window.partitionBy("chain_id").orderBy("block")
@@ -146,8 +151,12 @@ def verify_chain(ledger: DataFrame, chain: str | None = None, salt: str | None =
     edge = F.when(F.col("edge_bad"), F.struct(F.col("first_seq").alias("seq"), F.lit("prev_hash mismatch").alias("reason")))
     # At the first entry of a block a broken link outranks its content.
     first = F.when(F.col("edge_bad"), edge).otherwise(F.col("broken"))
-    return per_block.groupBy("chain_id").agg(
-        F.sum("n").alias("total_entries"), F.min(first).alias("broken")
+    found = per_block.select("chain_id", "n", first.alias("broken"))
+    if chain is None:  # one row that counts nothing, so that an empty ledger is a chain too
+        nothing = ledger.sparkSession.range(1).select(F.lit("global").alias("chain_id"), F.lit(0).cast("bigint").alias("n"))
+        found = found.unionByName(nothing, allowMissingColumns=True)
+    return found.groupBy("chain_id").agg(
+        F.sum("n").alias("total_entries"), F.min("broken").alias("broken")
     ).select(
         "chain_id",
         F.col("broken").isNull().alias("valid"),
@@ -257,41 +266,48 @@ def incident_timeline(ledger: DataFrame, actor_hash: str, tenant_id: str | None
     return df.where((F.col("actor_hash") == actor_hash) | (F.get_json_object("metadata", "$.actor_hash") == actor_hash))
 
 
-def timeline_certificate(timeline: DataFrame, seq: str = "seq", limit: int = 10_000) -> DataFrame:
-    """Digest over the newest entries of a timeline; ``limit`` bounds the report."""
-    newest = timeline.orderBy(F.col(seq).desc()).limit(limit)
-    ordered = F.reverse(F.array_sort(F.collect_list(F.struct(seq, "entry_hash"))))
-    return newest.agg(
-        F.count("*").alias("total"), sha256(F.to_json(F.transform(ordered, lambda e: e["entry_hash"]))).alias("certificate")
-    )
+_CERTIFIED = ("timestamp", "action", "policy_triggered", "risk_score", "model_queried", "entry_hash")
+
+
+def timeline_certificate(timeline: DataFrame, seq: str = "seq") -> DataFrame:
+    """Digest over six fields of every entry of a timeline, as the root of a tree in the order of ``seq``."""
+    fields = [F.col(c) if c in timeline.columns else F.lit(None).cast("string").alias(c) for c in _CERTIFIED]
+    leaf = sha256(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+    root = merkle_root(timeline.withColumn("leaf", leaf), "leaf", seq)
+    return root.select(F.coalesce("entry_count", F.lit(0)).alias("total"), F.col("ledger_root").alias("certificate"))
 
 
 def high_sensitivity(ledger: DataFrame) -> DataFrame:
     return ledger.where(F.coalesce("risk_score", F.lit(0.0)) > HIGH_RISK)
 
 
-def anchor_root(ledger: DataFrame, tenant_id: str | None = None, limit: int = 100_000, seq: str = "seq") -> DataFrame:
-    """Root over the newest ``limit`` digests as one JSON list, newest first."""
-    newest = audit_entries(ledger, limit, tenant_id=tenant_id, seq=seq).select(seq, "entry_hash")
-    ordered = F.reverse(F.array_sort(F.collect_list(F.struct(F.col(seq), "entry_hash"))))
-    text = F.concat(F.lit('["'), F.array_join(F.transform(ordered, lambda e: e["entry_hash"]), '", "'), F.lit('"]'))
-    return newest.agg(
-        sha256(F.when(F.count("*") > 0, text).otherwise("[]")).alias("ledger_root"), F.count("*").alias("entry_count")
-    )
+def anchor_root(ledger: DataFrame, tenant_id: str | None = None, limit: int | None = None, seq: str = "seq") -> DataFrame:
+    """Root over all digests of a tenant, or over its newest ``limit`` entries."""
+    return merkle_root(audit_entries(ledger, limit, tenant_id=tenant_id, seq=seq), "entry_hash", seq)
+
+
+def tree_levels(fanout: int) -> int:
+    """Levels after which all keys below ``KEY_SPAN`` are in one node."""
+    levels, span = 0, KEY_SPAN
+    while span > 1:
+        levels, span = levels + 1, -(-span // fanout)
+    return levels
 
 
-def merkle_root(ledger: DataFrame, digest: str = "entry_hash", seq: str = "seq", fanout: int = FANOUT, levels: int = 3) -> DataFrame:
+def merkle_root(ledger: DataFrame, digest: str = "entry_hash", seq: str = "seq", fanout: int = FANOUT) -> DataFrame:
     """Root over a whole ledger: digests of blocks, of blocks of blocks, and so on.
 
-    No node sees more than ``fanout`` digests; three levels cover 1e12 entries
-    and each level's shuffle is ``fanout`` times smaller than the one before.
+    Keys fall into one node if they agree after division by ``fanout``, so no
+    node sees more than ``fanout`` digests however sparse the keys are, and
+    there are as many levels as bring any 64-bit keys into one node. Keys are
+    unique and not negative. An empty ledger has the digest of no text.
     """
     rows = ledger.select(F.col(seq).cast("bigint").alias("k"), F.col(digest).alias("h"), F.lit(1).cast("bigint").alias("n"))
     joined = sha256(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda e: e["h"]), ""))
-    for _ in range(levels):
-        rows = rows.groupBy(F.floor(F.col("k") / F.lit(fanout)).cast("bigint").alias("g")).agg(joined.alias("h2"), F.sum("n").alias("n2"))
+    for _ in range(tree_levels(fanout)):
+        rows = rows.groupBy(F.expr(f"k div {int(fanout)}L").alias("g")).agg(joined.alias("h2"), F.sum("n").alias("n2"))
         rows = rows.select(F.col("g").alias("k"), F.col("h2").alias("h"), F.col("n2").alias("n"))
-    return rows.agg(joined.alias("ledger_root"), F.sum("n").alias("entry_count"))
+    return rows.agg(joined.alias("ledger_root"), F.coalesce(F.sum("n"), F.lit(0)).alias("entry_count"))
 
 
 def usage_meter(users: DataFrame, keys: DataFrame, ledger: DataFrame, tenant: str = "tenant_id") -> DataFrame:

@@ -12,8 +12,6 @@ from ..functions.hashing import sha256
 from ..functions.patterns import (
     ALL_PATTERNS,
     CLASSIFICATION,
-    DEFAULT_INDIA_FAMILY,
-    INDIA_FAMILIES,
     INDIA_PATTERNS,
     INDIA_PII,
     PII,
@@ -274,11 +272,6 @@ def token_label(label: Column) -> Column:
     return F.when(F.startswith(F.upper(camel), F.lit("PII")), F.when(stripped == "", "PII").otherwise(stripped)).otherwise(camel)
 
 
-def india_family(label: Column) -> Column:
-    pairs = [F.lit(x) for kv in INDIA_FAMILIES.items() for x in kv]
-    return F.coalesce(F.element_at(F.create_map(*pairs), label), F.lit(DEFAULT_INDIA_FAMILY))
-
-
 _PSEUDO = "struct<start:int,end:int,ord:int,token:string,label:string,type:string,entity:string>"
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_rows
-from ..functions.patterns import JAVA_FLAGS
+from ..functions.patterns import JAVA_FLAGS, word_classes
 from ..functions.presets import DEFAULT_ENFORCEMENT, DEFAULT_NAME, DEFAULT_THRESHOLD, ENFORCEMENTS, bundled_rules
 from ..schemas import RULE
 from .detect import folded, quoted
@@ -79,7 +79,7 @@ def _maybe_broadcast(rules: DataFrame) -> DataFrame:
 def _keyword_sql(keyword: str, text: str) -> str:
     if keyword.isascii() and not re.search(r"[.^$*+?{}\[\]\\|()]", keyword):
         return f"contains(__pfold, {quoted(keyword.lower())})"
-    return f"{text} RLIKE {quoted(JAVA_FLAGS + '(?i)' + keyword)}"
+    return f"{text} RLIKE {quoted(JAVA_FLAGS + '(?i)' + word_classes(keyword))}"
 
 
 def _condition(rule: dict, text: str, labels: str, risk: str) -> str:
@@ -173,7 +173,7 @@ def match_table(
         r = F.broadcast(r)
     hit = (
         F.coalesce(F.arrays_overlap("__l", "entity_types"), F.lit(False))
-        | F.exists("keywords", lambda k: F.rlike(F.col("__t"), F.concat(F.lit(JAVA_FLAGS + "(?i)"), k)))
+        | F.exists("keywords", lambda k: F.rlike(F.col("__t"), F.concat(F.lit(JAVA_FLAGS + "(?i)"), F.replace(k, F.lit(r"\b"), F.lit(word_classes(r"\b"))))))
         | ((F.col("risk_threshold") != 0) & (F.col("__r") >= F.col("risk_threshold")))
     )
     pairs = p.join(r, ["__d", "__s"]).where(hit).groupBy(key).agg(F.array_sort(F.collect_list("__rule")).alias(out))

@@ -105,13 +105,14 @@ def _profile_columns(sev: Column, pii: Column, inj: Column, sem: Column) -> dict
 
 
 def risk_as_of_event(
-    events: DataFrame, *keep: str, cell_us: int = 60_000_000, window_us: int = HOUR_US
+    events: DataFrame, *keep: str, cell_us: int = 60_000_000, window_us: int = HOUR_US, one_by_one: bool = False
 ) -> DataFrame:
     """Profile of the actor at each event, over the hour that ends with it.
 
     Each event adds its values at its time and takes them back just after an
     hour: the trailing sum is then a running sum, which splits an actor into
-    cells of time however busy the actor is.
+    cells of time however busy the actor is. Events of one instant see each
+    other; with ``one_by_one`` they are judged in the order of ``keep``.
     """
     us = F.unix_micros("ts")
     one = lambda c, sign: (F.coalesce(F.col(c), F.lit(False)).cast("bigint") * sign).alias(c)
@@ -128,7 +129,7 @@ def risk_as_of_event(
     both = events.withColumn("d", F.explode(F.array(delta(us, 1), delta(us + window_us + 1, -1)))).select(
         "actor_hash", *carried, "d.*"
     )
-    sums = running_sums(both, ["actor_hash"], "us", {"_sev": "sev", "_pii": "is_pii", "_inj": "is_injection", "_sem": "is_semantic"}, cell_us)
+    sums = running_sums(both, ["actor_hash"], "us", {"_sev": "sev", "_pii": "is_pii", "_inj": "is_injection", "_sem": "is_semantic"}, cell_us, ties=("real", *keep) if one_by_one else ())
     cols = _profile_columns(*[F.col(c) for c in ("_sev", "_pii", "_inj", "_sem")])
     return sums.where("real").select(
         *keep, "actor_hash", F.timestamp_micros("us").alias("ts"), *[c.alias(n) for n, c in cols.items()]

@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 
 
 def running_sums(
-    df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str], width: int, inclusive: bool = True
+    df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str], width: int, inclusive: bool = True, ties: Sequence[str] = ()
 ) -> DataFrame:
     """For each row the sums over all rows of its key up to its ``order`` value.
 
     ``order`` is a BIGINT. Rows are cut into cells of ``width`` along it, so a
     task sorts one cell of one key; what lies before a cell is the running
     total of the cell sums, a table that map-side aggregation keeps small.
-    Rows with equal ``order`` see each other unless ``inclusive`` is false.
+    Rows with equal ``order`` see each other unless ``inclusive`` is false, or
+    ``ties`` names columns that put them in order.
     """
-    cells = df.withColumn("__cell", F.floor(F.col(order) / F.lit(width)))
-    within = Window.partitionBy(*keys, "__cell").orderBy(order).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow if inclusive else -1
-    )
+    cells = df.withColumn("__cell", F.expr(f"`{order}` div {int(width)}L"))
+    within = Window.partitionBy(*keys, "__cell").orderBy(order, *ties)
+    last = Window.currentRow if inclusive else -1
+    within = within.rowsBetween(Window.unboundedPreceding, last) if ties else within.rangeBetween(Window.unboundedPreceding, last)
     local = cells.withColumns({f"__l_{o}": F.coalesce(F.sum(c).over(within), F.lit(0)) for o, c in sums.items()})
     before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     carry = (

@@ -61,7 +61,7 @@ def detect_shadow_ai(log: DataFrame, watch: DataFrame, *keep: str, host: str = "
     w = watch.select(F.lower("domain").alias("domain"), "name", "vendor", "risk")
     if suffix:
         # A watched domain below another watched one: rows of the parent that the child also matches are dropped.
-        nested = w.select(F.col("domain").alias("__child"), F.explode(F.slice(parent_domains(F.col("domain")), 2, 100)).alias("domain"))
+        nested = w.withColumn("__parents", parent_domains(F.col("domain"))).select(F.col("domain").alias("__child"), F.explode(F.expr("slice(__parents, 2, size(__parents))")).alias("domain"))
         children = nested.groupBy("domain").agg(F.collect_set("__child").alias("__children"))
         w = w.join(children, "domain", "left")
         rows = log.select(*keep, F.col(host).alias("__host"), F.explode(parent_domains(F.col(host))).alias("domain"))

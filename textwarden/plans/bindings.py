@@ -54,6 +54,24 @@ FROM {table}"""
 
 VIEWS = {
     "prompts": ("documents", _prompts("documents", "doc_id")),
+    # Many prompts of few actors within an hour, eight of them at the same instant.
+    "bursts": (
+        "documents",
+        _prompts("documents", "doc_id")
+        .replace("doc_id * 45000000 AS us", "doc_id {div} 8 * 40000000 AS us")
+        .replace("concat('u', (doc_id) % 20)", "concat('u', (doc_id) {div} 2 % 12)"),
+    ),
+    # All events within two hours, of several hundred actors.
+    "dense_events": (
+        "events",
+        """
+SELECT event_id, 1705320000000000 - event_id * 7919 % 7200 * 1000000 AS us, concat('actor-', user_id % 400) AS actor_hash,
+  concat('t', user_id % 3) AS tenant_id, value / 50 AS severity,
+  event_type IN ('error', 'signup') AS is_pii, event_type = 'click' AND user_id % 2 = 0 AS is_injection, event_type = 'view' AS is_semantic,
+  CASE event_type WHEN 'error' THEN 'Secret Key' WHEN 'signup' THEN 'PAN Card' WHEN 'click' THEN 'Prompt Leakage Attempt'
+    WHEN 'view' THEN 'Trade Secret' ELSE 'UNKNOWN' END AS label
+FROM events""",
+    ),
     "turns": ("conversations", _prompts("conversations", "conv_id * 100 + turn")),
     "risk_events": (
         "events",
@@ -93,6 +111,12 @@ SELECT event_id AS seq, {us} AS us, concat('t', user_id % 3) AS tenant_id, conca
   CASE WHEN event_type = 'error' THEN 'Policy hit' ELSE NULL END AS policy_triggered,
   concat('{{"actor_hash": "meta-', user_id % 9, '"}}') AS metadata,
   concat('entry/', event_id, '/', {us}, '/', user_id, '/', event_type) AS canonical
+FROM events""",
+    ),
+    "request_bursts": (
+        "events",
+        """
+SELECT event_id AS request_id, 1705320000000000 + event_id * 7919 % 7200 * 1000000 AS us, concat('actor-', user_id % 5) AS actor, event_id % 40 * 100 AS tokens
 FROM events""",
     ),
     "requests": (
@@ -171,7 +195,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         df = df.withColumn("ts", F.timestamp_micros("us"))
     if "expires_us" in df.columns:
         df = df.withColumn("expires_at", F.timestamp_micros("expires_us")).drop("expires_us")
-    if name in ("prompts", "turns"):
+    if name in ("prompts", "turns", "bursts"):
         df = spread(df, "prompt_id")
     return df
 
@@ -180,8 +204,8 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spread(load(spark, sf_dir, "documents").select("doc_id", "text", *columns), "doc_id")
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledger rows with digests; the link holds the digest of the previous ``seq``.
+def ledger(spark: SparkSession, sf_dir: str, linked: bool = False) -> DataFrame:
+    """Ledger rows with digests; ``linked`` adds the digest of the previous ``seq``.
 
     The digest here covers the entry alone, so that SQL can state it; sealed
     chains, whose digests build on one another, come from ``build_chain``.
@@ -195,6 +219,8 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             "actor_hash": F.sha2(F.concat_ws(":", "tenant_id", "user_id", "user_role"), 256),
         }
     )
+    if not linked:
+        return rows
     before = rows.select((F.col("seq") + 1).alias("seq"), F.col("entry_hash").alias("prev_hash"))
     return rows.join(before, "seq", "left").withColumn("prev_hash", F.coalesce("prev_hash", F.lit("GENESIS")))
 

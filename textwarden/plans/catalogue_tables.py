@@ -63,6 +63,7 @@ _SCORE = "least(CAST(100 AS DOUBLE), CAST(round(sev + pii * 8 + inj * 12 + sem *
 _PROFILE = f"""prof AS (SELECT *, {_SCORE} AS score FROM (SELECT actor_hash, sum(CAST(is_pii AS BIGINT)) AS pii, sum(CAST(is_injection AS BIGINT)) AS inj,
   sum(CAST(is_semantic AS BIGINT)) AS sem, sum({_SEV}) AS sev, max(us) AS last_us, array_to_string(list_sort(list_distinct(list(label))), ';') AS labels
   FROM risk_events WHERE us BETWEEN {us(AS_OF_HOUR)} - 3600000000 AND {us(AS_OF_HOUR)} GROUP BY actor_hash))"""
+_DENSE = _PROFILE.replace("FROM risk_events", "FROM dense_events")
 
 
 @query(
@@ -117,8 +118,8 @@ def quarantine_events(spark, sf):
     return r.select("event_id", "actor_hash", "risk_score", "quarantine_reason")
 
 
-def _profiles(spark, sf):
-    e = view(spark, sf, "risk_events").withColumn("labels", F.array("label"))
+def _profiles(spark, sf, events="risk_events"):
+    e = view(spark, sf, events).withColumn("labels", F.array("label"))
     return risk.risk_profile(e, AS_OF_HOUR)
 
 
@@ -136,21 +137,21 @@ def risk_heatmap(spark, sf):
 
 @query(
     "risk_alerts",
-    duck("risk_events", ctes=_PROFILE)
+    duck("dense_events", ctes=_DENSE)
     + """SELECT actor_hash AS id, CASE WHEN pii > 3 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, CASE WHEN pii > 3 THEN 'AUTO_QUARANTINE' ELSE 'RISK_SPIKE' END AS type,
   score AS risk_score, CASE WHEN pii > 3 THEN 'PII_ATTEMPTS_EXCEEDED_3_PER_HOUR' ELSE 'High-risk activity detected' END AS reason, 'OPEN' AS status
 FROM prof WHERE pii > 3 OR score >= 50 OR inj > 0""",
 )
 def risk_alerts(spark, sf):
-    return risk.alerts(risk.heatmap(_profiles(spark, sf))).drop("created_at", "actor_hash")
+    return risk.alerts(_profiles(spark, sf, "dense_events")).drop("created_at", "actor_hash")
 
 
 @query(
     "quarantined_actors",
-    duck("risk_events", ctes=_PROFILE) + "SELECT actor_hash, score AS risk_score FROM prof WHERE pii > 3",
+    duck("dense_events", ctes=_DENSE) + "SELECT actor_hash, score AS risk_score FROM prof WHERE pii > 3",
 )
 def quarantined_actors(spark, sf):
-    return risk.quarantined_actors(risk.heatmap(_profiles(spark, sf))).select("actor_hash", "risk_score")
+    return risk.quarantined_actors(_profiles(spark, sf, "dense_events")).select("actor_hash", "risk_score")
 
 
 @query(
@@ -190,25 +191,29 @@ def actor_rollup(spark, sf):
     )
 
 
-_BUDGET = duck("requests") + """, r AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY us, request_id) AS rn, tokens / CAST(1000 AS DOUBLE) * 0.01::DOUBLE AS cost FROM requests)"""
-_BUDGET = _BUDGET.replace("WITH ", "WITH RECURSIVE ", 1) + """, walk AS (
+_BUDGET = """, r AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY us, request_id) AS rn, tokens / CAST(1000 AS DOUBLE) * 0.01::DOUBLE AS cost FROM {source}), walk AS (
   SELECT actor, rn, request_id, us AS start_us, 1 AS used, cost AS spent, 'OK' AS decision FROM r WHERE rn = 1
   UNION ALL
   SELECT actor, rn, request_id, start_us, CASE WHEN d = 'OK' THEN used0 + 1 ELSE used0 END, CASE WHEN d = 'OK' THEN spent0 + cost ELSE spent0 END, d FROM (
-    SELECT *, CASE WHEN used0 + 1 > 120 THEN 'RATE_LIMIT_EXCEEDED' WHEN spent0 + cost > {cap} THEN 'COST_BUDGET_EXCEEDED' ELSE 'OK' END AS d FROM (
+    SELECT *, CASE WHEN used0 + 1 > {most} THEN 'RATE_LIMIT_EXCEEDED' WHEN spent0 + cost > {cap} THEN 'COST_BUDGET_EXCEEDED' ELSE 'OK' END AS d FROM (
       SELECT r.actor, r.rn, r.request_id, r.cost, CASE WHEN r.us - w.start_us > {win} THEN r.us ELSE w.start_us END AS start_us,
         CASE WHEN r.us - w.start_us > {win} THEN 0 ELSE w.used END AS used0, CASE WHEN r.us - w.start_us > {win} THEN CAST(0 AS DOUBLE) ELSE w.spent END AS spent0
       FROM walk w JOIN r ON r.actor = w.actor AND r.rn = w.rn + 1)))
 SELECT request_id, start_us AS window_start, decision FROM walk"""
 
 
-@query("rate_cost_decisions", _BUDGET.format(cap="CAST(5 AS DOUBLE)", win=60_000_000))
+def _budget_sql(source: str, **limits) -> str:
+    return duck(source).replace("WITH ", "WITH RECURSIVE ", 1) + _BUDGET.format(source=source, **limits)
+
+
+@query("rate_cost_decisions", _budget_sql("request_bursts", cap="CAST(0.1 AS DOUBLE)", win=60_000_000, most=8))
 def rate_cost_decisions(spark, sf):
-    d = budget.rate_cost_decisions(view(spark, sf, "requests"))
+    """Requests of five actors within two hours, so that both limits are reached."""
+    d = budget.rate_cost_decisions(view(spark, sf, "request_bursts"), max_requests=8, max_cost=0.1)
     return d.select("request_id", "window_start", "decision")
 
 
-@query("budget_by_day", _BUDGET.format(cap="CAST(1 AS DOUBLE)", win=86_400_000_000))
+@query("budget_by_day", _budget_sql("requests", cap="CAST(1 AS DOUBLE)", win=86_400_000_000, most=120))
 def budget_by_day(spark, sf):
     """A tighter budget over a day, so that both limits are reached."""
     d = budget.rate_cost_decisions(
@@ -237,7 +242,7 @@ _LEDGER = duck("ledger_rows", ctes=LEDGER_CTE)
 @query("ledger_verify", _LEDGER + """SELECT 'global' AS chain_id, TRUE AS valid, count(*) AS total_entries, CAST(NULL AS BIGINT) AS corrupted_seq, CAST(NULL AS VARCHAR) AS corrupted_reason
 FROM ledger HAVING bool_and(entry_hash = sha256(canonical))""")
 def ledger_verify(spark, sf):
-    return led.verify_chain(ledger(spark, sf), block=5_000)
+    return led.verify_chain(ledger(spark, sf, linked=True), block=5_000)
 
 
 _TAMPER = """, tampered AS (SELECT * REPLACE (CASE WHEN seq % 4001 = 4000 THEN canonical || '!' ELSE canonical END AS canonical,
@@ -248,7 +253,7 @@ bad AS (SELECT seq, CASE WHEN prev_hash <> coalesce(lag(entry_hash) OVER (ORDER
 
 
 def _tampered(spark, sf):
-    rows = ledger(spark, sf)
+    rows = ledger(spark, sf, linked=True)
     return rows.withColumns(
         {
             "canonical": F.when(F.col("seq") % 4001 == 4000, F.concat("canonical", F.lit("!"))).otherwise(F.col("canonical")),
@@ -319,33 +324,40 @@ def incident_timeline(spark, sf):
     return led.incident_timeline(ledger(spark, sf), "meta-4").select("seq", "action", "entry_hash")
 
 
-@query(
-    "timeline_certificate",
-    _LEDGER
-    + """SELECT count(*) AS total, sha256('["' || string_agg(entry_hash, '","' ORDER BY seq DESC) || '"]') AS certificate FROM ledger WHERE json_extract_string(metadata, '$.actor_hash') = 'meta-4'""",
+def _tree_sql(leaves: str, fanout: int) -> tuple[str, str]:
+    """CTEs l0 (k, h, n) from ``leaves`` up to the level that holds one node; the last SELECT gives root and count."""
+    levels = led.tree_levels(fanout)
+    ctes = [f"l0 AS ({leaves})"] + [
+        f"l{i + 1} AS (SELECT k // {fanout} AS k, sha256(string_agg(h, '' ORDER BY k)) AS h, sum(n) AS n FROM l{i} GROUP BY 1)" for i in range(levels)
+    ]
+    return ", ".join(ctes), f"sha256(string_agg(h, '' ORDER BY k)) AS {{root}}, CAST(sum(n) AS BIGINT) AS {{count}} FROM l{levels}"
+
+
+_CERT_LEAVES, _CERT_ROOT = _tree_sql(
+    """SELECT seq AS k, 1 AS n, sha256(concat('{"timestamp":null,"action":"', action, '","policy_triggered":', coalesce('"' || policy_triggered || '"', 'null'),
+  ',"risk_score":', coalesce(CAST(risk_score AS VARCHAR), 'null'), ',"model_queried":', coalesce('"' || model_queried || '"', 'null'), ',"entry_hash":"', entry_hash, '"}')) AS h
+  FROM ledger WHERE json_extract_string(metadata, '$.actor_hash') = 'meta-4'""",
+    led.FANOUT,
 )
+
+
+@query("timeline_certificate", _LEDGER.rstrip() + ", " + _CERT_LEAVES + " SELECT " + _CERT_ROOT.format(root="certificate", count="total"))
 def timeline_certificate(spark, sf):
     return led.timeline_certificate(led.incident_timeline(ledger(spark, sf), "meta-4"))
 
 
-@query(
-    "ledger_anchor",
-    _LEDGER
-    + """SELECT sha256('["' || string_agg(entry_hash, '", "' ORDER BY seq DESC) || '"]') AS ledger_root, count(*) AS entry_count
-FROM (SELECT * FROM ledger WHERE tenant_id = 't1' ORDER BY seq DESC LIMIT 100000)""",
-)
+_ANCHOR_LEAVES, _ANCHOR_ROOT = _tree_sql("SELECT seq AS k, 1 AS n, entry_hash AS h FROM ledger WHERE tenant_id = 't1'", led.FANOUT)
+
+
+@query("ledger_anchor", _LEDGER.rstrip() + ", " + _ANCHOR_LEAVES + " SELECT " + _ANCHOR_ROOT.format(root="ledger_root", count="entry_count"))
 def ledger_anchor(spark, sf):
     return led.anchor_root(ledger(spark, sf), "t1")
 
 
-@query(
-    "ledger_root",
-    _LEDGER
-    + """, l1 AS (SELECT seq // 1000 AS g, sha256(string_agg(entry_hash, '' ORDER BY seq)) AS h, count(*) AS n FROM ledger GROUP BY 1),
-l2 AS (SELECT g // 1000 AS g2, sha256(string_agg(h, '' ORDER BY g)) AS h2, sum(n) AS n2 FROM l1 GROUP BY 1),
-l3 AS (SELECT g2 // 1000 AS g3, sha256(string_agg(h2, '' ORDER BY g2)) AS h3, sum(n2) AS n3 FROM l2 GROUP BY 1)
-SELECT sha256(string_agg(h3, '' ORDER BY g3)) AS ledger_root, CAST(sum(n3) AS BIGINT) AS entry_count FROM l3""",
-)
+_ROOT_LEAVES, _ROOT_ROOT = _tree_sql("SELECT seq AS k, 1 AS n, entry_hash AS h FROM ledger", 1000)
+
+
+@query("ledger_root", _LEDGER.rstrip() + ", " + _ROOT_LEAVES + " SELECT " + _ROOT_ROOT.format(root="ledger_root", count="entry_count"))
 def ledger_root(spark, sf):
     return led.merkle_root(ledger(spark, sf), fanout=1000)
 
@@ -445,20 +457,43 @@ def scheduled_evidence(spark, sf):
     return led.scheduled_evidence(plan, rows).drop("avg_risk_score", "org_name")
 
 
-@query("sealed_chain")
+_DAY_US = 86_400_000_000
+
+
+@query(
+    "sealed_chain",
+    duck("ledger_rows").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + f""", e AS (SELECT concat(tenant_id, '/', us // {_DAY_US}) AS chain_id, seq, concat('"', canonical, '"|') AS body,
+    row_number() OVER (PARTITION BY tenant_id, us // {_DAY_US} ORDER BY seq) AS i FROM ledger_rows),
+c AS (SELECT chain_id, i, sha256(concat('pepper:', body, 'GENESIS')) AS h FROM e WHERE i = 1
+  UNION ALL SELECT e.chain_id, e.i, sha256(concat('pepper:', e.body, c.h)) FROM c JOIN e ON e.chain_id = c.chain_id AND e.i = c.i + 1),
+heads AS (SELECT chain_id AS name, max(i) AS entries, arg_max(h, i) AS head, row_number() OVER (ORDER BY chain_id) AS i FROM c GROUP BY 1),
+r AS (SELECT i, sha256(concat('pepper:', name, '|', entries, '|', head, '|GENESIS')) AS h FROM heads WHERE i = 1
+  UNION ALL SELECT n.i, sha256(concat('pepper:', name, '|', entries, '|', head, '|', r.h)) FROM r JOIN heads n ON n.i = r.i + 1)
+SELECT name AS chain_id, TRUE AS valid, entries AS total_entries, head FROM heads
+UNION ALL SELECT 'root', TRUE, count(*), arg_max(h, i) FROM r""",
+)
 def sealed_chain(spark, sf):
-    """Entries sealed per tenant, then verified; every row must be valid."""
-    rows = ledger(spark, sf).select(
-        F.col("tenant_id").alias("chain_id"), "seq", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS+00:00").alias("timestamp"),
-        "actor_hash", "tenant_id", "user_id", "user_role", "department", "action", "redactions_applied", "policy_triggered", "model_queried", "risk_score", "metadata",
+    """Entries sealed per tenant and day and a chain over these chains, each verified, with the last digest."""
+    rows = view(spark, sf, "ledger_rows").select(
+        F.concat_ws("/", "tenant_id", F.expr(f"us div {_DAY_US}L").cast("string")).alias("chain_id"),
+        "seq",
+        F.concat(F.lit('"'), "canonical", F.lit(f'"|{led.PREV_MARK}')).alias("body"),
     )
-    sealed = led.build_chain(led.ledger_body(rows), salt="pepper")
-    return led.verify_chain(sealed, "chain_id", "pepper")
+    sealed = led.build_chain(rows, salt="pepper")
+    root = led.build_chain(led.chain_heads(sealed), salt="pepper")
+    out = None
+    for chain in (sealed, root):
+        last = chain.groupBy(F.col("chain_id").alias("c")).agg(F.max_by("entry_hash", "seq").alias("head"))
+        checked = led.verify_chain(chain, "chain_id", "pepper").join(last, F.col("chain_id") == F.col("c"))
+        part = checked.select("chain_id", "valid", "total_entries", "head")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("evidence_report")
 def evidence_report(spark, sf):
-    tables = led.evidence_tables(ledger(spark, sf), _profiles(spark, sf).drop("labels"))
+    tables = led.evidence_tables(ledger(spark, sf, linked=True), _profiles(spark, sf).drop("labels"))
     return tables["certificate"]
 
 
@@ -798,34 +833,14 @@ def recent_events(spark, sf):
     return metrics.recent_events(view(spark, sf, "usage_events")).select("event_id", "us", "event")
 
 
-_KIND = "CASE event_id % 8 " + " ".join(f"WHEN {i} THEN {{}}" for i in range(8)) + " END"
-_K = lambda j: _KIND.format(*[f"'{e[j]}'" if isinstance(e[j], str) else e[j] for e in metrics.SAMPLE_EVENTS])
-
-
-@query(
-    "sample_events",
-    "SELECT event_id, CASE event_id % 7 "
-    + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(metrics.SAMPLE_ACTORS))
-    + f" END AS actor, {_K(1)} AS event, {_K(2)} AS policy, {_K(0)} AS detection_type, CAST({_K(4)} AS BIGINT) AS pii_count, "
-    + "least(1000, "
-    + _KIND.format(*[round(e[3] * 100) for e in metrics.SAMPLE_EVENTS])
-    + " + event_id % 7 * 7) / CAST(100 AS DOUBLE) AS risk_score FROM events",
-)
-def sample_events(spark, sf):
-    """The fixture pattern laid over the event table."""
-    e = load(spark, sf, "events").select("event_id")
-    s = metrics.with_sample_kind(e, F.col("event_id"))
-    return s.select("event_id", "actor", "event", "policy", "detection_type", F.col("pii_count").cast("bigint").alias("pii_count"), "risk_score")
-
-
-_HOOKS = """hooks AS (SELECT substring(sha256(concat('https://hook.example/', c_custkey, 't', c_custkey % 3)), 1, 12) AS hook_id, c_custkey % 4 <> 0 AS active, concat('t', c_custkey % 3) AS tenant_id,
-  CASE c_custkey % 5 WHEN 0 THEN ['AI_QUERY'] WHEN 1 THEN ['PROMPT_BLOCKED', 'AI_QUERY'] WHEN 2 THEN ['USER_AUTO_QUARANTINED'] ELSE [] END AS event_types FROM customer WHERE c_acctbal > 9900)"""
+_HOOKS = """hooks AS (SELECT substring(sha256(concat('https://hook.example/', c_custkey, 't', c_custkey % 5000)), 1, 12) AS hook_id, c_custkey % 4 <> 0 AS active, concat('t', c_custkey % 5000) AS tenant_id,
+  CASE c_custkey % 5 WHEN 0 THEN ['AI_QUERY'] WHEN 1 THEN ['PROMPT_BLOCKED', 'AI_QUERY'] WHEN 2 THEN ['USER_AUTO_QUARANTINED'] ELSE [] END AS event_types FROM customer)"""
 
 
 def _hooks(spark, sf):
-    c = load(spark, sf, "customer").where("c_acctbal > 9900")
+    c = load(spark, sf, "customer")
     k = F.col("c_custkey")
-    url, tenant = F.concat(F.lit("https://hook.example/"), k), F.concat(F.lit("t"), k % 3)
+    url, tenant = F.concat(F.lit("https://hook.example/"), k), F.concat(F.lit("t"), k % 5000)
     types = (
         F.when(k % 5 == 0, F.array(F.lit("AI_QUERY")))
         .when(k % 5 == 1, F.array(F.lit("PROMPT_BLOCKED"), F.lit("AI_QUERY")))
@@ -846,10 +861,10 @@ _PAD = {m: "".join(f"\\x{(b ^ m):02X}" for b in b"s3cret".ljust(64, b"\0")) for
     duck("ledger_rows", ctes=_HOOKS)
     + f"""SELECT seq, hook_id, sha256(body) AS body_sha, 'sha256=' || sha256('{_PAD[0x5C]}'::BLOB || unhex(sha256('{_PAD[0x36]}'::BLOB || encode(body)))) AS signature FROM (
   SELECT seq, hook_id, concat('{{"event_type":"', action, '","tenant_id":"', tenant_id, '","timestamp":"', us, '","payload":"', user_id, '"}}') AS body
-  FROM ledger_rows JOIN hooks USING (tenant_id) WHERE active AND list_contains(event_types, action))""",
+  FROM (SELECT * REPLACE (concat('t', seq % 5000) AS tenant_id) FROM ledger_rows) JOIN hooks USING (tenant_id) WHERE active AND list_contains(event_types, action))""",
 )
 def webhook_routes(spark, sf):
-    e = view(spark, sf, "ledger_rows").select("seq", "tenant_id", F.col("action").alias("event_type"), F.col("us").alias("ts"), F.col("user_id").alias("payload"))
+    e = view(spark, sf, "ledger_rows").select("seq", F.concat(F.lit("t"), F.col("seq") % 5000).alias("tenant_id"), F.col("action").alias("event_type"), F.col("us").alias("ts"), F.col("user_id").alias("payload"))
     r = metrics.route_webhooks(e, _hooks(spark, sf), "seq")
     return r.select("seq", "hook_id", F.sha2("body", 256).alias("body_sha"), "signature")
 
@@ -878,4 +893,4 @@ def outbox_retry(spark, sf):
   bool_and(entry_hash = sha256(canonical)) AS ledger_valid, count(*) AS total_entries, arg_max(entry_hash, seq) AS last_entry_hash FROM ledger""",
 )
 def control_room(spark, sf):
-    return rooms.control_room(ledger(spark, sf), view(spark, sf, "risk_events"), AS_OF_HOUR)
+    return rooms.control_room(ledger(spark, sf, linked=True), view(spark, sf, "risk_events"), AS_OF_HOUR)

@@ -164,13 +164,13 @@ def ssn_snippets(spark, sf):
 @query(
     "findings_union",
     duck("prompts", ctes=o.counts_cte("prompts", "prompt_id"))
-    + f"SELECT prompt_id, {_n(o.N_ALL)} AS n_findings, {_n(o.N_ALL)} AS n_distinct FROM cnt",
+    + f"SELECT prompt_id, {_n('(' + o.N_ALL + ' + ' + o.N_INDIA + ')')} AS n_findings, {_n(o.N_ALL)} AS n_distinct FROM cnt",
 )
 def findings_union(spark, sf):
-    """The two scanners concatenated, and what deduplication leaves."""
+    """Findings of both scanners and once more those of one of them, and what deduplication leaves."""
     p = view(spark, sf, "prompts").select("prompt_id", "text")
     both = detect.scan_india_pii(detect.scan_us(p, out="us"), out="india")
-    merged = both.select("prompt_id", detect.union_findings("us", "india").alias("f"))
+    merged = both.select("prompt_id", detect.union_findings("us", "india", "india").alias("f"))
     return merged.select(
         "prompt_id", F.size("f").cast("bigint").alias("n_findings"), F.size(detect.dedupe_findings("f")).cast("bigint").alias("n_distinct")
     )
@@ -276,11 +276,12 @@ def audit_payloads(spark, sf):
 
 @query(
     "pattern_coverage",
-    duck("prompts", ctes=o.long_cte("prompts", "prompt_id"))
-    + f"SELECT unnest([{', '.join(o.lit(x) for x in REQUIRED_LABELS)}]) AS label EXCEPT SELECT label FROM hits",
+    "WITH " + o.long_cte("documents", "doc_id")
+    + f" SELECT unnest([{', '.join(o.lit(x) for x in REQUIRED_LABELS)}]) AS label EXCEPT SELECT label FROM hits",
 )
 def pattern_coverage(spark, sf):
-    return detect.pattern_coverage(_prompt_counts(spark, sf))
+    """Required labels that no document holds."""
+    return detect.pattern_coverage(_doc_counts(spark, sf))
 
 
 # ---- adversarial ----------------------------------------------------------
@@ -316,13 +317,16 @@ def encoded_payloads(spark, sf):
     return p.select("prompt_id", F.expr(adversarial.encoded_payload("text")).isNotNull().alias("has_payload"))
 
 
+_JUDGED = "CASE prompt_id % 11 WHEN 0 THEN ' You are now ROOT' WHEN 1 THEN ' Disable all SAFETY checks' WHEN 2 THEN ' you are now rooted elsewhere' WHEN 3 THEN ' disable safety' ELSE '' END"
+
+
 @query(
     "local_judge",
     duck("turns")
-    + "SELECT prompt_id, contains(lower(text), 'you are now root') OR contains(lower(text), 'disable all safety') AS judged FROM turns",
+    + f"SELECT prompt_id, contains(lower(t), 'you are now root') OR contains(lower(t), 'disable all safety') AS judged FROM (SELECT prompt_id, concat(text, {_JUDGED}) AS t FROM turns)",
 )
 def local_judge(spark, sf):
-    return view(spark, sf, "turns").select("prompt_id", adversarial.local_judge("text").alias("judged"))
+    return view(spark, sf, "turns").select("prompt_id", adversarial.local_judge(F.expr(f"concat(text, {_JUDGED})")).alias("judged"))
 
 
 @query(
@@ -530,6 +534,70 @@ def gateway_decisions(spark, sf):
     )
 
 
+_BURST = "prompt_id, us, concat(':', tenant_id, ':', actor) AS who, text, department, preferred_model"
+_GATE_CTES = ", ".join(
+    (
+        o.counts_cte("bursts", _BURST),
+        o.injection_cte("bursts", "prompt_id"),
+        o.guardian_cte("bursts", "prompt_id"),
+        _RULES,
+        f"""facts AS (SELECT *, least(CAST(10 AS DOUBLE), greatest({o.RISK} + {o.INJECTION_SCORE}, {o.GUARDIAN_SCORE})) AS risk, {o.SENSITIVITY} AS sens,
+  list_concat(list_concat({o.LABELS}, {o.INJECTION_LABELS}), CASE WHEN {o.GUARDIAN_SCORE} >= 7 THEN {o.GUARDIAN_LABELS} ELSE [] END) AS labels,
+  {_N_PII} > 0 AS is_pii, len({o.INJECTION_LABELS}) > 0 OR {o.GUARDIAN_SCORE} >= 7 AS is_inj
+  FROM cnt JOIN inj USING (prompt_id) JOIN gua USING (prompt_id))""",
+        """matched AS (SELECT f.prompt_id, f.preferred_model, r.* FROM facts f JOIN rules r ON r.dept = f.department
+  WHERE list_has_any(r.entity_types, f.labels) OR len(list_filter(r.keywords, lambda k: regexp_matches(f.text, k, 'i'))) > 0
+    OR (r.threshold <> 0 AND f.risk >= r.threshold))""",
+        """agg AS (SELECT prompt_id, bool_or(enforcement = 'block') AS blocked, string_agg(name, ', ' ORDER BY rule_ord) AS triggered,
+  arg_max('Policy ''' || name || ''' blocked: ' || description, CASE WHEN enforcement = 'block' THEN rule_ord END) AS block_reason,
+  bool_and(len(models) = 0 OR preferred_model IS NULL OR list_contains(models, preferred_model)) AS model_allowed FROM matched GROUP BY 1)""",
+        """hour AS (SELECT e.prompt_id, count(*) FILTER (x.is_pii) AS pii, count(*) FILTER (x.is_inj) AS inj, sum(CAST(x.risk AS DECIMAL(28,8))) AS sev
+  FROM facts e JOIN facts x ON x.who = e.who AND x.us >= e.us - 3600000000 AND (x.us < e.us OR x.us = e.us AND x.prompt_id <= e.prompt_id) GROUP BY 1)""",
+        f"""decided AS (SELECT *, greatest(risk, sens) AS final, CASE WHEN pii > {risk.PII_LIMIT} THEN '{gateway.QUARANTINED}' WHEN is_inj THEN '{gateway.INJECTION}'
+  WHEN blocked THEN '{gateway.BLOCKED}' WHEN NOT coalesce(model_allowed, TRUE) THEN '{gateway.MODEL_REFUSED}' ELSE '{gateway.ALLOWED}' END AS action
+  FROM facts JOIN hour USING (prompt_id) LEFT JOIN agg USING (prompt_id))""",
+    )
+)
+
+
+@query(
+    "gateway_decisions_plain",
+    duck("bursts", ctes=_GATE_CTES)
+    + f"""SELECT prompt_id, action,
+  CASE action WHEN '{gateway.QUARANTINED}' THEN '{risk.QUARANTINE_REASON}' WHEN '{gateway.INJECTION}' THEN '{gateway.INJECTION_POLICY}'
+    WHEN '{gateway.BLOCKED}' THEN block_reason WHEN '{gateway.ALLOWED}' THEN triggered END AS policy_triggered,
+  CASE action WHEN '{gateway.BLOCKED}' THEN preferred_model WHEN '{gateway.ALLOWED}' THEN CASE WHEN final > 7 OR preferred_model IS NULL THEN 'llama3.1' ELSE preferred_model END END AS model_queried,
+  round(CASE WHEN action IN ('{gateway.ALLOWED}', '{gateway.MODEL_REFUSED}') THEN final ELSE risk END, 4) AS risk_score,
+  least(CAST(100 AS DOUBLE), CAST(round(sev + pii * 8 + inj * 12 + CASE WHEN pii > {risk.PII_LIMIT} THEN 25 ELSE 0 END, 2) AS DOUBLE)) AS user_risk_score,
+  CASE WHEN action = '{gateway.ALLOWED}' THEN CASE WHEN final > 7 THEN '{mask.ROUTES["gateway"][0]}' ELSE '{mask.ROUTES["gateway"][1]}' END END AS route
+FROM decided""",
+)
+def gateway_decisions_plain(spark, sf):
+    """The flagship without its semantic part, on prompts close in time, so that SQL can state it."""
+    d = gateway.gateway_decide(view(spark, sf, "bursts"), semantic=False)
+    return d.select("prompt_id", "action", "policy_triggered", "model_queried", F.round("risk_score", 4).alias("risk_score"), "user_risk_score", "route")
+
+
+@query(
+    "gateway_simulation_plain",
+    duck("bursts", ctes=_GATE_CTES.replace(f"greatest({o.RISK} + {o.INJECTION_SCORE}, {o.GUARDIAN_SCORE})", f"{o.RISK} + {o.INJECTION_SCORE}").replace(
+        f"CASE WHEN {o.GUARDIAN_SCORE} >= 7 THEN {o.GUARDIAN_LABELS} ELSE [] END", "[]"))
+    + f"""SELECT prompt_id, CASE WHEN blocked THEN 'block' WHEN redacts THEN 'redact' ELSE 'warn' END AS action, round(greatest(risk, sens), 4) AS risk_score,
+  coalesce(names, '') AS triggered_rules, coalesce(model_allowed, TRUE) AS model_allowed,
+  CASE WHEN greatest(risk, sens) > 7 THEN '{mask.ROUTES["simulate"][0]}' ELSE '{mask.ROUTES["simulate"][1]}' END AS recommended_route,
+  {o.N_ALL} + len({o.INJECTION_LABELS}) AS findings_count
+FROM facts LEFT JOIN agg USING (prompt_id)
+LEFT JOIN (SELECT prompt_id, bool_or(enforcement = 'redact') AS redacts, string_agg(name, ';' ORDER BY rule_ord) AS names FROM matched GROUP BY 1) USING (prompt_id)""",
+)
+def gateway_simulation_plain(spark, sf):
+    """The dry run without the semantic part."""
+    s = gateway.simulate(view(spark, sf, "bursts"), semantic=False)
+    return s.select(
+        "prompt_id", "action", F.round("risk_score", 4).alias("risk_score"), F.array_join("triggered_rules", ";").alias("triggered_rules"),
+        "model_allowed", "recommended_route", F.col("findings_count").cast("bigint").alias("findings_count"),
+    )
+
+
 @query("gateway_simulation")
 def gateway_simulation(spark, sf):
     s = gateway.simulate(view(spark, sf, "prompts"))

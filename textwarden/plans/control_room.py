@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators.ledger import audit_summary, verify_chain
 from ..operators.metrics import snapshot
-from ..operators.risk import alerts, heatmap, quarantined_count, risk_profile
+from ..operators.risk import alerts, quarantined_count, risk_profile
 
 
 def control_room(ledger: DataFrame, events: DataFrame, as_of: str) -> DataFrame:
     """Open alerts, quarantined actors, ledger figures and its integrity, as one row."""
     profiles = risk_profile(events, as_of)
     parts = snapshot(
-        alerts=alerts(heatmap(profiles)).agg(F.count("*").alias("n")),
+        alerts=alerts(profiles).agg(F.count("*").alias("n")),
         held=quarantined_count(profiles),
         stats=audit_summary(ledger),
         last=ledger.agg(F.max_by("entry_hash", "seq").alias("h")),

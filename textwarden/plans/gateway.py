@@ -115,6 +115,7 @@ def gateway_decide(
 ) -> DataFrame:
     """One ledger row per prompt: quarantine, injection, policy, model, or passed on.
 
+    Prompts of an actor with one timestamp are judged one by one in the order of ``key``.
     ``history`` may add earlier events of the same actors. Facts are cut to the
     checkpoint folder, because the trailing hour reads them more than once and
     the scan is the expensive part.
@@ -127,7 +128,7 @@ def gateway_decide(
     if history is not None:
         past = history.select(F.lit(None).cast(facts.schema[key].dataType).alias(key), "actor_hash", "ts", "severity", *flags)
         events = events.unionByName(past)
-    profile = risk_as_of_event(events, key).where(F.col(key).isNotNull())
+    profile = risk_as_of_event(events, key, one_by_one=True).where(F.col(key).isNotNull())
     held = profile.select(key, F.col("risk_score").alias("user_risk_score"), "quarantined", "quarantine_reason")
     rows = facts.join(held, key)
     d = F.col("decision")

@@ -11,7 +11,6 @@ from ..functions.patterns import ALL_PATTERNS, INDIA_PATTERNS, US_PATTERNS, Patt
 from ..operators.adversarial import (
     GUARDIAN_RULES,
     INJECTION_RULES,
-    PAYLOAD_CANDIDATES,
     PAYLOAD_REGEX,
     PAYLOAD_WORDS,
 )
@@ -152,7 +151,7 @@ def _any(patterns, text: str) -> str:
 
 
 def payload_hit(text: str) -> str:
-    found = f"regexp_extract_all({text}, {lit(PAYLOAD_REGEX)})[1:{PAYLOAD_CANDIDATES}]"
+    found = f"regexp_extract_all({text}, {lit(PAYLOAD_REGEX)})"
     body = "rtrim(c, '=')"
     padded = f"rpad({body}, CAST(ceil(length({body}) / 4.0) * 4 AS INTEGER), '=')"
     decoded = f"TRY(decode(from_base64({padded})))"

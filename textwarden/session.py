@@ -78,13 +78,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a small input one partition per core; leave large inputs alone.
+    """In local mode, one partition per core; on a cluster the frame as it is.
 
     A Parquet file with a single row group arrives as one busy task however
-    many cores there are. Inputs with enough splits are returned unchanged, so
-    at scale no text is shuffled.
+    many cores there are. That matters for tests and benchmarks on one machine;
+    a cluster reads many files, and there texts are never shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores * 2:
+    spark = df.sparkSession
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         return df
-    return df.repartition(cores * 2, key)
+    return df.repartition(spark.sparkContext.defaultParallelism * 2, key)

@@ -117,7 +117,7 @@ def load_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def rules_list(rules: DataFrame) -> list[dict]:
     """Rows of a checked rule table for ``policy.match_rules``."""
-    return [r.asDict() for r in rules.drop("errors").orderBy("rule_ord").limit(10_000).collect()]
+    return [r.asDict() for r in rules.drop("errors").orderBy("rule_ord").collect()]
 
 
 def read_inbound_json(df: DataFrame, *columns: str, out: str = "text") -> DataFrame:

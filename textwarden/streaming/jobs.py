@@ -17,7 +17,6 @@ from ..operators.risk import (
     QUARANTINE_REASON,
     SEVERITY_UNITS,
     alerts,
-    heatmap,
     risk_profile,
     risk_score,
     severity_units,
@@ -201,7 +200,7 @@ def control_room_writer(store: str, target: str, as_of: Callable[[], str], snaps
 def risk_snapshot(events: DataFrame, as_of: str) -> DataFrame:
     """Open alerts and quarantined actors at one instant."""
     profiles = risk_profile(events, as_of)
-    loud = alerts(heatmap(profiles)).agg(F.count("*").alias("open_alerts")).withColumn("k", F.lit("alerts"))
+    loud = alerts(profiles).agg(F.count("*").alias("open_alerts")).withColumn("k", F.lit("alerts"))
     held = profiles.agg(F.count_if("quarantined").alias("quarantined_users")).withColumn("k", F.lit("held"))
     both = loud.unionByName(held, allowMissingColumns=True)
     return both.agg(F.max("open_alerts").alias("open_alerts"), F.max("quarantined_users").alias("quarantined_users"))
