@@ -12,13 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textwarden.llm import decontaminate, host_quality, ngram_join, packing, toxicity
-from textwarden.llm.common import read, stored
-from textwarden.session import configure
+from textwarden.llm.common import prepare, read, stored
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity machine does not reject."""
-    return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, read(prepare(spark), sf_dir, "labels"))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,16 +27,18 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group of near-duplicates (five words, 0.8)."""
+    prepare(spark)
     return ngram_join.one_per_component(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    return decontaminate.decontaminated(docs, read(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminated(docs, read(prepare(spark), sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their sequence and their place in it."""
+    prepare(spark)
     return packing.pack(docs)
 
 
@@ -55,7 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared folder and read again."""
-    configure(spark)
+    prepare(spark)
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))

@@ -10,17 +10,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, cut
+from ..session import checkpoint_dir, configure, cut
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that reach a Python worker at once; texts may be long.
+BATCH = 1000
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Runtime settings for operators that send texts to Python workers."""
+    configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    return spark
+
+
 def worker_memory(name: str) -> dict:
-    """A dict that lives as long as its Python worker; functions sent to workers bring no state of their own."""
-    home = sys.modules.setdefault("_textwarden_worker", types.ModuleType("_textwarden_worker"))
-    return home.__dict__.setdefault(name, {})
+    """A dict that lives as long as its Python worker, or until another name is asked for.
+
+    Functions sent to workers bring no state of their own; what one operator
+    remembers must not fill the worker of the next.
+    """
+    home = sys.modules.setdefault("_textwarden_worker", types.ModuleType("_textwarden_worker")).__dict__
+    if home.get("name") != name:
+        home["name"], home["memory"] = name, {}
+    return home["memory"]
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -82,11 +99,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
     nodes = now
     now = now.where("u <> v")
-    seen = None
+    mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    seen = mark(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         now = cut(
@@ -95,10 +113,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        before, seen = seen, mark(now)
+        if before == seen:
             break
-        seen = mark
     else:
         raise RuntimeError("components did not settle")
     every = nodes.select(F.col("u").alias("node")).unionByName(nodes.select(F.col("v").alias("node"))).distinct()

@@ -8,19 +8,21 @@ through, long ones demand more common shingles. A pair is a candidate when it
 shares min(l, l') prefix shingles.
 
 Of two documents the smaller is looked up by a shorter prefix, since the pair
-must then share more than its own size alone demands.
+must then share more than its own size alone demands. Where a shingle stands in
+both prefixes also bounds what the pair can share: up to there only shingles
+that other prefixes hold too, behind it what is left of either set.
 
 The global order is by estimated frequency, rare first. Estimates come from
 counters over all shingles of all documents (a fixed table of ``COUNTERS``,
 its size does not grow with the data); they steer cost only, any order gives
 the same result.
 
-Large groups do not become all pairs. Equal sets are one class. In ``STARS``
-rounds each class is compared with one other class, the centre of most of its
-lists (linear in the rows); verified links are merged into components. Only
-lists that then still hold several components yield pairs, and only between
-different components. Links inside a component cannot change it, so the
-components are those of all links.
+Large groups do not become all pairs. Equal sets are one class. Each class is
+compared with one other class, the centre of most of its lists, and if that
+fails with a second one (linear in the rows); verified links are merged into
+components. Only lists that then still hold several components yield pairs,
+and only between different components. Links inside a component cannot change
+it, so the components are those of all links.
 
 Defined results: words end at blanks, tabs and line ends; fewer words than n
 are one shingle; no words, null or "" give an empty set, linked with nothing;
@@ -39,7 +41,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, stored
@@ -48,11 +50,11 @@ from .shingles import blank_words, shingle_set, word_hashes
 #: Counters of the frequency estimate, as a power of two, and in how many rows they travel.
 COUNTERS = 22
 CHUNKS = 64
-#: Longest extension of a prefix, and what verifying a candidate costs in list entries.
-LONGEST = 5
+#: Longest extension of a prefix, what verifying a candidate costs in list entries, and
+#: how many unrelated sets hold a shingle that the counters show as met once.
+LONGEST = 8
 VERIFY_COST = 50.0
-#: Rounds of comparisons with centres before the remaining pairs are listed.
-STARS = 3
+BACKGROUND = 0.25
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -112,7 +114,7 @@ def prefix_of(shingles: np.ndarray, levels: np.ndarray, noise: float, similarity
     longest = min(LONGEST, n - base)
     order = np.lexsort((shingles, level))[: base + longest]
     others = np.maximum(0.0, np.exp2(level[order] / 2) - np.exp2(noise / 2)) * (level[order] > noise + 1)
-    upto = np.cumsum(others)
+    upto = np.cumsum(others + BACKGROUND)
     cost = [upto[base + k - 1] + VERIFY_COST * upto[base + k - 1] / k + base + k for k in range(1, longest + 1)]
     best = int(np.argmin(cost)) + 1
     return shingles[order[: base + best]], best
@@ -172,6 +174,24 @@ def _sizes_fit(x: str, y: str, similarity: Fraction) -> Column:
     return (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
 
 
+def _bound(x: str, y: str, similarity: Fraction) -> Column:
+    """Whether a pair that meets at this entry can still share enough.
+
+    A shingle before it that stands in no other prefix is in neither set of
+    the pair twice: the other set would hold it in its prefix too. So at most
+    ``rank`` shingles are common up to here.
+    """
+    num, den = similarity.numerator, similarity.denominator
+    c = lambda side, name: F.col(f"{side}_{name}")
+    upto = F.least(c(x, "rank"), c(y, "rank"))
+    behind = F.least(c(x, "size") - 1 - c(x, "at"), c(y, "size") - 1 - c(y, "at"))
+    return (upto + behind) * (num + den) >= (c(x, "size") + c(y, "size")) * num
+
+
+def _side(df: DataFrame, side: str, *more: str) -> list[Column]:
+    return [F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "size", "need", "at", "rank", "c", *more)]
+
+
 def _placed(listed: DataFrame, groups: DataFrame | None) -> DataFrame:
     """Adds ``c``, the component so far."""
     if groups is None:
@@ -179,34 +199,40 @@ def _placed(listed: DataFrame, groups: DataFrame | None) -> DataFrame:
     return listed.join(groups, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component")
 
 
-def _star_pairs(placed: DataFrame, rank: Column, similarity: Fraction) -> DataFrame:
+def _star_pairs(placed: DataFrame, order: Column, similarity: Fraction) -> DataFrame:
     """For each class the centre, of another component, of most of its lists."""
-    centres = placed.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "doc_id", "c", "size")).alias("top"))
+    top = F.struct(order.alias("order"), *_side(placed, "y"))
+    centres = placed.groupBy("token").agg(F.max(top).alias("top"))
+    met = placed.select("token", *_side(placed, "x")).join(centres, "token").select("*", "top.*")
     return (
-        placed.join(centres, "token")
-        .select("doc_id", "size", "c", F.col("top.doc_id").alias("b"), F.col("top.c").alias("bc"), F.col("top.size").alias("bs"))
-        .where((F.col("c") != F.col("bc")) & _sizes_fit("size", "bs", similarity))
-        .groupBy("doc_id", "b")
-        .agg(F.count(F.lit(1)).alias("k"))
-        .groupBy("doc_id")
-        .agg(F.max_by("b", F.struct("k", "b")).alias("b"))
-        .select(F.col("doc_id").alias("a"), "b")
+        met.where((F.col("x_c") != F.col("y_c")) & _sizes_fit("x_size", "y_size", similarity) & _bound("x", "y", similarity))
+        .groupBy("x_doc_id", "y_doc_id")
+        .agg(F.count(F.lit(1)).alias("k"), F.min(F.least("x_need", "y_need")).alias("need"))
+        .where("k >= need")
+        .groupBy(F.col("x_doc_id").alias("a"))
+        .agg(F.max_by("y_doc_id", F.struct("k", "y_doc_id")).alias("b"))
     )
 
 
 def _remaining_pairs(placed: DataFrame, similarity: Fraction) -> DataFrame:
     """Pairs of different components that share enough of their prefixes; a is the larger set."""
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    lists = stored(placed.join(mixed, "token", "left_semi").select("token", "doc_id", "size", "need", "indexed", "c"))
-    x = lists.select("token", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "size", "need", "c")])
-    y = lists.where("indexed").select("token", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "size", "need", "c")])
+    lists = stored(placed.join(mixed, "token", "left_semi"))
+    x, y = lists.select("token", *_side(lists, "x")), lists.where("indexed").select("token", *_side(lists, "y"))
     smaller = (F.col("y_size") < F.col("x_size")) | ((F.col("y_size") == F.col("x_size")) & (F.col("y_doc_id") < F.col("x_doc_id")))
+    num, den = similarity.numerator, similarity.denominator
+    behind = F.least(F.col("x_size") - 1 - F.col("x_at"), F.col("y_size") - 1 - F.col("y_at"))
     return (
         x.join(y, "token")
-        .where(smaller & (F.col("x_c") != F.col("y_c")) & _sizes_fit("x_size", "y_size", similarity))
+        .where(smaller & (F.col("x_c") != F.col("y_c")) & _sizes_fit("x_size", "y_size", similarity) & _bound("x", "y", similarity))
         .groupBy("x_doc_id", "y_doc_id")
-        .agg(F.count(F.lit(1)).alias("k"), F.min(F.least("x_need", "y_need")).alias("need"))
-        .where("k >= need")
+        .agg(
+            F.count(F.lit(1)).alias("k"),
+            F.min(F.least("x_need", "y_need")).alias("need"),
+            F.min(behind).alias("behind"),
+            F.first(F.col("x_size") + F.col("y_size")).alias("sizes"),
+        )
+        .where((F.col("k") >= F.col("need")) & ((F.col("k") + F.col("behind")) * (num + den) >= F.col("sizes") * num))
         .select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b"))
     )
 
@@ -225,21 +251,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction = Fract
     entries = (
         known.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
         .select("doc_id", "size", "need", index_length.alias("ix"), F.posexplode("prefix").alias("at", "token"))
-        .select("token", "doc_id", "size", "need", (F.col("at") < F.col("ix")).alias("indexed"))
+        .select("token", "doc_id", "size", "need", "at", (F.col("at") < F.col("ix")).alias("indexed"))
     )
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    listed = stored(entries.join(shared, "token"))
-    degree = listed.groupBy("doc_id").agg(F.sum(F.col("k") - 1).alias("degree"))
-    listed = stored(listed.join(degree, "doc_id").drop("k"))
-    links, groups = None, None
-    for turn in range(STARS):
-        rank = F.col("degree") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-        pairs = stored(_star_pairs(_placed(listed, groups), rank, similarity))
-        found = stored(verified(pairs, docs, n, similarity))
-        links = found if links is None else links.unionByName(found)
-        groups = stored(components(links))
+    own = Window.partitionBy("doc_id")
+    listed = stored(
+        entries.join(shared, "token")
+        .withColumn("rank", F.row_number().over(own.orderBy("at")))
+        .withColumn("degree", F.sum(F.col("k") - 1).over(own))
+        .drop("k")
+    )
+    # First the class that shares most lists with others, then any other class of the lists.
+    pairs = stored(_star_pairs(_placed(listed, None), F.col("degree"), similarity))
+    first = stored(verified(pairs, docs, n, similarity))
+    hung = first.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    pairs = stored(_star_pairs(_placed(listed, hung), F.xxhash64("doc_id"), similarity))
+    links = first.unionByName(stored(verified(pairs, docs, n, similarity)))
+    groups = stored(components(links))
     pairs = stored(_remaining_pairs(_placed(listed, groups), similarity))
-    links = links.unionByName(stored(verified(pairs, docs, n, similarity)))
+    more = stored(verified(pairs, docs, n, similarity))
+    links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     whole = components(links)
     return (
         rows.join(classes, "class", "left")

@@ -7,9 +7,8 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import configure
 from . import decontaminate, host_quality, licenses, ngram_join, packing, shards, tokenids, toxicity, url_rules, warc
-from .common import read
+from .common import prepare, read
 
 
 def op1_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +70,7 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: f(configure(spark), sf_dir)
+        return lambda spark, sf_dir: f(prepare(spark), sf_dir)
 
     return {name: bound(f) for name, f in OPERATORS.items()}
 

@@ -68,11 +68,11 @@ def count_ids(rows: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = np.bincount(_unpack(n, ids))
-                if len(c) > len(total):
-                    total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-                total[: len(c)] += c
+            ids = [_unpack(n, b) for n, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            c = np.bincount(np.concatenate(ids)) if ids else total[:0]
+            if len(c) > len(total):
+                total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
+            total[: len(c)] += c
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "c"])
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-
-import numpy as np
+from array import array
+from collections.abc import Iterator
 
 from .common import worker_memory
 
@@ -14,6 +14,9 @@ _CUT = re.compile(r" (?=\S)")
 #: Pieces remembered per Python worker; beyond that the memory is emptied. It changes no result.
 REMEMBERED = 700_000
 END_ID = 0
+#: Marks that follow a word, and the last letter of which every version of Unicode says the same.
+MARKS = ".,;:!?"
+LATIN = "\u024f"
 
 
 def default_vocabulary() -> str:
@@ -23,17 +26,46 @@ def default_vocabulary() -> str:
 
 
 def _tokenizer(path: str):
-    made = worker_memory("tokenizers")
-    if path not in made:
-        from tokenizers import Tokenizer
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True  # their names in a text are ordinary text
+    return tok
 
-        made[path] = Tokenizer.from_file(path)
-        made[path].encode_special_tokens = True  # their names in a text are ordinary text
-    return made[path]
+
+def _byte_letters() -> dict[int, int]:
+    """The letter by which a byte-level vocabulary writes each byte: itself where it can be printed, else from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(hidden)}
 
 
 def _encode(tok, texts: list[str]) -> list[bytes]:
-    return [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _encode_words(memory: dict, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    """Ids of a blank and each word.
+
+    The splitter parts a run of letters from the mark behind it, and a run of
+    letters is one piece for the merges: such words go straight to the model,
+    all others through the whole tokenizer.
+    """
+    tok, known, letters = memory["tokenizer"], memory["pieces"], memory["letters"]
+    merge, marks, others = tok.model.tokenize, memory["marks"], []
+    for w in words:
+        core, mark = (w, "") if w.isalpha() else (w[:-1], w[-1:])
+        if mark not in marks or not core.isalpha() or max(core) > LATIN:
+            others.append(w)
+            continue
+        ids = known.get(core)
+        if ids is None:
+            plain = core if core.isascii() else core.encode().decode("latin-1").translate(letters)
+            ids = array("I", [t.id for t in merge("\u0120" + plain)]).tobytes()
+            yield core, ids
+        if mark:
+            yield w, ids + marks[mark]
+    yield from zip(others, _encode(tok, [" " + w for w in others]), strict=True)
 
 
 def encode(texts: list[str | None], path: str, step: int = 500) -> list[bytes]:
@@ -44,8 +76,12 @@ def encode(texts: list[str | None], path: str, step: int = 500) -> list[bytes]:
     there and each distinct piece is encoded once; joined, they are the ids of
     the whole text. None and "" give the end id alone.
     """
-    tok, end = _tokenizer(path), np.asarray([END_ID], "<u4").tobytes()
-    known = worker_memory(f"pieces of {path}")
+    memory, end = worker_memory(f"tokens of {path}"), array("I", [END_ID]).tobytes()
+    if not memory:
+        tok = _tokenizer(path)
+        marks = dict(zip(MARKS, _encode(tok, list(MARKS)), strict=True))
+        memory.update(tokenizer=tok, pieces={}, letters=_byte_letters(), marks=marks | {"": b""})
+    tok, known = memory["tokenizer"], memory["pieces"]
     out = []
     for at in range(0, len(texts), step):
         parts = [(_CUT.split(t) if _ODD.search(t) else t.split(" ")) if t else [] for t in texts[at : at + step]]
@@ -55,8 +91,8 @@ def encode(texts: list[str | None], path: str, step: int = 500) -> list[bytes]:
         new = set().union(*rests)
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-        new = list(new - known.keys())
-        known.update(zip(new, _encode(tok, [" " + w for w in new]), strict=True))
+        for word, ids in _encode_words(memory, list(new - known.keys())):
+            known[word] = ids
         get = known.__getitem__
         out += [(heads.pop() if p else b"") + b"".join(map(get, r)) + end for p, r in zip(parts, rests, strict=True)]
     if len(known) > REMEMBERED:

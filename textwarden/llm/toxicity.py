@@ -182,10 +182,9 @@ class Machine:
 
     def worst(self, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
         """Highest value of a word of each text; ``known`` remembers tokens."""
-        bags = [tokens_of(t) for t in texts]
-        out = np.full(len(bags), self.bias)
-        for lo in range(0, len(bags), 500):
-            part = bags[lo : lo + 500]
+        out = np.full(len(texts), self.bias)
+        for lo in range(0, len(texts), 200):
+            part = [tokens_of(t) for t in texts[lo : lo + 200]]
             new = list(set().union(*part) - known.keys())
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
