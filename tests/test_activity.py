@@ -247,7 +247,8 @@ def test_foreign_ledger_lines(spark, tmp_path):
         prev = hashlib.sha256(("salt:" + json.dumps(e, sort_keys=True)).encode()).hexdigest()
         lines.append(json.dumps({**e, "signature": prev, "entry_hash": prev}))
         lines.append("")
-    (tmp_path / "l.jsonl").write_text("\n".join(lines))
+    (tmp_path / "l-1.jsonl").write_text("\n".join(lines[:350]))
+    (tmp_path / "l-2.jsonl").write_text("\n".join(lines[350:]))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "6000b")
     try:

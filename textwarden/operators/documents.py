@@ -180,14 +180,35 @@ def similarity_topk(
         return _against_index(queries, index, *names, k)
     if queries.select(query_id).limit(max_vectors + 1).count() <= max_vectors:
         return _best(_against_queries(queries, index, *names, k), k)
-    # Both are large: the queries are taken in blocks of a bounded size.
-    blocks = 2 * (queries.count() // max_vectors + 1)
-    out = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        found = _best(_against_queries(part, index, *names, k), k)
-        out = found if out is None else out.unionByName(found)
-    return out
+    sizes = (queries.count() // max_vectors + 1, index.count() // max_vectors + 1)
+    return topk_in_blocks(queries, index, k, *names, *sizes)
+
+
+def topk_in_blocks(
+    queries: DataFrame, index: DataFrame, k: int, query_id: str, index_id: str, query_vec: str, index_vec: str, query_blocks: int, index_blocks: int
+) -> DataFrame:
+    """Exact nearest neighbours when both sides are large, in one job.
+
+    Both sides are dealt into blocks by the hash of their ids. A task holds one
+    block of each, multiplies them, and keeps the best k per query; the best of
+    all index blocks are merged afterwards. Nothing passes through the driver.
+    """
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = queries.select(query_id, query_vec, block(query_id, query_blocks).alias("__q"), every(index_blocks).alias("__i"))
+    x = index.select(index_id, index_vec, block(index_id, index_blocks).alias("__i"), every(query_blocks).alias("__q"))
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return _pairs(np.zeros(0, np.int64), np.zeros((0, 0), np.int64), np.zeros((0, 0)))
+        right = right.sort_values(index_id)
+        table, ids, found = np.ascontiguousarray(_matrix(right[index_vec]).T), right[index_id].to_numpy(), []
+        for lo in range(0, len(left), 1024):
+            part = left.iloc[lo : lo + 1024]
+            found.append(_pairs(part[query_id].to_numpy(), *_top(_matrix(part[query_vec]) @ table, ids, k)))
+        return pd.concat(found, ignore_index=True)
+
+    return _best(q.groupBy("__q", "__i").cogroup(x.groupBy("__q", "__i")).applyInPandas(search, _PAIR), k)
 
 
 def rag_context(prompts: DataFrame, index: DataFrame, k: int = 4, key: str = "prompt_id", item: str = "item_id", chunk_text: str = "chunk", out: str = "context") -> DataFrame:

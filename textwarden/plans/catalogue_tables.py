@@ -154,6 +154,17 @@ def quarantined_actors(spark, sf):
     return risk.quarantined_actors(_profiles(spark, sf, "dense_events")).select("actor_hash", "risk_score")
 
 
+@query(
+    "tenant_profiles",
+    duck("dense_events", ctes=_DENSE.replace("FROM dense_events WHERE", "FROM dense_events WHERE tenant_id = 't1' AND"))
+    + "SELECT actor_hash, score AS risk_score, CAST(pii AS BIGINT) AS pii, pii > 3 AS quarantined FROM prof",
+)
+def tenant_profiles(spark, sf):
+    """Profiles of the actors of one tenant, from its events alone."""
+    events = view(spark, sf, "dense_events").where("tenant_id = 't1'")
+    return risk.risk_profile(events, AS_OF_HOUR).select("actor_hash", "risk_score", F.col("pii_attempts_last_hour").alias("pii"), "quarantined")
+
+
 @query(
     "events_retained",
     duck("risk_events")
@@ -416,6 +427,12 @@ def audit_view_by_role(spark, sf):
     return seen.groupBy("user_id").agg(F.count("*").alias("n_visible"))
 
 
+@query("audit_view_rows", _LEDGER + "SELECT seq, department FROM ledger WHERE department = 'LAW_FIRM'")
+def audit_view_rows(spark, sf):
+    """The ledger rows that a member of one department may see."""
+    return led.audit_view(ledger(spark, sf), "STAFF", "LAW_FIRM").select("seq", "department")
+
+
 _ACTION_PERMISSION = "CASE action WHEN 'AI_QUERY' THEN 'run_ai_query' WHEN 'EVIDENCE_REPORT_GENERATED' THEN 'export_audit_pdf' WHEN 'PROMPT_BLOCKED' THEN 'view_policy' ELSE 'manage_users' END"
 _MATRIX = "matrix(role, permission) AS (VALUES " + ", ".join(f"('{r}', '{p}')" for r, ps in led.ROLE_PERMISSIONS.items() for p in ps) + ")"
 
@@ -750,7 +767,7 @@ def column_mask(spark, sf):
 # ---- usage of AI tools ----------------------------------------------------
 
 _WATCH = """hosts AS (SELECT seq, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host FROM dns_log),
-ranked AS (SELECT host, row_number() OVER (ORDER BY count(*) DESC, host) AS rk FROM hosts GROUP BY host),
+ranked AS (SELECT DISTINCT host, ('0x' || substring(sha256(host), 1, 6))::BIGINT AS rk FROM hosts),
 watch AS (SELECT host AS domain, concat('Tool ', rk) AS name, CASE rk % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Acme' ELSE 'Globex' END AS vendor,
   CASE rk % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE NULL END AS risk FROM ranked WHERE rk % 2 = 1
   UNION ALL SELECT 'example.org', 'Example suite', 'Example', 'LOW'),
@@ -761,11 +778,11 @@ hits AS (SELECT h.seq, w.domain, w.name, w.vendor, coalesce(w.risk, 'MEDIUM') AS
 def _detections(spark, sf):
     log = view(spark, sf, "dns_log").select("seq", shadow.host_of(F.col("url")).alias("host"))
     log.createOrReplaceTempView("shadow_hosts")
-    # The watch list is made from the hosts of the log: every second one by frequency.
+    # The watch list is made from the hosts of the log: about every second one, by a digest.
     watch = spark.sql(
         """SELECT host AS domain, concat('Tool ', rk) AS name, CASE rk % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Acme' ELSE 'Globex' END AS vendor,
   CASE rk % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE NULL END AS risk
-FROM (SELECT host, row_number() OVER (ORDER BY n DESC, host) AS rk FROM (SELECT host, count(*) AS n FROM shadow_hosts GROUP BY host)) WHERE rk % 2 = 1
+FROM (SELECT DISTINCT host, CAST(conv(substring(sha2(host, 256), 1, 6), 16, 10) AS BIGINT) AS rk FROM shadow_hosts) WHERE rk % 2 = 1
 UNION ALL SELECT 'example.org', 'Example suite', 'Example', 'LOW'"""
     )
     return shadow.detect_shadow_ai(log, watch, "seq")
@@ -794,6 +811,24 @@ def shadow_summary(spark, sf):
     return shadow.shadow_summary(_detections(spark, sf))
 
 
+_DOMAINS = ", ".join(f"'{d}'" for d, *_ in shadow.AI_DOMAINS)
+_LOGGED = f"CASE WHEN user_id % 2 = 0 THEN concat(CASE WHEN event_id % 3 = 0 THEN 'www.' ELSE '' END, {{pick}}) ELSE concat('site', user_id, '.example') END"
+
+
+@query(
+    "watchlist_hits",
+    "WITH watch(domain, name, vendor, risk) AS (VALUES "
+    + ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in shadow.AI_DOMAINS)
+    + "), log AS (SELECT event_id, " + _LOGGED.format(pick=f"[{_DOMAINS}][user_id // 2 % {len(shadow.AI_DOMAINS)} + 1]") + " AS host FROM events)"
+    + " SELECT event_id, domain, name AS tool_name, vendor, risk FROM log JOIN watch ON host = domain OR ends_with(host, '.' || domain)",
+)
+def watchlist_hits(spark, sf):
+    """Visits of watched tools in a log of hosts, against the fixed list."""
+    pick = f"element_at(array({_DOMAINS}), CAST(user_id div 2 % {len(shadow.AI_DOMAINS)} + 1 AS INT))"
+    log = load(spark, sf, "events").select("event_id", F.expr(_LOGGED.format(pick=pick)).alias("host"))
+    return shadow.detect_shadow_ai(log, shadow.watchlist(spark), "event_id").select("event_id", "domain", "tool_name", "vendor", "risk")
+
+
 # ---- metrics --------------------------------------------------------------
 
 _BLOCKING = ", ".join(f"'{e}'" for e in metrics.BLOCKING_EVENTS)

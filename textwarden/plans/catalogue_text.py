@@ -146,6 +146,59 @@ def pii_spans(spark, sf):
     return _spans(spark, sf, INDIA_PATTERNS)
 
 
+@query(
+    "ssn_snippets",
+    duck("prompts")
+    + r"""SELECT prompt_id, e AS entity, CAST(s AS BIGINT) AS start_at,
+  substring(text, CAST(greatest(s - 30, 0) + 1 AS BIGINT), CAST(least(s + 41, length(text)) - greatest(s - 30, 0) AS BIGINT)) AS snippet
+FROM (SELECT prompt_id, text, m[k] AS e, list_sum(list_transform(p[1:k], lambda x: length(x))) + 11 * (k - 1) AS s
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (
+    SELECT prompt_id, text, regexp_extract_all(text, '\b\d{3}-\d{2}-\d{4}\b') AS m, string_split_regex(text, '\b\d{3}-\d{2}-\d{4}\b') AS p FROM prompts)))""",
+)
+def ssn_snippets(spark, sf):
+    pats = tuple(p for p in SECRET_PATTERNS if "SSN" in p.label)
+    found = detect.scan(view(spark, sf, "prompts").select("prompt_id", "text"), patterns=pats, snippets=True)
+    rows = detect.findings_long(found, "prompt_id")
+    return rows.select("prompt_id", "entity", F.col("start").cast("bigint").alias("start_at"), "snippet")
+
+
+def _spans_oracle(patterns) -> str:
+    return (
+        duck("prompts", ctes=o.long_cte("prompts", "prompt_id", patterns=patterns))
+        + "SELECT prompt_id, type, label, entity, count(*) AS n, TRUE AS offsets_ok FROM hits GROUP BY ALL"
+    )
+
+
+def _spans(spark, sf, patterns):
+    found = detect.scan(view(spark, sf, "prompts").select("prompt_id", "text"), patterns=patterns)
+    checked = found.withColumn(
+        "findings",
+        F.transform(
+            "findings",
+            lambda f: F.struct(
+                f["type"].alias("type"),
+                f["label"].alias("label"),
+                f["entity"].alias("entity"),
+                (F.substring("text", f["start"] + 1, f["end"] - f["start"]) == f["entity"]).alias("ok"),
+            ),
+        ),
+    )
+    rows = detect.findings_long(checked, "prompt_id")
+    return rows.groupBy("prompt_id", "type", "label", "entity").agg(
+        F.count("*").alias("n"), F.bool_and("ok").alias("offsets_ok")
+    )
+
+
+@query("secret_spans", _spans_oracle(SECRET_PATTERNS))
+def secret_spans(spark, sf):
+    return _spans(spark, sf, SECRET_PATTERNS)
+
+
+@query("pii_spans", _spans_oracle(INDIA_PATTERNS))
+def pii_spans(spark, sf):
+    return _spans(spark, sf, INDIA_PATTERNS)
+
+
 @query(
     "ssn_snippets",
     duck("prompts")
@@ -239,6 +292,25 @@ def entity_hashes(spark, sf):
     return explode_rows(hashed, ("prompt_id",), "e", "x").select("prompt_id", "x.label", "x.entity_sha")
 
 
+def _roles_model():
+    """A deterministic stand-in for a named-entity model."""
+    import re
+
+    return lambda texts: [[(m[0].upper(), m.start(), m.end(), 0.9) for m in re.finditer("Patient|Passport|Donor", t)] for t in texts]
+
+
+@query(
+    "entity_hits",
+    duck("prompts")
+    + """SELECT prompt_id, upper(e) AS label, e AS entity, count(*) AS n FROM (
+  SELECT prompt_id, unnest(regexp_extract_all(text, 'Patient|Passport|Donor')) AS e FROM prompts) GROUP BY ALL""",
+)
+def entity_hits(spark, sf):
+    """Findings of a model given to the entity hook."""
+    found = detect.scan_entities(view(spark, sf, "prompts").select("prompt_id", "text"), model=_roles_model)
+    return detect.findings_long(found.withColumnRenamed("entities", "findings"), "prompt_id").groupBy("prompt_id", "label", "entity").agg(F.count("*").alias("n"))
+
+
 @query("pseudonym_vault")
 def pseudonym_vault(spark, sf):
     """Tokens with the digests of the values they stand for."""
@@ -384,10 +456,13 @@ def llm_request_log(spark, sf):
 
 @query("semantic_dlp")
 def semantic_dlp(spark, sf):
-    s = semantic.semantic_scan(view(spark, sf, "prompts").select("prompt_id", "text"))
+    """Sensitive business context, sentence by sentence of each turn."""
+    t = view(spark, sf, "turns").select("prompt_id", "text")
+    sentences = explode_rows(t, ("prompt_id",), F.split("text", r"(?<=[.!?])\s+"), "text", "sentence_no")
+    s = semantic.semantic_scan(sentences)
     scored = s.withColumn("semantic_sensitivity", semantic.semantic_sensitivity())
-    rows = explode_rows(scored, ("prompt_id", "semantic_sensitivity"), "semantic_findings", "f")
-    return rows.select("prompt_id", "semantic_sensitivity", "f.label", "f.score", "f.confidence", F.col("f.entity").alias("concept"))
+    rows = explode_rows(scored, ("prompt_id", "sentence_no", "semantic_sensitivity"), "semantic_findings", "f")
+    return rows.select("prompt_id", "sentence_no", "semantic_sensitivity", "f.label", "f.score", "f.confidence", F.col("f.entity").alias("concept"))
 
 
 @query("hash_embeddings")
@@ -647,29 +722,43 @@ def ingest_index(spark, sf):
     return i.select("doc_id", "chunk_no", "risk", "alert", sha256(F.col("chunk")).alias("chunk_sha"), F.size("embedding").alias("dims"))
 
 
-@query(
-    "embedding_topk",
-    """WITH dims AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d FROM embeddings),
+_TOPK = """WITH dims AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d FROM embeddings),
 cent AS (SELECT label, list(m ORDER BY d) AS c FROM (SELECT label, d, avg(CAST(v AS DOUBLE)) AS m FROM dims GROUP BY 1, 2) GROUP BY 1),
 scored AS (SELECT label, vec_id, list_dot_product(c, CAST(embedding AS DOUBLE[])) AS s FROM (SELECT label, c FROM cent) JOIN (SELECT vec_id, embedding FROM embeddings) ON TRUE)
 SELECT CAST(label AS BIGINT) AS query_id, rank, vec_id AS item_id, round(s, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS rank FROM scored) WHERE rank <= 4""",
-)
-def embedding_topk(spark, sf):
-    """Nearest vectors to the centre of each label."""
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS rank FROM scored) WHERE rank <= 4"""
+
+
+def _label_centres(spark, sf):
     e = load(spark, sf, "embeddings")
     dims = e.select("label", F.posexplode("embedding").alias("d", "v"))
-    cents = (
+    return e, (
         dims.groupBy("label", "d")
         .agg(F.avg(F.col("v").cast("double")).alias("m"))
         .groupBy("label")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda x: x["m"]).alias("embedding"))
         .select(F.col("label").cast("bigint").alias("query_id"), "embedding")
     )
-    top = docs_ops.similarity_topk(cents, e, 4, index_id="vec_id")
+
+
+def _ranked(top):
     return top.select("query_id", F.col("rank").cast("bigint").alias("rank"), "item_id", F.round("score", 6).alias("score"))
 
 
+@query("embedding_topk", _TOPK)
+def embedding_topk(spark, sf):
+    """Nearest vectors to the centre of each label."""
+    e, centres = _label_centres(spark, sf)
+    return _ranked(docs_ops.similarity_topk(centres, e, 4, index_id="vec_id"))
+
+
+@query("embedding_topk_blocks", _TOPK)
+def embedding_topk_blocks(spark, sf):
+    """The same by the way that is taken when both sides are large."""
+    e, centres = _label_centres(spark, sf)
+    return _ranked(docs_ops.topk_in_blocks(centres, e, 4, "query_id", "vec_id", "embedding", "embedding", 2, 4))
+
+
 @query("rag_context")
 def rag_context(spark, sf):
     """Redacted context of each conversation turn from the benchmark passages."""

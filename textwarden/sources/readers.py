@@ -29,10 +29,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, corrupt
 
 
 def with_file_order(lines: DataFrame, out: str = "seq") -> DataFrame:
-    """Number rows in the order of the file they come from.
+    """Number rows in the order of their files, files in the order of their paths.
 
-    Tasks read splits in any order. A split knows its place in its file, so
-    one row per split carries the number of lines before it.
+    Tasks read splits in any order. A split knows its file and its place in
+    it, so one row per split carries the number of lines before it.
     """
     placed = lines.withColumns(
         {
@@ -41,7 +41,7 @@ def with_file_order(lines: DataFrame, out: str = "seq") -> DataFrame:
             "__m": F.monotonically_increasing_id(),
         }
     )
-    w = Window.partitionBy("__f").orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.orderBy("__f", "__o").rowsBetween(Window.unboundedPreceding, -1)  # over one row per split
     splits = (
         placed.groupBy("__f", "__o")
         .agg(F.count("*").alias("__n"), F.min("__m").alias("__first"))
