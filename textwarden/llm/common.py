@@ -75,7 +75,8 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
                 F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     )
     inside = Window.partitionBy(*keys, "__b").orderBy(*order)
-    rows = df.withColumn("__r", F.row_number().over(inside) - 1)
+    # Dealt by bucket too: rows that already lie by their keys would else be numbered a whole key at a time.
+    rows = df.repartition(*keys, "__b").withColumn("__r", F.row_number().over(inside) - 1)
     same = F.col("__b") == F.col("__ob")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))

@@ -48,7 +48,7 @@ from .common import components, stored
 from .shingles import blank_words, shingle_set, word_hashes
 
 #: Counters of the frequency estimate, as a power of two, and in how many rows they travel.
-COUNTERS = 22
+COUNTERS = 24
 CHUNKS = 64
 #: Longest extension of a prefix, what verifying a candidate costs in list entries, and
 #: how many unrelated sets hold a shingle that the counters show as met once.
@@ -67,7 +67,7 @@ def estimated_counts(docs: DataFrame, n: int, bits: int = COUNTERS) -> np.ndarra
     step = size // CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_row = np.zeros(size, np.int64), False
+        total, any_row = np.zeros(size, np.uint32), False
         for batch in batches:
             found = []
             for text in batch.column(0).to_pylist():
@@ -75,19 +75,17 @@ def estimated_counts(docs: DataFrame, n: int, bits: int = COUNTERS) -> np.ndarra
                 found.append(shingle_set(word_hashes(words, len(words)), n))
                 any_row = True
             if found:
-                total += np.bincount((np.concatenate(found) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+                at, times = np.unique((np.concatenate(found) & np.uint64(size - 1)).astype(np.uint32), return_counts=True)
+                total[at] += times.astype(np.uint32)
         if any_row:
-            wide = np.minimum(total, 0xFFFFFFFF).astype("<u4")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(wide[i * step : (i + 1) * step].tobytes(), 1) for i in range(CHUNKS)], pa.binary())],
-                ["chunk", "counts"],
-            )
+            packed = [zlib.compress(np.minimum(total[i * step : (i + 1) * step], 0xFFFF).astype("<u2").tobytes(), 1) for i in range(CHUNKS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], ["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64)
+                got = np.frombuffer(zlib.decompress(packed), "<u2").astype(np.int64)
                 sums[chunk] = sums[chunk] + got if chunk in sums else got
         for chunk, total in sums.items():
             level = np.minimum(255, np.rint(2 * np.log2(1 + total))).astype(np.uint8)
@@ -123,11 +121,10 @@ def prefix_of(shingles: np.ndarray, levels: np.ndarray, noise: float, similarity
 def sketched(docs: DataFrame, levels: np.ndarray, n: int, similarity: Fraction) -> DataFrame:
     """doc_id, size, class digest, l and prefix of every row."""
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(levels)
+    table, noise = spark.sparkContext.broadcast(levels), float(np.median(levels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = table.value
-        noise = float(np.median(levels))
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -241,22 +238,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction = Fract
     """doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id of every row."""
     docs = _slim(docs)
     rows = stored(sketched(docs, estimated_counts(docs, n), n, similarity))
-    classes = (
-        rows.where("size > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    )
+    # Stored, as other small sides below, so that a join can split the rows of a hot class.
+    classes = stored(rows.where("size > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id")))
     known = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     # Of two sets the smaller, y, shares at least 2 s / (1 + s) of its own size.
     num, den = 2 * similarity.numerator, similarity.numerator + similarity.denominator
     index_length = F.col("size") - F.ceil(F.col("size") * num / den - F.lit(1e-9)) + F.col("need")
-    entries = (
-        known.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-        .select("doc_id", "size", "need", index_length.alias("ix"), F.posexplode("prefix").alias("at", "token"))
-        .select("token", "doc_id", "size", "need", "at", (F.col("at") < F.col("ix")).alias("indexed"))
-    )
+    kept = known.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
+    # All shingles of all prefixes are shuffled here, so they carry nothing but their set and place.
+    entries = kept.select("doc_id", F.posexplode("prefix").alias("at", "token"))
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    sets = known.select(F.col("doc_id").alias("set_id"), "size", "need", index_length.alias("ix"))
     own = Window.partitionBy("doc_id")
     listed = stored(
         entries.join(shared, "token")
+        .join(sets, F.col("doc_id") == F.col("set_id"))
+        .select("token", "doc_id", "size", "need", "at", "k", (F.col("at") < F.col("ix")).alias("indexed"))
         .withColumn("rank", F.row_number().over(own.orderBy("at")))
         .withColumn("degree", F.sum(F.col("k") - 1).over(own))
         .drop("k")
@@ -271,7 +268,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction = Fract
     pairs = stored(_remaining_pairs(_placed(listed, groups), similarity))
     more = stored(verified(pairs, docs, n, similarity))
     links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    whole = components(links)
+    whole = stored(components(links))
     return (
         rows.join(classes, "class", "left")
         .withColumn("class_id", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")))

@@ -202,6 +202,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     ends = units.select(
         "grp", "shard", F.sum("n").over(Window.partitionBy("grp").orderBy("shard")).alias("end")
     ).groupBy(F.col("grp").alias("g")).agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends"))
+    ends = cut(ends)  # read from files, so that a join can split a hot group
     known = rows.join(ends, F.col("grp") == F.col("g"), "left").drop("g")
     linked = ranked(known.where("ends IS NOT NULL"), ["grp"], ["doc_id", "size"], "k", 16).select(
         "doc_id", "size", "text_crc32", F.get(F.filter("ends", lambda e: e["end"] > F.col("k")), 0)["shard"].alias("shard")

@@ -107,12 +107,12 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
     edges = facts.where("self IS NOT NULL").select(F.col("self").alias("a"), F.explode(F.array("canonical", "refresh")).alias("to"))
     edges = edges.where("to IS NOT NULL").select("a", F.col("to").alias("b")).where("a <> b")
-    groups = components(edges)
+    groups = stored(components(edges))  # so that a join can split a hot url
     placed = stored(
         facts.join(groups, F.col("self") == F.col("node"), "left")
         .select("page_id", "host", "path", "rule", "own", F.coalesce("component", "self").alias("component"))
     )
-    said = (
+    said = stored(
         placed.where("own IS NOT NULL AND component IS NOT NULL")
         .groupBy(F.col("component").alias("c"))
         .agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"))
