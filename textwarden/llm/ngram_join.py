@@ -10,7 +10,9 @@ shares min(l, l') prefix shingles.
 Of two documents the smaller is looked up by a shorter prefix, since the pair
 must then share more than its own size alone demands. Where a shingle stands in
 both prefixes also bounds what the pair can share: up to there only shingles
-that other prefixes hold too, behind it what is left of either set.
+that other prefixes hold too, behind it what is left of either set. Last, two
+sets differ in at least as many shingles as their parity bits (``PARITY`` longs
+per set) differ.
 
 The global order is by estimated frequency, rare first. Estimates come from
 counters over all shingles of all documents (a fixed table of ``COUNTERS``,
@@ -55,6 +57,7 @@ CHUNKS = 64
 LONGEST = 8
 VERIFY_COST = 50.0
 BACKGROUND = 0.25
+PARITY = 8
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -118,8 +121,15 @@ def prefix_of(shingles: np.ndarray, levels: np.ndarray, noise: float, similarity
     return shingles[order[: base + best]], best
 
 
+def parity_of(shingles: np.ndarray) -> np.ndarray:
+    """Bits that say whether an odd number of the set's shingles fall on each."""
+    width = 64 * PARITY
+    odd = np.bincount(((shingles >> np.uint64(40)) % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketched(docs: DataFrame, levels: np.ndarray, n: int, similarity: Fraction) -> DataFrame:
-    """doc_id, size, class digest, l and prefix of every row."""
+    """doc_id, size, class digest, l, prefix and parity bits of every row."""
     spark = docs.sparkSession
     table, noise = spark.sparkContext.broadcast(levels), float(np.median(levels))
 
@@ -131,14 +141,15 @@ def sketched(docs: DataFrame, levels: np.ndarray, n: int, similarity: Fraction)
                 words = blank_words(text)
                 s = shingle_set(word_hashes(words, len(words)), n)
                 prefix, need = prefix_of(s, levels, noise, similarity) if len(s) and doc is not None else (s[:0], 0)
-                rows.append((doc, len(s), blake2b(s.tobytes(), digest_size=16).digest(), need, prefix.view(np.int64).tolist()))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                digest = blake2b(s.tobytes(), digest_size=16).digest()
+                rows.append((doc, len(s), digest, need, prefix.view(np.int64).tolist(), parity_of(s).tolist()))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "size", "class", "need", "prefix"]
+                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "size", "class", "need", "prefix", "parity"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, size long, class binary, need int, prefix array<bigint>")
+    return docs.mapInArrow(run, "doc_id long, size long, class binary, need int, prefix array<bigint>, parity array<bigint>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
@@ -211,23 +222,28 @@ def _star_pairs(placed: DataFrame, order: Column, similarity: Fraction) -> DataF
     )
 
 
-def _remaining_pairs(placed: DataFrame, similarity: Fraction) -> DataFrame:
+def _remaining_pairs(placed: DataFrame, parity: DataFrame, similarity: Fraction) -> DataFrame:
     """Pairs of different components that share enough of their prefixes; a is the larger set."""
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    lists = stored(placed.join(mixed, "token", "left_semi"))
-    x, y = lists.select("token", *_side(lists, "x")), lists.where("indexed").select("token", *_side(lists, "y"))
+    bits = [f"p{i}" for i in range(PARITY)]
+    named = parity.select(F.col("doc_id").alias("set_id"), *[F.get("parity", F.lit(i)).alias(b) for i, b in enumerate(bits)])
+    lists = stored(placed.join(mixed, "token", "left_semi").join(named, F.col("doc_id") == F.col("set_id")).drop("set_id"))
+    x, y = lists.select("token", *_side(lists, "x", *bits)), lists.where("indexed").select("token", *_side(lists, "y", *bits))
     smaller = (F.col("y_size") < F.col("x_size")) | ((F.col("y_size") == F.col("x_size")) & (F.col("y_doc_id") < F.col("x_doc_id")))
     num, den = similarity.numerator, similarity.denominator
     behind = F.least(F.col("x_size") - 1 - F.col("x_at"), F.col("y_size") - 1 - F.col("y_at"))
+    sizes = F.col("x_size") + F.col("y_size")
+    differ = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in bits), F.lit(0))
+    alike = (sizes - differ) * (num + den) >= sizes * (2 * num)
     return (
         x.join(y, "token")
-        .where(smaller & (F.col("x_c") != F.col("y_c")) & _sizes_fit("x_size", "y_size", similarity) & _bound("x", "y", similarity))
+        .where(smaller & (F.col("x_c") != F.col("y_c")) & _sizes_fit("x_size", "y_size", similarity) & _bound("x", "y", similarity) & alike)
         .groupBy("x_doc_id", "y_doc_id")
         .agg(
             F.count(F.lit(1)).alias("k"),
             F.min(F.least("x_need", "y_need")).alias("need"),
             F.min(behind).alias("behind"),
-            F.first(F.col("x_size") + F.col("y_size")).alias("sizes"),
+            F.first(sizes).alias("sizes"),
         )
         .where((F.col("k") >= F.col("need")) & ((F.col("k") + F.col("behind")) * (num + den) >= F.col("sizes") * num))
         .select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b"))
@@ -265,7 +281,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction = Fract
     pairs = stored(_star_pairs(_placed(listed, hung), F.xxhash64("doc_id"), similarity))
     links = first.unionByName(stored(verified(pairs, docs, n, similarity)))
     groups = stored(components(links))
-    pairs = stored(_remaining_pairs(_placed(listed, groups), similarity))
+    pairs = stored(_remaining_pairs(_placed(listed, groups), known.select("doc_id", "parity"), similarity))
     more = stored(verified(pairs, docs, n, similarity))
     links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     whole = stored(components(links))
