@@ -46,6 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import components, stored
 from .shingles import blank_words, shingle_set, word_hashes
 
@@ -58,6 +59,8 @@ LONGEST = 8
 VERIFY_COST = 50.0
 BACKGROUND = 0.25
 PARITY = 8
+#: Documents whose ids are broadcast to pick their texts (8 MB of numbers); for more, texts are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -155,7 +158,9 @@ def sketched(docs: DataFrame, levels: np.ndarray, n: int, similarity: Fraction)
 def verified(pairs: DataFrame, docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity; texts are fetched for these pairs only."""
     num, den = similarity.numerator, similarity.denominator
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"
