@@ -227,6 +227,16 @@ def _star_pairs(placed: DataFrame, order: Column, similarity: Fraction) -> DataF
     )
 
 
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs whose parity bits leave room for the similarity."""
+    num, den = similarity.numerator, similarity.denominator
+    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("size").alias(f"{c}_size"), F.col("parity").alias(f"{c}_bits"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    bit = lambda i: F.bit_count(F.get("a_bits", F.lit(i)).bitwiseXOR(F.get("b_bits", F.lit(i))))
+    differ, sizes = sum((bit(i) for i in range(PARITY)), F.lit(0)), F.col("a_size") + F.col("b_size")
+    return both.where((sizes - differ) * (num + den) >= sizes * (2 * num)).select("a", "b")
+
+
 def _remaining_pairs(placed: DataFrame, parity: DataFrame, similarity: Fraction) -> DataFrame:
     """Pairs of different components that share enough of their prefixes; a is the larger set."""
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
@@ -280,10 +290,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: Fraction = Fract
         .drop("k")
     )
     # First the class that shares most lists with others, then any other class of the lists.
-    pairs = stored(_star_pairs(_placed(listed, None), F.col("degree"), similarity))
+    bits = known.select("doc_id", "size", "parity")
+    pairs = stored(_alike(_star_pairs(_placed(listed, None), F.col("degree"), similarity), bits, similarity))
     first = stored(verified(pairs, docs, n, similarity))
     hung = first.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    pairs = stored(_star_pairs(_placed(listed, hung), F.xxhash64("doc_id"), similarity))
+    pairs = stored(_alike(_star_pairs(_placed(listed, hung), F.xxhash64("doc_id"), similarity), bits, similarity))
     links = first.unionByName(stored(verified(pairs, docs, n, similarity)))
     groups = stored(components(links))
     pairs = stored(_remaining_pairs(_placed(listed, groups), known.select("doc_id", "parity"), similarity))
