@@ -93,6 +93,49 @@ def test_licenses(hard, nothing, spark):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
+def test_licenses_all_in_one_text():
+    index = licenses.build_index()
+    filler = " ".join(f"filler{i}" for i in range(30))
+    texts = [f" {filler} ".join(wording for label, wording, _ in licenses.TEMPLATES if label in labels) for labels in (
+        {"bsd", "gpl-3"}, {"mit", "gpl-3", "cc-by-sa"}, {"bsd", "mpl-2", "gpl-2"}, {label for label, _, _ in licenses.TEMPLATES})]
+    words = [licenses.words_of(t) for t in texts]
+    idf = {w: -float(sum(w in licenses.words_of(t[1]) for t in licenses.TEMPLATES)) for w in index.postings}
+    found = [licenses.scan(w, index, idf) for w in words]
+    assert found[0].keys() >= {"bsd", "gpl-3"} and found[1].keys() >= {"mit", "gpl-3", "cc-by-sa"} and found[2].keys() >= {"bsd", "mpl-2", "gpl-2"}
+    assert found[3] == {label: 1.0 for label, _, _ in licenses.TEMPLATES}
+    # A long text that holds every incidental word of the index.
+    incidental = sorted(w.decode() for w in index.postings) * 20
+    assert licenses.scan(licenses.words_of(" ".join(incidental) + filler + " licensed under cc by sa 4 0"), index, idf).get("cc-by-sa") == 1.0
+
+
+def test_licenses_as_votes_of_all_words():
+    import random
+
+    rnd, index = random.Random(6), licenses.build_index()
+    idf = {w: rnd.random() for w in index.postings}
+    for _ in range(300):
+        words = []
+        for _ in range(rnd.randrange(1, 8)):
+            some = licenses.words_of(rnd.choice(licenses.TEMPLATES)[1])
+            for _ in range(rnd.randrange(4)):  # words left out, put in or exchanged
+                k = rnd.randrange(len(some))
+                some[k : k + rnd.randrange(2)] = rnd.choice([[], [b"x"], [rnd.choice(list(index.postings))]])
+            words += some + [b"y"] * rnd.randrange(5)
+        votes = {}
+        for place, w in enumerate(words):
+            for t, q in index.postings.get(w, ()):
+                votes.setdefault((t, place - q), set()).add(w)
+        want = {}
+        for (t, start), agreed in votes.items():
+            template = index.templates[t]
+            if len(agreed) >= 2 and all(
+                any(words[k : k + len(key)] == key for k in range(max(0, start + at - licenses.SLACK), start + at + licenses.SLACK + 1))
+                for at, key in template.phrases
+            ):
+                want[template.label] = max(want.get(template.label, 0.0), licenses._in_order(words, start, template))
+        assert licenses.scan(words, index, idf) == want
+
+
 # -- token files
 
 

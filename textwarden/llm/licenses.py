@@ -1,14 +1,14 @@
 """License scan with a positional index of rare words.
 
 Licence wordings (``TEMPLATES``) are indexed by word and place. How many
-documents hold each word of the index is counted over all documents. In each
-document the ``RARE`` words of the index with the highest inverse document
-frequency are looked up; the differences between their places in the text and
-in a template vote for a start of that template, and postings are intersected
-by keeping starts on which at least two of these words agree. There the
-template's mandatory phrases must stand at their places, give or take
-``SLACK`` words; what is found gets the template's label, and its score is the
-share of the template's words that stand in their order.
+documents hold each word of the index is counted over all documents. Each
+template is sought on its own: of every mandatory phrase the word with the
+highest inverse document frequency is looked up in the document, and the phrase
+verified around it. Starts of the template are kept on which every phrase
+stands at its place, give or take ``SLACK`` words, and at least two words of
+the template agree; what is found gets the template's label, and its score is
+the share of the template's words that stand in their order. That gives what
+votes of all words of the index would give (tested).
 
 The base labels come from exact phrases and always stay.
 
@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RARE = 12
 SLACK = 3
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -112,27 +111,38 @@ def _in_order(words: list[bytes], start: int, template: Template) -> float:
     return met / len(template.words)
 
 
+def _starts(words: list[bytes], places: dict[bytes, list[int]], template: Template, idf: dict[bytes, float]) -> set[int]:
+    """Starts on which every mandatory phrase stands at its place, give or take ``SLACK`` words."""
+    if not template.phrases:
+        return {k - q for q, w in enumerate(template.words) for k in places.get(w, ())}
+    out: set[int] | None = None
+    for at, key in template.phrases:
+        rare = min(set(key), key=lambda w: (-idf.get(w, math.inf), w))
+        inside = key.index(rare)
+        found = [k - inside for k in places[rare] if k >= inside and words[k - inside : k - inside + len(key)] == key]
+        near = {k - at + d for k in found for d in range(-SLACK, SLACK + 1)}
+        out = near if out is None else out & near
+        if not out:
+            break
+    return out
+
+
 def scan(words: list[bytes], index: Index, idf: dict[bytes, float]) -> dict[str, float]:
     """Labels of the templates found, with their scores."""
     held = index.postings.keys() & set(words)
-    rare = set(sorted(held, key=lambda w: (-idf.get(w, math.inf), w))[:RARE])
-    if len(rare) < 2:
+    possible = [t for t in index.templates if all(held.issuperset(key) for _, key in t.phrases)]
+    if not possible:
         return {}
-    votes: dict[tuple[int, int], set[bytes]] = {}
+    places: dict[bytes, list[int]] = {w: [] for t in possible for w in t.words}
     for place, w in enumerate(words):
-        if w in rare:
-            for t, q in index.postings[w]:
-                votes.setdefault((t, place - q), set()).add(w)
+        if w in places:
+            places[w].append(place)
     out: dict[str, float] = {}
-    for (t, start), agreed in votes.items():
-        if len(agreed) < 2:
-            continue
-        template = index.templates[t]
-        if all(
-            any(words[k : k + len(key)] == key for k in range(max(0, start + at - SLACK), start + at + SLACK + 1))
-            for at, key in template.phrases
-        ):
-            out[template.label] = max(out.get(template.label, 0.0), _in_order(words, start, template))
+    for template in possible:
+        for start in _starts(words, places, template, idf):
+            agreed = {w for k, w in enumerate(template.words, start) if 0 <= k < len(words) and words[k] == w}
+            if len(agreed) >= 2:
+                out[template.label] = max(out.get(template.label, 0.0), _in_order(words, start, template))
     return out
 
 
