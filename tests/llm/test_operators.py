@@ -325,6 +325,27 @@ def test_decontamination_joins_when_items_are_many(spark, hard, monkeypatch):
     assert {tuple(r) for r in decontaminate.contained_items(hard, items).collect()} == inside and len(inside) >= 20
 
 
+def test_decontamination_finds_every_small_item(spark):
+    words = [f"w{i}" for i in range(12_000)]
+    items, want = [], set()
+    for i in range(1200):  # unbroken items of 1 to 8 shingles
+        n = 1 + i % 3 if i < 1000 else 1 + i % 8
+        items.append((i, " ".join(words[9 * i : 9 * i + n + 4])))
+        want.add((1, i, n, n))
+    for i in range(1200, 1300):  # 4 of 5 and 7 of 8 shingles stand in the text, far from one another
+        n = 5 if i % 2 else 8
+        own = [f"x{i}y{k}" for k in range(n + 4)]
+        items.append((i, " ".join(own)))
+        words += [w for k in range(n - 1) for w in [*own[k + i % 2 : k + i % 2 + 5], *(f"far{i}k{k}j{j}" for j in range(40))]]
+        want.add((1, i, n, n - 1))
+    items.append((1300, " ".join([*words[:8], "new"])))  # 4 of 5
+    items.append((1301, " ".join([*words[:7], "new", "end"])))  # 3 of 5
+    want.add((1, 1300, 5, 4))
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "w1 w2 w3 w4")], "doc_id long, text string")
+    got = decontaminate.contained_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 # -- url rules
 
 

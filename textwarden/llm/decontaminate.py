@@ -5,13 +5,17 @@ the partition with sizes up to U a document is read through windows of 1.5 * U
 shingles that start every U / 2, so any run of U shingles lies inside one
 window. An unbroken item resembles that window by 1/3 at least, one with a
 fifth of its shingles changed by 1/4, however long the document is. A window
-and an item are candidates if one of ``HASHES`` minima agrees, which fails
-once in 400,000 at 1/3 and once in 10,000 at 1/4. Candidates are verified by
-exact shingle containment in the whole document.
+and an item are candidates if one of ``HASHES`` minima agrees, which by
+calculation fails at most once in 400,000 at 1/3 and once in 10,000 at 1/4.
+Candidates are verified by exact shingle containment in the whole document.
+
+Windows would dilute items of few shingles, so items of up to ``EXACT`` shingles
+are looked up exactly and never missed: so many of their shingles that one must
+stand in every document that holds enough of them. Items with fewer than ``N``
+words are looked up as runs of their own length.
 
 Only minima that an item of the partition has leave a task, so what is
-shuffled follows the hits, not the corpus. Items with fewer than ``N`` words
-are looked up exactly, as runs of their own length.
+shuffled follows the hits, not the corpus.
 
 Defined results: words are letters and digits, A-Z lower-cased; an item
 without words matches nothing; repeated items or rows give each pair once; a
@@ -33,6 +37,8 @@ from .shingles import plain_words, rolled, shingle_set, word_hashes
 N = 5
 SIMILARITY = (4, 5)
 HASHES = 32
+#: Items of so many shingles are looked up by shingles instead of minima.
+EXACT = 8
 #: Items whose minima are looked up inside the tasks; with more, minima are joined. The result is the same.
 INSIDE = 100_000
 _SEEDS = [(0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(1, HASHES + 1)]
@@ -40,7 +46,7 @@ _SEEDS = [(0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range
 
 def partition_of(size: int) -> int:
     """Largest size of the partition of a set of ``size`` shingles."""
-    return 1 << max(3, (size - 1).bit_length())
+    return 1 << (size - 1).bit_length()
 
 
 def _permuted(hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -61,7 +67,7 @@ def item_keys(shingles: np.ndarray) -> tuple[int, list[int]]:
 def window_keys(rows: list[np.ndarray], uppers: list[int], sieve: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Row number and key of the minima of all windows of all rows; ``sieve`` marks the highest bits of keys to keep."""
     lengths = np.array([len(r) for r in rows], np.int64)
-    if not lengths.sum():
+    if not uppers or not lengths.sum():
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     every = np.concatenate(rows)
     begin = np.cumsum(lengths) - lengths
@@ -96,8 +102,14 @@ def _slim(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).where(F.col(key).isNotNull())
 
 
-def signatures(items: DataFrame) -> DataFrame:
-    """item_id, kind (shingle length), upper (partition, 0 for short items) and key of every minimum of every item."""
+def exact_keys(shingles: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """Shingles of a set, one of which every document holds that contains enough of the set."""
+    num, den = similarity
+    return shingles[: max(1, len(shingles) + num * len(shingles) // -den + 1)]
+
+
+def signatures(items: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """item_id, kind (shingle length), upper (partition, 0 for items looked up exactly) and every key of every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +120,8 @@ def signatures(items: DataFrame) -> DataFrame:
                 if 0 < len(words) < N:
                     rows.append((item, len(words), 0, int(rolled(hashes, len(words)).view(np.int64)[0])))
                 elif words:
-                    upper, keys = item_keys(shingle_set(hashes, N))
+                    shingles = shingle_set(hashes, N)
+                    upper, keys = (0, exact_keys(shingles, similarity)) if len(shingles) <= EXACT else item_keys(shingles)
                     rows += [(item, N, upper, k) for k in np.array(keys, np.uint64).view(np.int64).tolist()]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
@@ -118,9 +131,9 @@ def signatures(items: DataFrame) -> DataFrame:
 
 
 def document_keys(docs: DataFrame, shapes: list[tuple[int, int]], wanted: np.ndarray | None) -> DataFrame:
-    """doc_id, key of every minimum of every window; only keys in ``wanted`` (sorted) if given."""
-    uppers = [u for k, u in shapes if k == N]
-    short = [k for k, _ in shapes if k < N]
+    """doc_id, key of every minimum of every window and of every shingle looked up exactly; only keys in ``wanted`` (sorted) if given."""
+    uppers = [u for _, u in shapes if u]
+    exact = [k for k, u in shapes if not u]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = None
@@ -134,7 +147,7 @@ def document_keys(docs: DataFrame, shapes: list[tuple[int, int]], wanted: np.nda
                 hashes = [word_hashes(w, len(w)) for w in words]
                 owner, keys = window_keys([rolled(h, N) for h in hashes], uppers, sieve)
                 owner, keys = [owner], [keys]
-                for k in short:
+                for k in exact:
                     runs = [np.unique(rolled(h, k)) for h in hashes]
                     owner.append(np.repeat(np.arange(len(runs)), [len(r) for r in runs]))
                     keys.append(np.concatenate(runs))
@@ -150,7 +163,7 @@ def document_keys(docs: DataFrame, shapes: list[tuple[int, int]], wanted: np.nda
 def contained_items(docs: DataFrame, items: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, item_id, n_item (shingles of the item), n_common: pairs whose containment reaches the similarity."""
     docs, items = _slim(docs, "doc_id"), _slim(items, "item_id").dropDuplicates(["item_id"])
-    signed = stored(signatures(items))
+    signed = stored(signatures(items, similarity))
     shapes = sorted(tuple(r) for r in signed.select("kind", "upper").distinct().collect())
     wanted = None
     if signed.select("item_id").distinct().count() <= INSIDE:
