@@ -378,6 +378,35 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.where("false")).count() == 0
 
 
+def test_url_links(spark):
+    link, turn = '<link rel="canonical" href="{}">'.format, '<meta http-equiv="refresh" content="0; url={}">'.format
+    blocked = "http://a.net/dir/page?page=2&ref=x"
+    rows = [  # url, html, whether the page is an alias of one of a.net's pages
+        ("http://b.com/1", link("http://a.net/dir/page?page=2&amp;ref=x"), True),
+        ("http://b.com/2", turn("http://a.net/dir/page?page=2&#38;ref=x"), True),
+        ("http://b.com/3", link("http://c.com/") + link("http://a.net/dir/page?page=2&#x26;ref=x"), True),
+        ("http://b.com/4", turn("http://c.com/2") + turn("'http://a.net/dir/page?page=2&ref=x'"), True),
+        ("http://b.com/5", '<base href="http://a.net/dir/sub/">' + link("../page?page=2&amp;ref=x"), True),
+        ("http://d.com/x/y/z?q", link("other") , True),
+        ("http://d.com/x/y2/z", link("./../y/./other"), True),
+        ("http://d.com/x/y/other?k=1", link("?page=2"), True),
+        ("http://d.com/x/y/other?page=2", link(blocked), True),
+        ("http://d.com/x/y/other", link("?page=2"), True),
+        ("http://e.com", link("p?next=http://a.net/dir/page"), False),
+        ("http://e.com/m", link("mailto:x@a.net"), False),
+        ("http://e.com/f", link("#part"), False),
+        ("http://e.com/c", link("http://a.net/dir/page?page=2&ref=x&copy=1"), False),
+        (blocked, None, True),
+    ]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["verdict"], r["component"]) for r in url_rules.judge(pages).collect()}
+    assert {i: v for i, (v, _) in got.items()} == {i: "block" if to else "allow" for i, (_, _, to) in enumerate(rows)}
+    assert len({got[i][1] for i, (_, _, to) in enumerate(rows) if to}) == 1
+    assert [url_rules.decoded(x) for x in ("a?x=1&region=2&amp;copy=3", "&lt&eacute;&#0;&nosuch;", None)] == ["a?x=1&region=2&copy=3", "<é\ufffd&nosuch;", None]
+    paths = spark.createDataFrame([("/a/b/../c",), ("/../a/.",), ("/..",), ("/a//b/./",), ("/a/..",)], "p string")
+    assert [r[0] for r in paths.select(url_rules._without_dots(F.col("p"))).collect()] == ["/a/c", "/a/", "/", "/a//b/", "/"]
+
+
 # -- host quality
 
 

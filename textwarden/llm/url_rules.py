@@ -4,7 +4,9 @@ A rule is a host and the beginning of a path. It fits its host and all
 subdomains; of several that fit, the longest wins. Pages are aliases of one
 another when redirect (meta refresh) and canonical-link edges connect their
 urls; an edge also leads from a url to its plain form (no scheme, fragment or
-``utm_`` parameter). Components of these edges are found by iterated joins.
+``utm_`` parameter). All canonical links and refreshes of a page are read,
+entities in them decoded as in attributes, and relative ones resolved against
+the page's url or its first <base href>. Components of these edges are found by iterated joins.
 Inside a component a page without a rule of its own is allowed if a rule
 allows an alias, else blocked if a rule blocks an alias, else allowed: an
 explicit allow takes precedence, and a page's own rule stands.
@@ -17,10 +19,14 @@ ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from html.entities import html5
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import components, stored
 
@@ -44,8 +50,11 @@ RULES = (Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # What an edge is read from: <link rel=canonical href=...> and <meta http-equiv=refresh content="0; url=...">.
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'\s>]+)"""
+_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*["']?\s*([^"'\s>]+)"""
+_BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+_ENTITY = re.compile(r"&(?:#([0-9]+);?|#[xX]([0-9a-fA-F]+);?|([A-Za-z][A-Za-z0-9]*)(;|(?!=)))")
 
 
 def host_of(url: Column) -> Column:
@@ -75,14 +84,52 @@ def plain_form(url: Column) -> Column:
     )
 
 
+def _character(m: re.Match) -> str:
+    if m[3]:
+        return html5.get(m[3] + m[4], m[0])
+    code = int(m[1]) if m[1] else int(m[2], 16)
+    return chr(code) if 0 < code < 0xD800 or 0xDFFF < code < 0x110000 else "\ufffd"
+
+
+def decoded(href: str | None) -> str | None:
+    """An attribute's value with its entities decoded; names without ";" stay before "=", letters and digits."""
+    return _ENTITY.sub(_character, href) if href else href
+
+
+@F.pandas_udf(StringType())
+def _decoded(hrefs: pd.Series) -> pd.Series:
+    return hrefs.map(decoded, na_action="ignore")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with "/" without its "." and ".." segments."""
+    segments = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(segments, 2, F.size(segments)),
+        F.array().cast("array<string>"),
+        lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))),
+    )
+    dir_end = F.element_at(segments, -1).isin(".", "..")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(dir_end & (F.size(kept) > 0), "/").otherwise(""))
+
+
 def _target(url: Column, href: Column) -> Column:
-    """Absolute form of a link that is absolute, or relative to scheme or host."""
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    """Absolute form of a link on a page; NULL for links that lead to no host."""
+    site = F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit("://"), host_of(url))
+    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    own = F.regexp_extract(href, r"(?s)^([^?#]*)", 1)
+    rest = F.regexp_extract(href, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
     return (
         F.when(href == "", None)
-        .when(href.contains("://"), href)
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), href))
+        .when(href.rlike(_SCHEME + "//"), href)
+        .when(href.rlike(_SCHEME), None)
+        .when(host_of(url) == "", None)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit(":"), href))
+        .when(href.startswith("#"), F.concat(F.regexp_extract(url, r"(?s)^([^#]*)", 1), href))
+        .when(href.startswith("?"), F.concat(site, path, href))
+        .when(href.startswith("/"), F.concat(site, _without_dots(own), rest))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, own)), rest))
     )
 
 
@@ -101,12 +148,21 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             host_of(url).alias("host"),
             path_of(url).alias("path"),
             plain_form(url).alias("self"),
-            plain_form(_target(url, F.regexp_extract("html", _CANONICAL, 1))).alias("canonical"),
-            plain_form(_target(url, F.regexp_extract("html", _REFRESH, 1))).alias("refresh"),
-        ).select("*", text.alias("rule"), verdict.alias("own"))
+            url.alias("url"),
+            F.array_distinct(
+                F.concat(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(1)))
+            ).alias("hrefs"),
+            F.regexp_extract("html", _BASE, 1).alias("base"),
+        )
+        .withColumn("linked", F.col("self").isNotNull() & (F.size("hrefs") > 0))
+        .withColumn("url", F.when(F.col("linked"), F.col("url")))  # kept for the pages that have links only
+        .select("*", text.alias("rule"), verdict.alias("own"))
     )
-    edges = facts.where("self IS NOT NULL").select(F.col("self").alias("a"), F.explode(F.array("canonical", "refresh")).alias("to"))
-    edges = edges.where("to IS NOT NULL").select("a", F.col("to").alias("b")).where("a <> b")
+    links = facts.where("linked").select(F.col("self").alias("a"), "url", "base", F.explode("hrefs").alias("href"))
+    links = links.select("a", "url", _decoded("base").alias("base"), _decoded("href").alias("href"))
+    # Stored, because the expressions below would otherwise repeat this one many times over.
+    links = stored(links.select("a", "href", F.coalesce(_target(url, F.col("base")), url).alias("from")))
+    edges = links.select("a", plain_form(_target(F.col("from"), F.col("href"))).alias("b")).where("b IS NOT NULL AND a <> b")
     groups = stored(components(edges))  # so that a join can split a hot url
     placed = stored(
         facts.join(groups, F.col("self") == F.col("node"), "left")
