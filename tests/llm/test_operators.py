@@ -289,6 +289,22 @@ def test_toxicity_hard_rows(spark, hard, nothing):
     assert toxicity.keep_clean(hard, labels).columns == hard.columns
 
 
+def test_rare_and_short_insults_are_learned():
+    import random
+
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnopqrstuvw") for _ in range(rnd.randrange(2, 9))) for _ in range(4000)]
+    rows = []
+    for i in range(6000):
+        words = rnd.sample(vocabulary, 30)
+        if i < 3000:
+            words.append("zymurgoid" if i < 40 else "zyx" if i < 80 else "zebrazoid")
+        rows.append((int(i < 3000), words))
+    machine = toxicity.fit(rows)
+    scores = machine.scores(machine.values(["zymurgoid", "zyx", "zebrazoid", *vocabulary]))
+    assert scores[:3].min() >= 0.5 and (scores[3:] >= 0.5).mean() < 0.01
+
+
 def test_gapped_insults_stay_close():
     near = toxicity.kernel(["stuupid", "stuxpid", "stupid", "harmless"], ["stupid"])[:, 0]
     assert near[2] == pytest.approx(1) and near[0] > 0.4 and near[1] > 0.3 and near[3] < 0.05

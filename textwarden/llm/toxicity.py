@@ -21,6 +21,7 @@ clean labels every score is 0; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -44,6 +45,8 @@ WORDS = 12_000
 LANDMARKS = 64
 #: Weight of a clean word that was once taken for toxic.
 HARD = 5.0
+#: Share of words that may be taken for telling by chance, of those that are rarer than a fixed share of the toxic documents.
+FALSE = 0.01
 #: Tokens remembered per Python worker; beyond that the memory is emptied. It changes no result.
 REMEMBERED = 700_000
 
@@ -68,8 +71,8 @@ def tokens_of(text: str | None) -> set[str]:
 
 def _choices(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of all subsequences in a word of ``n`` characters and their weights."""
-    if n < LENGTH:
-        return np.zeros((0, LENGTH), np.int64), np.zeros(0)
+    if n < LENGTH:  # a short word is one subsequence
+        return np.arange(n)[None, : n or None][: min(n, 1)], np.ones(min(n, 1))
     rest = [(i, j, k) for i in range(1, SPAN) for j in range(i + 1, SPAN) for k in range(j + 1, SPAN)]
     steps = np.array([(0, *r) for r in rest], np.int64)
     places = (np.arange(n)[:, None, None] + steps[None]).reshape(-1, LENGTH)
@@ -88,7 +91,7 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         chars = np.frombuffer("".join([words[i] for i in rows]).encode("utf-32-le"), "<u4").reshape(len(rows), n).astype(np.uint64)
         chars &= np.uint64(0xFFFF)
         codes = chars[:, places[:, 0]]
-        for k in range(1, LENGTH):
+        for k in range(1, places.shape[1]):
             codes <<= np.uint64(16)
             codes |= chars[:, places[:, k]]
         yield rows, codes, weights
@@ -255,6 +258,18 @@ def without_copies(bags: list[tuple[int, np.ndarray]], hashes: np.ndarray) -> li
     return out
 
 
+def significant(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Words that stand in toxic documents more often than chance puts them; at most ``FALSE`` of these by chance (Benjamini-Hochberg)."""
+    p, share = np.ones(len(toxic)), n1 / (n1 + n0)
+    tested = np.flatnonzero(9 * clean <= toxic)
+    pairs, back = np.unique(np.c_[toxic[tested], clean[tested]], axis=0, return_inverse=True)
+    tails = [sum(math.exp(math.lgamma(a + b + 1) - math.lgamma(j + 1) - math.lgamma(a + b - j + 1) + j * math.log(1 - share) + (a + b - j) * math.log(share)) for j in range(b + 1)) for a, b in pairs.tolist()]
+    p[tested] = np.array(tails)[back.ravel()] if tails else p[tested]
+    ordered = np.sort(p)
+    passed = np.flatnonzero(ordered <= FALSE * np.arange(1, len(p) + 1) / max(1, len(p)))
+    return p <= ordered[passed[-1]] if len(passed) else np.zeros(len(p), bool)
+
+
 def fit(rows: Iterable[tuple[int, Iterable[str]]]) -> Machine:
     """A machine from (label, words) of documents."""
     ids: dict[str, int] = {}
@@ -267,10 +282,11 @@ def fit(rows: Iterable[tuple[int, Iterable[str]]]) -> Machine:
     if not n[0] or not n[1]:
         return nothing_learned()
     count = [np.bincount(np.concatenate([bag for y, bag in bags if y == c]).astype(np.int64), minlength=len(words)) for c in (0, 1)]
-    usable = np.fromiter(map(len, words), np.int64, len(words)) >= LENGTH
+    usable = np.fromiter(map(len, words), np.int64, len(words)) > 0
     # A word is telling if it stands almost only in toxic documents, and in more than chance would put it.
     least = min(n[1], max(4, round(0.015 * n[1])))
-    telling = np.flatnonzero(usable & (count[1] >= least) & (9 * count[0] <= count[1]) & (count[1] * n[0] > 4 * n[1] * count[0]))
+    enough = (count[1] >= least) | significant(count[1], count[0], n[1], n[0])
+    telling = np.flatnonzero(usable & enough & (9 * count[0] <= count[1]) & (count[1] * n[0] > 4 * n[1] * count[0]))
     telling = sorted(telling, key=lambda i: (-count[1][i], words[i]))[:WORDS]
     every_clean = np.flatnonzero(usable & (count[0] > 0) & (2 * count[1] * n[0] <= 3 * n[1] * count[0]))
     clean = every_clean[np.argsort(hashes[every_clean], kind="stable")][:WORDS]
@@ -288,9 +304,9 @@ def fit(rows: Iterable[tuple[int, Iterable[str]]]) -> Machine:
     values, vectors = np.linalg.eigh(kernel(chosen, chosen) + 1e-3 * np.eye(len(chosen)))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
     # Insults with a character written twice or left over, so that gapped forms count as toxic too.
-    gapped = [w[: len(w) // 2] + c + w[len(w) // 2 :] for w in bad for c in (w[len(w) // 2], "x")]
+    gapped = [w[: len(w) // 2] + c + w[len(w) // 2 :] for w in bad if len(w) >= LENGTH for c in (w[len(w) // 2], "x")]
     plain = np.sqrt(count[1][telling])
-    weight = np.r_[plain, np.repeat(plain / 4, 2)]
+    weight = np.r_[plain, np.repeat(plain[[len(w) >= LENGTH for w in bad]] / 4, 2)]
     owner, code, own = subsequences(chosen)
     norm = np.sqrt(np.bincount(owner, own**2, len(chosen)))
     codes, back = np.unique(code, return_inverse=True)
