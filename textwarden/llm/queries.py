@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_quality, licenses, ngram_join, packing, shards, tokenids, toxicity, url_rules, warc
+from . import collocations, decontaminate, exact_dedup, host_quality, licenses, ngram_join, packing, periodic_runs, shards, tokenids, toxicity, url_rules, warc
 from .common import prepare, read
 
 
@@ -51,6 +51,18 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(read(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(periodic_runs.detect_runs(periodic_runs.planted(read(spark, sf_dir, "documents"))))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(read(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,6 +76,9 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_host_quality,
         op10_warc_revisits,
+        op11_periodic_runs,
+        op12_exact_dedup,
+        op13_collocations,
     )
 }
 
@@ -81,4 +96,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": url_rules.ORACLE,
         "op9_host_quality": host_quality.ORACLE,
         "op10_warc_revisits": warc.ORACLE,
+        "op12_exact_dedup": exact_dedup.ORACLE,
+        "op13_collocations": collocations.ORACLE,
     }
