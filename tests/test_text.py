@@ -207,7 +207,7 @@ def test_chunks_cover_text(spark):
     mine = [r.chunk for r in sorted(rows, key=lambda r: r.chunk_no) if r.id == 1]
     assert mine[0] + "".join(c[150:] for c in mine[1:]) == text and max(map(len, mine)) <= 1000
     assert {r.id for r in rows} == {1, 2}
-    for piece in documents.split_separators("word " * 1000, 1000, 150):
+    for piece in [r["chunk"] for r in documents.chunk_separators(df.limit(1).select("id", F.repeat(F.lit("word "), 1000).alias("text")), "id").collect()]:
         assert len(piece) <= 1000
     docs = documents.ingest_documents(df.withColumn("text", F.concat("text", F.lit(" SSN 321-54-9876"))), "id", embed=False)
     assert docs.where("chunk like '%321-54%'").count() == 0

@@ -3,8 +3,9 @@
 A window starts at the first request after the last one ran out, so window
 starts depend on one another. They are found in three steps, none of which
 holds a whole actor: each block of time works out where it would leave off for
-any point of entry; one small row per block carries the entry along; with its
-entry known, every block marks its windows. Decisions are then made per window.
+any point of entry (from its distinct times alone); one small row per block
+carries the entry along; with its entry known, every block marks its windows.
+Decisions are then made per window, batch by batch and run by run.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def window_starts(
             )
 
     actor_type = requests.schema[actor].dataType.simpleString()
-    slim = rows.select(actor, "__blk", us).repartition(actor, "__blk").sortWithinPartitions(actor, "__blk", us)
+    slim = rows.select(actor, "__blk", us).distinct().repartition(actor, "__blk").sortWithinPartitions(actor, "__blk", us)
     per_block = slim.mapInPandas(exits, f"{actor} {actor_type}, __blk bigint, cand array<bigint>, ends array<bigint>")
 
     def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,11 +135,15 @@ def window_starts(
     )
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, cuts in _whole_groups(batches, [actor, "__blk"]):
+        last, start = None, _NEVER
+        for pdf in batches:
             t, entry = pdf[us].to_numpy(), pdf["__entry"].to_numpy()
-            starts = np.empty(len(t), dtype=np.int64)
-            for lo, hi in zip(cuts, cuts[1:]):
-                start, i = int(entry[lo]), lo
+            starts, cuts = np.empty(len(t), np.int64), _bordered(pdf, [actor, "__blk"])[1]
+            for lo, hi in zip(cuts[: len(pdf)], cuts[1:]):
+                here = (pdf[actor].iat[lo], pdf["__blk"].iat[lo])
+                if here != last:
+                    last, start = here, int(entry[lo])
+                i = lo
                 while i < hi:
                     if t[i] > start + window:
                         start = int(t[i])
@@ -152,18 +157,34 @@ def window_starts(
     return joined.select(*requests.columns, "__blk", "__entry").mapInPandas(mark, schema)
 
 
-def _decide(costs: np.ndarray, max_requests: int, max_cost: float) -> list[str]:
-    """Decisions of one window in order; a denied request consumes nothing."""
-    out, used, spent = [], 0, 0.0
-    for c in costs:
-        if used + 1 > max_requests:
-            out.append(RATE)
-        elif spent + c > max_cost:
-            out.append(COST)
-        else:
-            used, spent = used + 1, spent + c
-            out.append(OK)
-    return out
+def decide_part(costs: np.ndarray, used: int, spent: float, max_requests: int, max_cost: float) -> tuple[np.ndarray, int, float]:
+    """The next requests of a window: 0 accepted, 1 over the rate, 2 over the cost; and what is used and spent after them.
+
+    A denied request consumes nothing. Decisions come in runs: how far a run of
+    accepted requests reaches is read from running sums over stretches of
+    doubling length, and the end of a run of dear ones from what is left. The
+    sums are those of a request after the other, so they round alike.
+    """
+    out, i, step = np.ones(len(costs), np.int64), 0, 16
+    while i < len(costs) and used < max_requests:
+        part = costs[i : i + min(step, max_requests - used)]
+        sums = np.cumsum(np.concatenate([[spent], part]))[1:]
+        over = np.flatnonzero(sums > max_cost)
+        good = int(over[0]) if len(over) else len(part)
+        if good:
+            out[i : i + good], used, spent, i = 0, used + good, float(sums[good - 1]), i + good
+        step *= 2
+        if good < len(part):
+            step = 16
+            while i < len(costs):
+                part = costs[i : i + step]
+                fits = np.flatnonzero(spent + part <= max_cost)
+                end = i + (int(fits[0]) if len(fits) else len(part))
+                out[i:end], i, step = 2, end, step * 2
+                if len(fits):
+                    break
+            step = 16
+    return out, used, spent
 
 
 def rate_cost_decisions(
@@ -177,17 +198,22 @@ def rate_cost_decisions(
     max_cost: float = MAX_COST,
     block_us: int = BLOCK_US,
 ) -> DataFrame:
-    """Allow or deny every request; the rows of one actor and window stay together."""
+    """Allow or deny every request; the rows of one actor and window stay in one task, which carries three numbers through them."""
     rows = requests.withColumns({"us": F.unix_micros(ts), "cost": request_cost(F.col(tokens))})
     marked = window_starts(rows, actor, "us", window_us, block_us)
     schema = marked.select("*", F.lit("").alias("decision")).schema
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, cuts in _whole_groups(batches, [actor, "window_start"]):
-            costs, out = pdf["cost"].to_numpy(), []
-            for lo, hi in zip(cuts, cuts[1:]):
-                out += _decide(costs[lo:hi], max_requests, max_cost)
-            yield pdf.assign(decision=out)
+        names, last, used, spent = np.array([OK, RATE, COST], object), None, 0, 0.0
+        for pdf in batches:
+            costs, out = pdf["cost"].to_numpy(), np.zeros(len(pdf), np.int64)
+            cuts = _bordered(pdf, [actor, "window_start"])[1]
+            for lo, hi in zip(cuts[: len(pdf)], cuts[1:]):
+                here = (pdf[actor].iat[lo], pdf["window_start"].iat[lo])
+                if here != last:
+                    last, used, spent = here, 0, 0.0
+                out[lo:hi], used, spent = decide_part(costs[lo:hi], used, spent, max_requests, max_cost)
+            yield pdf.assign(decision=names[out])
 
     ordered = marked.repartition(actor, "window_start").sortWithinPartitions(actor, "window_start", "us", tie)
     return ordered.mapInPandas(decide, schema).withColumn("allowed", F.col("decision") == OK)

@@ -13,7 +13,9 @@ from ..functions.arrays import cut_text, explode_rows, text_blocks
 from ..functions.patterns import US_PATTERNS
 from .detect import scan
 from .mask import redact_india, redact_spans, scanner_risk
+from .nearest import nearest
 from .semantic import embed_chunks
+from .splitter import split_text
 
 # Fixed values.
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 150
@@ -35,35 +37,9 @@ def chunk(df: DataFrame, *keep: str, text: str = "text", size: int = CHUNK_SIZE,
     return explode_rows(staged, keep, pieces, "chunk", "chunk_no")
 
 
-def split_separators(text: str, size: int, overlap: int) -> list[str]:
-    """Chunks of at most ``size`` that end at a paragraph, line or space where possible."""
-    chunks, start, n = [], 0, len(text)
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            for sep in ("\n\n", "\n", " "):
-                cut = text.rfind(sep, start + 1, end)
-                if cut > start:
-                    end = cut
-                    break
-        piece = text[start:end].strip()
-        if piece:
-            chunks.append(piece)
-        if end >= n:
-            break
-        # Step back for the overlap, but to a word start and always forward overall.
-        back = max(end - overlap, start + 1)
-        gap = text.find(" ", back, end)
-        start = gap + 1 if gap != -1 else end
-    return chunks
-
-
 def chunk_separators(df: DataFrame, *keep: str, text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_separators(t or "", size, overlap))
-
-    udf = F.pandas_udf(split, "array<string>")
-    return explode_rows(df, keep, udf(F.col(text)), "chunk", "chunk_no")
+    """Chunks that end at paragraphs, lines or words (see ``splitter``)."""
+    return split_text(df, *keep, text=text, size=size, overlap=overlap)
 
 
 def ingest_documents(docs: DataFrame, *keep: str, text: str = "text", embed: bool = True, model=None) -> DataFrame:
@@ -71,7 +47,7 @@ def ingest_documents(docs: DataFrame, *keep: str, text: str = "text", embed: boo
     scanned = scan(docs, text, US_PATTERNS, "findings")
     scored = scanned.withColumns({"risk": scanner_risk("findings"), "alert": scanner_risk("findings") > HIGH_RISK})
     clean = redact_spans(scored, text, "findings", "clean_text")
-    pieces = chunk(clean, *keep, "risk", "alert", text="clean_text")
+    pieces = chunk_separators(clean, *keep, "risk", "alert", text="clean_text")
     return embed_chunks(pieces, "chunk", "embedding", model) if embed else pieces
 
 
@@ -170,9 +146,10 @@ def similarity_topk(
 ) -> DataFrame:
     """Exact nearest neighbours by dot product, ties to the smaller id.
 
-    The smaller side goes to every task in blocks of a checked size; the other
-    side streams past it as matrix products. Pairs are never materialised,
-    only the best k per query and block.
+    A side of a checked size goes to every task and the other one streams past
+    it as matrix products. Where both are large, the index is placed in cells,
+    and a query visits only those that can hold one of its best (``nearest``).
+    Pairs are never materialised, only the best k per query and block.
     """
     names = (query_id, index_id, query_vec, index_vec)
     n_index = index.select(index_id).limit(max_vectors + 1).count()
@@ -180,8 +157,7 @@ def similarity_topk(
         return _against_index(queries, index, *names, k)
     if queries.select(query_id).limit(max_vectors + 1).count() <= max_vectors:
         return _best(_against_queries(queries, index, *names, k), k)
-    sizes = (queries.count() // max_vectors + 1, index.count() // max_vectors + 1)
-    return topk_in_blocks(queries, index, k, *names, *sizes)
+    return nearest(queries, index, k, *names)
 
 
 def topk_in_blocks(

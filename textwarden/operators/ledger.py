@@ -10,7 +10,7 @@ together with a chain over their heads (``chain_heads``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_json, hash_text, ledger_actor_hash, sha256
 from ..schemas import LEDGER
+from ..session import cut
+from .trees import merkle_tree, numbered
 
 GENESIS = "GENESIS"
 PREV_MARK = "@@previous-entry-hash@@"
@@ -26,6 +28,7 @@ HIGH_RISK = 7.0
 BLOCK = 1_000_000  # entries per task when a chain is checked
 FANOUT = 10_000  # digests per node of the root tree
 KEY_SPAN = 1 << 63  # range of the keys that a root tree must cover
+BROADCAST_TENANTS = 100_000  # tenants up to which their names are broadcast
 
 
 # ---- sealing --------------------------------------------------------------
@@ -102,6 +105,20 @@ def chain_heads(sealed: DataFrame, chain: str = "chain_id", seq: str = "seq", ro
     return numbered.select(F.lit(root).alias("chain_id"), "seq", "name", "entries", "head", body.alias("body"))
 
 
+def head_proofs(sealed: DataFrame, chain: str = "chain_id", seq: str = "seq") -> DataFrame:
+    """name, entries, head, leaf, path, root of every chain: a hash tree over the heads, in the order of their names.
+
+    Whoever holds the root can check one chain by its leaf and a path of as
+    many digests as the tree has levels; no task sees all heads.
+    """
+    heads = sealed.groupBy(F.col(chain).alias("name")).agg(F.count("*").alias("entries"), F.max_by("entry_hash", seq).alias("head"))
+    leaf = sha256(F.concat_ws("|", "name", F.col("entries").cast("string"), "head"))
+    leaves = cut(numbered(heads.withColumn("leaf", leaf), (), "name"))
+    root, paths = merkle_tree(leaves)
+    top = root.first()
+    return leaves.join(paths, "idx").select("idx", "name", "entries", "head", "leaf", "path", F.lit(top["root"] if top else None).cast("string").alias("root"))
+
+
 # ---- verification ---------------------------------------------------------
 
 
@@ -294,20 +311,21 @@ def tree_levels(fanout: int) -> int:
     return levels
 
 
-def merkle_root(ledger: DataFrame, digest: str = "entry_hash", seq: str = "seq", fanout: int = FANOUT) -> DataFrame:
-    """Root over a whole ledger: digests of blocks, of blocks of blocks, and so on.
+def merkle_root(ledger: DataFrame, digest: str = "entry_hash", seq: str = "seq", fanout: int = FANOUT, by: Sequence[str] = ()) -> DataFrame:
+    """Root over a whole ledger, or one per group: digests of blocks, of blocks of blocks, and so on.
 
     Keys fall into one node if they agree after division by ``fanout``, so no
     node sees more than ``fanout`` digests however sparse the keys are, and
     there are as many levels as bring any 64-bit keys into one node. Keys are
-    unique and not negative. An empty ledger has the digest of no text.
+    unique in their group and not negative. An empty ledger has the digest of
+    no text.
     """
-    rows = ledger.select(F.col(seq).cast("bigint").alias("k"), F.col(digest).alias("h"), F.lit(1).cast("bigint").alias("n"))
+    rows = ledger.select(*by, F.col(seq).cast("bigint").alias("k"), F.col(digest).alias("h"), F.lit(1).cast("bigint").alias("n"))
     joined = sha256(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda e: e["h"]), ""))
     for _ in range(tree_levels(fanout)):
-        rows = rows.groupBy(F.expr(f"k div {int(fanout)}L").alias("g")).agg(joined.alias("h2"), F.sum("n").alias("n2"))
-        rows = rows.select(F.col("g").alias("k"), F.col("h2").alias("h"), F.col("n2").alias("n"))
-    return rows.agg(joined.alias("ledger_root"), F.coalesce(F.sum("n"), F.lit(0)).alias("entry_count"))
+        rows = rows.groupBy(*by, F.expr(f"k div {int(fanout)}L").alias("g")).agg(joined.alias("h2"), F.sum("n").alias("n2"))
+        rows = rows.select(*by, F.col("g").alias("k"), F.col("h2").alias("h"), F.col("n2").alias("n"))
+    return rows.groupBy(*by).agg(joined.alias("ledger_root"), F.coalesce(F.sum("n"), F.lit(0)).alias("entry_count"))
 
 
 def usage_meter(users: DataFrame, keys: DataFrame, ledger: DataFrame, tenant: str = "tenant_id") -> DataFrame:
@@ -358,14 +376,51 @@ def evidence_certificate(summary: DataFrame, root: DataFrame, chain: DataFrame,
     return rows.agg(sha256(text).alias("certificate"))
 
 
-def scheduled_evidence(schedules: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Report figures per enabled schedule: one pass over the ledger for all tenants."""
-    due = schedules.where(F.coalesce("enabled", F.lit(True))).select(
+def _due(schedules: DataFrame) -> DataFrame:
+    return schedules.where(F.coalesce("enabled", F.lit(True))).select(
         F.coalesce("org_name", F.lit("Buyer Organization")).alias("org_name"),
         F.coalesce("tenant_id", F.lit("default")).alias("tenant_id"),
     )
-    stats = audit_summary(ledger, "tenant_id")
-    return due.join(stats, "tenant_id", "left").na.fill(0)
+
+
+def scheduled_evidence(schedules: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Report figures per enabled schedule: one pass over the ledger for all tenants."""
+    return _due(schedules).join(audit_summary(ledger, "tenant_id"), "tenant_id", "left").na.fill(0)
+
+
+def first_of_each(rows: DataFrame, by: str, order: Sequence[Column], limit: int, spread: str) -> DataFrame:
+    """The first ``limit`` rows of each group with their ``rank``; a group is ranked in parts before the parts' first are."""
+    part = rows.withColumn("__p", F.pmod(F.xxhash64(spread), F.lit(64)))
+    inside = Window.partitionBy(by, "__p").orderBy(*order)
+    best = part.withColumn("rank", F.row_number().over(inside)).where(F.col("rank") <= limit).drop("__p")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= limit)
+
+
+def tenant_certificates(
+    schedules: DataFrame, ledger: DataFrame, profiles: DataFrame, seq: str = "seq", top: int = 5, high: int = 25, fanout: int = FANOUT
+) -> dict[str, DataFrame]:
+    """Evidence of every enabled schedule in one job: figures with root and certificate, top actors, high-sensitivity entries.
+
+    The trees of all tenants are built together. A certificate covers the
+    figures, the root and both tables of its tenant. ``profiles`` are those of
+    ``risk_profile`` by tenant.
+    """
+    due = _due(schedules)
+    wanted = due.select("tenant_id").distinct()
+    rows = ledger.join(F.broadcast(wanted) if wanted.limit(BROADCAST_TENANTS + 1).count() <= BROADCAST_TENANTS else wanted, "tenant_id", "left_semi")
+    actors = first_of_each(profiles.join(wanted, "tenant_id", "left_semi"), "tenant_id", [F.col("risk_score").desc(), F.col("actor_hash")], top, "actor_hash")
+    actors = cut(actors.select("tenant_id", "rank", "actor_hash", "risk_score"))
+    entries = first_of_each(high_sensitivity(rows), "tenant_id", [F.col(seq).desc()], high, seq)
+    entries = cut(entries.select("tenant_id", "rank", F.col(seq).alias("seq"), "risk_score", "entry_hash"))
+    listed = lambda df, *cols: df.groupBy("tenant_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", *cols))), lambda e: F.concat_ws(":", *[e[c].cast("string") for c in cols])), ",").alias("__l")
+    )
+    figures = due.join(audit_summary(rows, "tenant_id"), "tenant_id", "left").na.fill(0)
+    figures = figures.join(merkle_root(rows, "entry_hash", seq, fanout, ("tenant_id",)).drop("entry_count"), "tenant_id", "left")
+    figures = figures.join(listed(actors, "actor_hash").withColumnRenamed("__l", "top_actors"), "tenant_id", "left")
+    figures = figures.join(listed(entries, "seq", "entry_hash").withColumnRenamed("__l", "high_entries"), "tenant_id", "left")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("tenant_id", "total_events", "total_redactions", "high_risk_events", "ledger_root", "top_actors", "high_entries")]
+    return {"figures": figures.withColumn("certificate", sha256(F.concat_ws("|", *parts))), "top_actors": actors, "high_sensitivity": entries}
 
 
 # ---- access ---------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 A few hundred rules are configuration: they are compiled into one expression
 per department, so that matching adds no join and no shuffle. ``match_table``
-is the join form for rule sets that outgrow an expression.
+is the form for rule sets that outgrow an expression.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ from ..functions.patterns import JAVA_FLAGS, word_classes
 from ..functions.presets import DEFAULT_ENFORCEMENT, DEFAULT_NAME, DEFAULT_THRESHOLD, ENFORCEMENTS, bundled_rules
 from ..schemas import RULE
 from .detect import folded, quoted
+from .keywords import match_keywords
 
 COMPILE_LIMIT = 500  # rules per expression
 BROADCAST_RULES = 20_000  # rows up to which a rule table is broadcast
+AUTOMATON_CHARS = 4 << 20  # characters of keywords up to which they form one automaton
 SALT = 64
 _EVERYWHERE = "*"  # key of the global rules
 _META = "struct<rule_ord:int,name:string,description:string,enforcement:string,allowed_models:array<string>>"
@@ -146,13 +148,18 @@ def match_table(
     department: str = "department",
     out: str = "matched",
 ) -> DataFrame:
-    """The same matches from a rule table, by a join on the department.
+    """The same matches from a rule table.
 
-    A small table is broadcast; a larger one is repeated per salt, so that a
-    department with most of the prompts is spread over many tasks.
+    A table of a checked size goes to every task as one automaton, which finds
+    all its keywords in one pass over a text. A larger one is joined on the
+    department, repeated per salt, so that a department with most of the
+    prompts is spread over many tasks.
     """
-    small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    salts = 1 if small else SALT
+    some = rules.select("dept", "entity_types", "keywords", "risk_threshold", "rule_ord", "name", "description", "enforcement", "allowed_models")
+    held = some.limit(BROADCAST_RULES + 1).collect()
+    if len(held) <= BROADCAST_RULES and sum(len(k or "") for r in held for k in r["keywords"] or ()) <= AUTOMATON_CHARS:
+        return match_keywords(df, [r.asDict() for r in held], text, labels, risk, _dept_keys(department), out)
+    salts = SALT
     p = df.select(
         key,
         F.col(text).alias("__t"),
@@ -169,8 +176,6 @@ def match_table(
         "risk_threshold",
         F.struct("rule_ord", "name", "description", "enforcement", "allowed_models").cast(_META).alias("__rule"),
     )
-    if small:
-        r = F.broadcast(r)
     hit = (
         F.coalesce(F.arrays_overlap("__l", "entity_types"), F.lit(False))
         | F.exists("keywords", lambda k: F.rlike(F.col("__t"), F.concat(F.lit(JAVA_FLAGS + "(?i)"), F.replace(k, F.lit(r"\b"), F.lit(word_classes(r"\b"))))))

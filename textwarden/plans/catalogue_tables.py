@@ -15,8 +15,11 @@ from ..operators.mask import mask_columns
 from ..operators.policy import normalize_rules, policy_versions, verify_manifests
 from ..session import checkpoint_dir
 from ..sources.sinks import audit_export as export_rows, upsert_by_key
-from ..streaming.jobs import stream_risk, use_rocksdb
+from ..sources import buckets
+from ..streaming import snapshots
+from ..streaming.jobs import start_available, stream_budget, stream_risk, use_rocksdb
 from . import control_room as rooms
+from ..operators.trees import proven
 from .bindings import (
     AS_OF,
     AS_OF_HOUR,
@@ -36,6 +39,8 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def register(fn):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = fn
         if oracle is not None:
             ORACLES[name] = oracle
@@ -108,6 +113,22 @@ def stream_risk_replay(spark, sf):
     )
 
 
+@query(
+    "control_room_stream",
+    duck("risk_events", ctes=_PROFILE)
+    + """SELECT CAST((SELECT count(*) FROM prof WHERE pii > 3 OR score >= 50 OR inj > 0) AS BIGINT) AS open_alerts, (SELECT count(*) FROM prof WHERE pii > 3) AS quarantined_users,
+  count(*) AS events, count_if(is_pii) AS pii, count_if(is_injection) AS injections, count_if(is_semantic) AS semantic, count(DISTINCT us // 3600000000) AS active_hours FROM risk_events""",
+)
+def control_room_stream(spark, sf):
+    """The events in several batches; each adds its hours to the version before and reads the live hour alone."""
+    base = f"{checkpoint_dir(spark)}/control-room-{uuid.uuid4().hex}"
+    events = view(spark, sf, "risk_events").withColumn("ts", F.timestamp_micros("us")).select("event_id", "actor_hash", "ts", "severity", "is_pii", "is_injection", "is_semantic")
+    events.repartitionByRange(4, "ts").write.parquet(f"{base}/arriving")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arriving")
+    start_available(stream, snapshots.control_room_batches(f"{base}/room", lambda: AS_OF_HOUR), f"{base}/checkpoint").awaitTermination()
+    return snapshots.read_snapshot(spark, f"{base}/room").drop("as_of", "severity_units")
+
+
 @query(
     "quarantine_events",
     duck("risk_events", ctes=_WINDOW)
@@ -224,6 +245,19 @@ def rate_cost_decisions(spark, sf):
     return d.select("request_id", "window_start", "decision")
 
 
+@query("stream_budget_replay", "SELECT request_id, decision FROM (" + _budget_sql("request_bursts", cap="CAST(0.1 AS DOUBLE)", win=60_000_000, most=8) + ")")
+def stream_budget_replay(spark, sf):
+    """The same decisions from a stream with state per actor."""
+    use_rocksdb(spark)
+    base = f"{checkpoint_dir(spark)}/stream-budget-{uuid.uuid4().hex}"
+    rows = view(spark, sf, "request_bursts").select("request_id", F.col("actor").cast("string").alias("actor"), "ts", "tokens")
+    rows.write.parquet(f"{base}/arriving")
+    stream = stream_budget(spark.readStream.schema(rows.schema).parquet(f"{base}/arriving"), 8, 60_000_000, 0.1)
+    sink = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").outputMode("append")
+    sink.trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out").select("request_id", "decision")
+
+
 @query("budget_by_day", _budget_sql("requests", cap="CAST(1 AS DOUBLE)", win=86_400_000_000, most=120))
 def budget_by_day(spark, sf):
     """A tighter budget over a day, so that both limits are reached."""
@@ -474,9 +508,71 @@ def scheduled_evidence(spark, sf):
     return led.scheduled_evidence(plan, rows).drop("avg_risk_score", "org_name")
 
 
+_TENANT_TREE = [f"l0 AS (SELECT tenant_id, seq AS k, entry_hash AS h FROM ledger)"] + [
+    f"l{i + 1} AS (SELECT tenant_id, k // {led.FANOUT} AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM l{i} GROUP BY 1, 2)" for i in range(led.tree_levels(led.FANOUT))
+]
+_TENANT_EVIDENCE = (
+    _LEDGER.rstrip()
+    + ", " + ", ".join(_TENANT_TREE)
+    + f""", roots AS (SELECT tenant_id, sha256(string_agg(h, '' ORDER BY k)) AS ledger_root FROM l{led.tree_levels(led.FANOUT)} GROUP BY 1),
+risk_events AS ({view_sql("risk_events", "duck")}),
+prof AS (SELECT *, {_SCORE} AS score FROM (SELECT tenant_id, actor_hash, sum(CAST(is_pii AS BIGINT)) AS pii, sum(CAST(is_injection AS BIGINT)) AS inj,
+  sum(CAST(is_semantic AS BIGINT)) AS sem, sum({_SEV}) AS sev FROM risk_events WHERE us BETWEEN {us(AS_OF_HOUR)} - 3600000000 AND {us(AS_OF_HOUR)} GROUP BY 1, 2)),
+actors AS (SELECT tenant_id, row_number() OVER (PARTITION BY tenant_id ORDER BY score DESC, actor_hash) AS rank, actor_hash, score FROM prof QUALIFY rank <= 5),
+high AS (SELECT tenant_id, row_number() OVER (PARTITION BY tenant_id ORDER BY seq DESC) AS rank, seq, entry_hash, risk_score FROM ledger WHERE coalesce(risk_score, 0) > 7 QUALIFY rank <= 25),
+figures AS (SELECT tenant_id, count(*) AS total_events, {_N_RED}, CAST(sum(CASE WHEN risk_score > 7 THEN 1 ELSE 0 END) AS BIGINT) AS high_risk_events FROM ledger WHERE tenant_id <> 't2' GROUP BY 1),
+named AS (SELECT tenant_id, string_agg(actor_hash, ',' ORDER BY rank) AS top_actors FROM actors GROUP BY 1),
+listed AS (SELECT tenant_id, string_agg(concat(seq, ':', entry_hash), ',' ORDER BY rank) AS high_entries FROM high GROUP BY 1),
+evidence AS (SELECT * FROM figures LEFT JOIN roots USING (tenant_id) LEFT JOIN named USING (tenant_id) LEFT JOIN listed USING (tenant_id))
+"""
+)
+
+
+def _tenant_evidence(spark, sf):
+    rows = ledger(spark, sf)
+    plan = rows.select("tenant_id").distinct().select(
+        "tenant_id", (F.col("tenant_id") != "t2").alias("enabled"), F.concat(F.lit("org "), "tenant_id").alias("org_name")
+    )
+    profiles = risk.risk_profile(view(spark, sf, "risk_events"), AS_OF_HOUR, "tenant_id")
+    return led.tenant_certificates(plan, rows, profiles)
+
+
+@query(
+    "tenant_evidence",
+    _TENANT_EVIDENCE
+    + """SELECT *, sha256(concat_ws('|', tenant_id, total_events, total_redactions, high_risk_events, ledger_root, coalesce(top_actors, ''), coalesce(high_entries, ''))) AS certificate FROM evidence""",
+)
+def tenant_evidence(spark, sf):
+    """Figures, root of the ledger, tables and certificate of every tenant with an enabled schedule, in one job."""
+    return _tenant_evidence(spark, sf)["figures"].drop("avg_risk_score", "org_name")
+
+
+@query(
+    "tenant_evidence_rows",
+    _TENANT_EVIDENCE
+    + """SELECT tenant_id, 'actor' AS kind, rank, actor_hash AS id, score AS risk FROM actors WHERE tenant_id <> 't2'
+UNION ALL SELECT tenant_id, 'entry', rank, entry_hash, risk_score FROM high WHERE tenant_id <> 't2'""",
+)
+def tenant_evidence_rows(spark, sf):
+    """The tables beside those figures: five actors by risk and the newest 25 high-sensitivity entries of each tenant."""
+    parts = _tenant_evidence(spark, sf)
+    rank = F.col("rank").cast("bigint").alias("rank")
+    actors = parts["top_actors"].select("tenant_id", F.lit("actor").alias("kind"), rank, F.col("actor_hash").alias("id"), F.col("risk_score").alias("risk"))
+    return actors.unionByName(parts["high_sensitivity"].select("tenant_id", F.lit("entry").alias("kind"), rank, F.col("entry_hash").alias("id"), F.col("risk_score").alias("risk")))
+
+
 _DAY_US = 86_400_000_000
 
 
+def _sealed_by_day(spark, sf):
+    rows = view(spark, sf, "ledger_rows").select(
+        F.concat_ws("/", "tenant_id", F.expr(f"us div {_DAY_US}L").cast("string")).alias("chain_id"),
+        "seq",
+        F.concat(F.lit('"'), "canonical", F.lit(f'"|{led.PREV_MARK}')).alias("body"),
+    )
+    return led.build_chain(rows, salt="pepper")
+
+
 @query(
     "sealed_chain",
     duck("ledger_rows").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
@@ -492,12 +588,7 @@ UNION ALL SELECT 'root', TRUE, count(*), arg_max(h, i) FROM r""",
 )
 def sealed_chain(spark, sf):
     """Entries sealed per tenant and day and a chain over these chains, each verified, with the last digest."""
-    rows = view(spark, sf, "ledger_rows").select(
-        F.concat_ws("/", "tenant_id", F.expr(f"us div {_DAY_US}L").cast("string")).alias("chain_id"),
-        "seq",
-        F.concat(F.lit('"'), "canonical", F.lit(f'"|{led.PREV_MARK}')).alias("body"),
-    )
-    sealed = led.build_chain(rows, salt="pepper")
+    sealed = _sealed_by_day(spark, sf)
     root = led.build_chain(led.chain_heads(sealed), salt="pepper")
     out = None
     for chain in (sealed, root):
@@ -508,6 +599,29 @@ def sealed_chain(spark, sf):
     return out
 
 
+_HEADS = duck("ledger_rows").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""", e AS (SELECT concat(tenant_id, '/', us // {_DAY_US}) AS chain_id, seq, concat('"', canonical, '"|') AS body,
+    row_number() OVER (PARTITION BY tenant_id, us // {_DAY_US} ORDER BY seq) AS i FROM ledger_rows),
+c AS (SELECT chain_id, i, sha256(concat('pepper:', body, 'GENESIS')) AS h FROM e WHERE i = 1
+  UNION ALL SELECT e.chain_id, e.i, sha256(concat('pepper:', e.body, c.h)) FROM c JOIN e ON e.chain_id = c.chain_id AND e.i = c.i + 1),
+heads AS (SELECT chain_id AS name, max(i) AS entries, arg_max(h, i) AS head, row_number() OVER (ORDER BY chain_id) - 1 AS idx FROM c GROUP BY 1)"""
+_LEVELS = 24
+_PROOFS = (
+    _HEADS
+    + ", t0 AS (SELECT idx AS i, sha256(concat(name, '|', entries, '|', head)) AS h FROM heads)"
+    + "".join(f", t{k + 1} AS (SELECT i // 2 AS i, CASE count(*) WHEN 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM t{k} GROUP BY 1)" for k in range(_LEVELS))
+    + ", sides AS ("
+    + " UNION ALL ".join(f"SELECT idx, {k} AS k, CASE (idx >> {k}) % 2 WHEN 1 THEN 'L:' ELSE 'R:' END || h AS side FROM heads JOIN t{k} ON i = xor(idx >> {k}, 1)" for k in range(_LEVELS))
+    + f") SELECT name, entries, head, coalesce(path, '') AS path, (SELECT h FROM t{_LEVELS}) AS root, TRUE AS proven FROM heads LEFT JOIN (SELECT idx, string_agg(side, ',' ORDER BY k) AS path FROM sides GROUP BY 1) USING (idx)"
+)
+
+
+@query("chain_head_proofs", _PROOFS)
+def chain_head_proofs(spark, sf):
+    """Every chain of the ledger with its path to the root of a hash tree over the last digests of all chains."""
+    proofs = led.head_proofs(_sealed_by_day(spark, sf))
+    return proofs.select("name", "entries", "head", F.array_join("path", ",").alias("path"), "root", (proven(F.col("leaf"), F.col("path")) == F.col("root")).alias("proven"))
+
+
 @query("evidence_report")
 def evidence_report(spark, sf):
     tables = led.evidence_tables(ledger(spark, sf, linked=True), _profiles(spark, sf).drop("labels"))
@@ -752,6 +866,19 @@ def upsert_licenses(spark, sf):
     return upsert_by_key(old, new, "license_key", "version").select("license_key", "seats_used")
 
 
+@query("upsert_licenses_buckets", ORACLES["upsert_licenses"])
+def upsert_licenses_buckets(spark, sf):
+    """The same as a table in buckets in the shared folder, of which an upsert rewrites those that it touches."""
+    old = view(spark, sf, "licenses").select("license_key", "seats_used", F.lit(1).cast("bigint").alias("version"))
+    new = load(spark, sf, "orders").select(
+        F.concat(F.lit("LIC-"), "o_custkey").alias("license_key"), F.col("o_orderkey").alias("seats_used"), (F.col("o_orderkey") + 2).alias("version")
+    )
+    base = f"{checkpoint_dir(spark)}/licenses-{uuid.uuid4().hex}"
+    buckets.create_buckets(old, base, "license_key", "version", 16)
+    buckets.upsert_buckets(new, base, "license_key", "version")
+    return buckets.read_buckets(spark, base).select("license_key", "seats_used")
+
+
 @query(
     "column_mask",
     """SELECT c_custkey, CASE WHEN c_name IS NOT NULL THEN '[REDACTED]' END AS patient_id, c_mktsegment,
@@ -775,7 +902,7 @@ hits AS (SELECT h.seq, w.domain, w.name, w.vendor, coalesce(w.risk, 'MEDIUM') AS
   ON h.host = w.domain OR ends_with(h.host, '.' || w.domain) QUALIFY row_number() OVER (PARTITION BY h.seq ORDER BY length(w.domain) DESC) = 1)"""
 
 
-def _detections(spark, sf):
+def _detections(spark, sf, detect=shadow.detect_shadow_ai):
     log = view(spark, sf, "dns_log").select("seq", shadow.host_of(F.col("url")).alias("host"))
     log.createOrReplaceTempView("shadow_hosts")
     # The watch list is made from the hosts of the log: about every second one, by a digest.
@@ -785,7 +912,7 @@ def _detections(spark, sf):
 FROM (SELECT DISTINCT host, CAST(conv(substring(sha2(host, 256), 1, 6), 16, 10) AS BIGINT) AS rk FROM shadow_hosts) WHERE rk % 2 = 1
 UNION ALL SELECT 'example.org', 'Example suite', 'Example', 'LOW'"""
     )
-    return shadow.detect_shadow_ai(log, watch, "seq")
+    return detect(log, watch, "seq")
 
 
 @query("shadow_usage", duck("dns_log", ctes=_WATCH) + "SELECT seq, domain, name AS tool_name, vendor, risk FROM hits")
@@ -793,6 +920,12 @@ def shadow_usage(spark, sf):
     return _detections(spark, sf).select("seq", "domain", "tool_name", "vendor", "risk")
 
 
+@query("shadow_usage_large", duck("dns_log", ctes=_WATCH) + "SELECT seq, domain, name AS tool_name, vendor, risk FROM hits")
+def shadow_usage_large(spark, sf):
+    """The same as for a list too large to broadcast: hosts and domains sorted together by reversed name."""
+    return _detections(spark, sf, shadow.detect_in_large_list).select("seq", "domain", "tool_name", "vendor", "risk")
+
+
 @query(
     "shadow_recent",
     duck("dns_log", ctes=_WATCH) + "SELECT seq, domain FROM hits WHERE risk = 'HIGH' ORDER BY seq DESC LIMIT 100",

@@ -12,7 +12,7 @@ from ..functions.hashing import sha256
 from ..functions.patterns import ALL_PATTERNS, INDIA_PATTERNS, REQUIRED_LABELS, SECRET_PATTERNS, US_PATTERNS
 from ..functions.presets import bundled_rules
 from ..functions.tokens import tokenize
-from ..operators import adversarial, detect, documents as docs_ops, ledger as ledger_ops, mask, policy, risk, semantic
+from ..operators import adversarial, detect, documents as docs_ops, ledger as ledger_ops, mask, nearest, policy, risk, semantic
 from ..session import cut
 from . import gateway
 from . import oracle_text as o
@@ -24,6 +24,8 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def register(fn):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = fn
         if oracle is not None:
             ORACLES[name] = oracle
@@ -162,58 +164,6 @@ def ssn_snippets(spark, sf):
     return rows.select("prompt_id", "entity", F.col("start").cast("bigint").alias("start_at"), "snippet")
 
 
-def _spans_oracle(patterns) -> str:
-    return (
-        duck("prompts", ctes=o.long_cte("prompts", "prompt_id", patterns=patterns))
-        + "SELECT prompt_id, type, label, entity, count(*) AS n, TRUE AS offsets_ok FROM hits GROUP BY ALL"
-    )
-
-
-def _spans(spark, sf, patterns):
-    found = detect.scan(view(spark, sf, "prompts").select("prompt_id", "text"), patterns=patterns)
-    checked = found.withColumn(
-        "findings",
-        F.transform(
-            "findings",
-            lambda f: F.struct(
-                f["type"].alias("type"),
-                f["label"].alias("label"),
-                f["entity"].alias("entity"),
-                (F.substring("text", f["start"] + 1, f["end"] - f["start"]) == f["entity"]).alias("ok"),
-            ),
-        ),
-    )
-    rows = detect.findings_long(checked, "prompt_id")
-    return rows.groupBy("prompt_id", "type", "label", "entity").agg(
-        F.count("*").alias("n"), F.bool_and("ok").alias("offsets_ok")
-    )
-
-
-@query("secret_spans", _spans_oracle(SECRET_PATTERNS))
-def secret_spans(spark, sf):
-    return _spans(spark, sf, SECRET_PATTERNS)
-
-
-@query("pii_spans", _spans_oracle(INDIA_PATTERNS))
-def pii_spans(spark, sf):
-    return _spans(spark, sf, INDIA_PATTERNS)
-
-
-@query(
-    "ssn_snippets",
-    duck("prompts")
-    + r"""SELECT prompt_id, e AS entity, CAST(s AS BIGINT) AS start_at,
-  substring(text, greatest(s - 30, 0) + 1, least(s + length(e) + 30, length(text)) - greatest(s - 30, 0)) AS snippet
-FROM (SELECT prompt_id, text, e, strpos(text, e) - 1 AS s
-  FROM (SELECT *, regexp_extract(text, '\b\d{3}-\d{2}-\d{4}\b') AS e FROM prompts) WHERE e <> '')""",
-)
-def ssn_snippets(spark, sf):
-    pats = tuple(p for p in SECRET_PATTERNS if "SSN" in p.label)
-    found = detect.scan(view(spark, sf, "prompts").select("prompt_id", "text"), patterns=pats, snippets=True)
-    rows = detect.findings_long(found, "prompt_id").where("ord = 0")
-    return rows.select("prompt_id", "entity", F.col("start").cast("bigint").alias("start_at"), "snippet")
-
-
 @query(
     "findings_union",
     duck("prompts", ctes=o.counts_cte("prompts", "prompt_id"))
@@ -759,6 +709,13 @@ def embedding_topk_blocks(spark, sf):
     return _ranked(docs_ops.topk_in_blocks(centres, e, 4, "query_id", "vec_id", "embedding", "embedding", 2, 4))
 
 
+@query("embedding_topk_cells", _TOPK)
+def embedding_topk_cells(spark, sf):
+    """The same through cells around centres, of which only those are visited that can hold one of the nearest."""
+    e, centres = _label_centres(spark, sf)
+    return _ranked(nearest.nearest(centres, e, 4, "query_id", "vec_id", "embedding", "embedding"))
+
+
 @query("rag_context")
 def rag_context(spark, sf):
     """Redacted context of each conversation turn from the benchmark passages."""

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.budget import COST, MAX_COST, MAX_REQUESTS, OK, RATE, WINDOW_US, request_cost
+from ..operators.budget import MAX_COST, MAX_REQUESTS, WINDOW_US, request_cost
 from ..operators.risk import (
     HOUR_US,
     PII_LIMIT,
@@ -21,6 +20,7 @@ from ..operators.risk import (
     risk_score,
     severity_units,
 )
+from .state import Budget, TrailingHour
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -44,46 +44,13 @@ def stream_documents(spark: SparkSession, folder: str, glob: str = "*", max_file
     return files.where(~F.endswith("file", F.lit(".tmp")) & ~F.startswith("file", F.lit(".")) & (F.trim("text") != ""))
 
 
-class _TrailingHour(StatefulProcessor):
-    """Events of one actor within the last hour, kept as parallel lists."""
-
-    def __init__(self, window_us: int):
-        self.window_us = window_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getValueState(
-            "recent", "us array<bigint>, sev array<bigint>, pii array<bigint>, inj array<bigint>, sem array<bigint>"
-        )
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = ["us", "sev", "pii", "inj", "sem"]
-        new = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"], kind="stable").reset_index(drop=True)
-        if self.recent.exists():
-            old = pd.DataFrame(dict(zip(names, map(list, self.recent.get()))))
-        else:
-            old = pd.DataFrame({n: [] for n in names})
-        both = pd.concat([old[names], new[names]], ignore_index=True).sort_values("us", kind="stable")
-        us = both["us"].to_numpy(dtype="int64")
-        lo = us.searchsorted(new["us"].to_numpy() - self.window_us, side="left")
-        hi = us.searchsorted(new["us"].to_numpy(), side="right")
-        out = {"actor_hash": key[0], "event_id": new["event_id"], "us": new["us"]}
-        for n in names[1:]:
-            running = np.concatenate([[0], np.cumsum(both[n].to_numpy(dtype="int64"))])
-            out[n] = running[hi] - running[lo]
-        kept = both[both["us"] >= us.max() - self.window_us]
-        self.recent.update(tuple([int(v) for v in kept[n]] for n in names))
-        yield pd.DataFrame(out)
-
-    def close(self) -> None:
-        pass
-
-
 def stream_risk(events: DataFrame, watermark: str = "10 minutes", window_us: int = HOUR_US) -> DataFrame:
     """Profile of the actor at each event of a stream, from state of the last hour.
 
     Columns in: ``event_id, actor_hash, ts, severity`` and the three flags.
-    A batch is sorted per actor before it is added. A row that arrives after
-    newer ones is scored against what the state still holds of its hour.
+    A batch is sorted per actor before it is added. A row within the watermark
+    is scored against its whole hour, whatever came before it; later ones are
+    dropped. The state of an actor ends with the hour after its last event.
     """
     num = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("bigint")
     slim = events.withWatermark("ts", watermark).select(
@@ -98,7 +65,7 @@ def stream_risk(events: DataFrame, watermark: str = "10 minutes", window_us: int
     )
     schema = "actor_hash string, event_id bigint, us bigint, sev bigint, pii bigint, inj bigint, sem bigint"
     state = slim.groupBy("actor_hash").transformWithStateInPandas(
-        statefulProcessor=_TrailingHour(window_us), outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=TrailingHour(window_us, int(pd.Timedelta(watermark).value // 1000)), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
     exact = F.col("sev").cast("decimal(28,8)") / F.lit(SEVERITY_UNITS)
     return state.select(
@@ -114,46 +81,20 @@ def stream_risk(events: DataFrame, watermark: str = "10 minutes", window_us: int
     )
 
 
-class _Budget(StatefulProcessor):
-    """Window start, accepted requests and spent cost of one actor."""
-
-    def __init__(self, max_requests: int, window_us: int, max_cost: float):
-        self.max_requests, self.window_us, self.max_cost = max_requests, window_us, max_cost
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("budget", "start bigint, used bigint, spent double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True).sort_values(["us", "request_id"], kind="stable")
-        start, used, spent = self.state.get() if self.state.exists() else (None, 0, 0.0)
-        out = []
-        for us, cost in zip(new["us"], new["cost"]):
-            if start is None or us - start > self.window_us:
-                start, used, spent = int(us), 0, 0.0
-            if used + 1 > self.max_requests:
-                out.append(RATE)
-            elif spent + cost > self.max_cost:
-                out.append(COST)
-            else:
-                used, spent = used + 1, spent + float(cost)
-                out.append(OK)
-        self.state.update((start, int(used), float(spent)))
-        yield pd.DataFrame({"actor": key[0], "request_id": new["request_id"].to_numpy(), "us": new["us"].to_numpy(), "decision": out})
-
-    def close(self) -> None:
-        pass
-
-
 def stream_budget(
-    requests: DataFrame, max_requests: int = MAX_REQUESTS, window_us: int = WINDOW_US, max_cost: float = MAX_COST
+    requests: DataFrame, max_requests: int = MAX_REQUESTS, window_us: int = WINDOW_US, max_cost: float = MAX_COST, watermark: str = "10 minutes"
 ) -> DataFrame:
-    """Budget decisions on a stream of ``request_id, actor STRING, ts, tokens``."""
-    slim = requests.select("actor", "request_id", F.unix_micros("ts").alias("us"), request_cost(F.col("tokens")).alias("cost"))
+    """Budget decisions on a stream of ``request_id, actor STRING, ts, tokens``.
+
+    The state of an actor ends with its window; requests later than the
+    watermark are dropped.
+    """
+    slim = requests.withWatermark("ts", watermark).select("actor", "request_id", "ts", F.unix_micros("ts").alias("us"), request_cost(F.col("tokens")).alias("cost"))
     return slim.groupBy("actor").transformWithStateInPandas(
-        statefulProcessor=_Budget(max_requests, window_us, max_cost),
+        statefulProcessor=Budget(max_requests, window_us, max_cost),
         outputStructType="actor string, request_id bigint, us bigint, decision string",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
