@@ -20,10 +20,6 @@ def hash_text(col: Column) -> Column:
     return F.when(F.length(col) > 0, sha256(col))
 
 
-def hash_bytes(col: Column) -> Column:
-    return F.sha2(col.cast("binary"), 256)
-
-
 def actor_hash(actor: Column, tenant: Column, salt: str, api_key: Column | None = None) -> Column:
     """Risk identity: a key overrides the actor, nothing at all is UNKNOWN."""
     ident = F.when(F.coalesce(actor, F.lit("")) == "", F.lit("UNKNOWN")).otherwise(actor)

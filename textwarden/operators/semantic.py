@@ -111,7 +111,3 @@ def hash_embed(df: DataFrame, text: str = "text", out: str = "embedding", dims:
 def embed_chunks(df: DataFrame, text: str = "chunk", out: str = "embedding", model=None, dims: int = 384) -> DataFrame:
     """Vector per chunk: the hash embedding, or any text-to-vector UDF given."""
     return df.withColumn(out, model(F.col(text))) if model is not None else hash_embed(df, text, out, dims)
-
-
-def concept_vectors(concepts: dict[str, tuple[str, ...]] = CONCEPTS) -> np.ndarray:
-    return embed_texts([c for cs in concepts.values() for c in cs])

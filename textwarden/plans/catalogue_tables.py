@@ -49,6 +49,10 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+#: Mean risk in hundredths, a half rounded up, from whole numbers.
+_MEAN = "(2 * sum(CAST(round(risk_score * 100) AS BIGINT)) + count(risk_score)) // (2 * count(risk_score)) / CAST(100 AS DOUBLE)"
+
+
 def us(ts: str) -> str:
     return f"epoch_us(TIMESTAMP '{ts}')"
 
@@ -416,10 +420,13 @@ def high_sensitivity(spark, sf):
     "audit_export",
     _LEDGER
     + """SELECT tenant_id, user_id, user_role, department, action, '[' || array_to_string(list_transform([{labels}][1:n_redactions], lambda x: '"' || x || '"'), ', ') || ']' AS redactions_applied,
-  policy_triggered, model_queried, risk_score, entry_hash FROM ledger""".format(labels=", ".join(f"'{x}'" for x in REDACTION_LABELS)),
+  policy_triggered, model_queried, risk_score, entry_hash, CAST(us AS VARCHAR) AS "timestamp", concat('doc-', seq % 50) AS document, sha256(canonical) AS prompt_hash FROM ledger""".format(labels=", ".join(f"'{x}'" for x in REDACTION_LABELS)),
 )
 def audit_export(spark, sf):
-    return export_rows(ledger(spark, sf)).drop("timestamp", "document", "prompt_hash")
+    rows = ledger(spark, sf).withColumns(
+        {"timestamp": F.col("us").cast("string"), "document": F.concat(F.lit("doc-"), (F.col("seq") % 50).cast("string")), "prompt_hash": F.sha2("canonical", 256)}
+    )
+    return export_rows(rows)
 
 
 @query(
@@ -497,15 +504,15 @@ def session_list(spark, sf):
     "scheduled_evidence",
     _LEDGER
     + f""", schedules AS (SELECT DISTINCT tenant_id, tenant_id <> 't2' AS enabled FROM ledger)
-SELECT tenant_id, count(*) AS total_events, {_N_RED}, CAST(sum(CASE WHEN risk_score > 7 THEN 1 ELSE 0 END) AS BIGINT) AS high_risk_events
-FROM ledger JOIN schedules USING (tenant_id) WHERE enabled GROUP BY 1""",
+SELECT tenant_id, concat('org ', tenant_id) AS org_name, count(*) AS total_events, coalesce({_MEAN}, 0) AS avg_risk_score, {_N_RED},
+  CAST(sum(CASE WHEN risk_score > 7 THEN 1 ELSE 0 END) AS BIGINT) AS high_risk_events FROM ledger JOIN schedules USING (tenant_id) WHERE enabled GROUP BY 1""",
 )
 def scheduled_evidence(spark, sf):
     rows = ledger(spark, sf)
     plan = rows.select("tenant_id").distinct().select(
         "tenant_id", (F.col("tenant_id") != "t2").alias("enabled"), F.concat(F.lit("org "), "tenant_id").alias("org_name")
     )
-    return led.scheduled_evidence(plan, rows).drop("avg_risk_score", "org_name")
+    return led.scheduled_evidence(plan, rows)
 
 
 _TENANT_TREE = [f"l0 AS (SELECT tenant_id, seq AS k, entry_hash AS h FROM ledger)"] + [
@@ -700,7 +707,7 @@ def principal_requests(spark, sf):
     return r.select("record_id", "principal_id_hash", "request_type", "status", _micros("sla_deadline"), "overdue")
 
 
-_INCIDENTS = duck("records") + ", inc AS (SELECT *, CASE WHEN is_test THEN 'TEST_MODE' ELSE 'PENDING_SUBMISSION' END AS status FROM records WHERE category = 'SENSITIVE')\n"
+_INCIDENTS = duck("records") + ", inc AS (SELECT *, CASE WHEN is_test THEN 'TEST_MODE' ELSE 'PENDING_SUBMISSION' END AS status FROM records)\n"
 
 
 @query(
@@ -708,7 +715,7 @@ _INCIDENTS = duck("records") + ", inc AS (SELECT *, CASE WHEN is_test THEN 'TEST
     _INCIDENTS + "SELECT record_id, status, us + 72 * 3600000000 AS notification_due_by_us, upper(substring(sha256(concat(us, description)), 1, 12)) AS report_id FROM inc",
 )
 def incident_reports(spark, sf):
-    r = comp.incident_reports(view(spark, sf, "records").where("category = 'SENSITIVE'"))
+    r = comp.incident_reports(view(spark, sf, "records"))
     return r.select("record_id", "status", _micros("notification_due_by"), "report_id")
 
 
@@ -720,7 +727,7 @@ def incident_reports(spark, sf):
 FROM (SELECT org, CAST(sum(CASE WHEN contains(status, 'PENDING') THEN 1 ELSE 0 END) AS BIGINT) AS n, count(*) AS t FROM inc GROUP BY 1)""",
 )
 def incident_score(spark, sf):
-    r = comp.incident_reports(view(spark, sf, "records").where("category = 'SENSITIVE'"))
+    r = comp.incident_reports(view(spark, sf, "records"))
     return comp.dpdp_score(r, "org")
 
 
@@ -778,8 +785,7 @@ def consents_for(spark, sf):
 _INTEGRITY = "tenant_id <> 't2'"
 
 
-@query(
-    "compliance_scorecard",
+_SCORECARD = (
     _LEDGER
     + f""", s AS (SELECT tenant_id, count(*) AS total_events, sum(n_redactions) AS total_redactions, sum(CASE WHEN risk_score > 7 THEN 1 ELSE 0 END) AS high_risk_events,
   {_INTEGRITY} AS chain_integrity, count(DISTINCT user_id) % 5 AS open_incidents, count(DISTINCT department) * 15 AS mfa, {len(bundled_rules())} AS policies FROM ledger GROUP BY tenant_id),
@@ -790,9 +796,11 @@ f AS (SELECT *, greatest(0, 100 - CASE WHEN chain_integrity THEN 0 ELSE 40 END -
 c AS (SELECT *, CAST(round_even((hipaa * 35 + gdpr_lite * 35 + iso_27001_lite * 20 + dpdp_2026 * 10) / 100.0, 0) AS BIGINT) AS composite_score FROM f)
 SELECT tenant_id, CAST(hipaa AS BIGINT) AS hipaa, CAST(dpdp_2026 AS BIGINT) AS dpdp_2026, CAST(gdpr_lite AS BIGINT) AS gdpr_lite, CAST(iso_27001_lite AS BIGINT) AS iso_27001_lite, composite_score,
   CASE WHEN composite_score >= 90 THEN 'A' WHEN composite_score >= 75 THEN 'B' WHEN composite_score >= 60 THEN 'C' WHEN composite_score >= 40 THEN 'D' ELSE 'F' END AS grade,
-  open_incidents = 0 AND chain_integrity AS zero_incident_badge FROM c""",
+  open_incidents = 0 AND chain_integrity AS zero_incident_badge FROM c"""
 )
-def compliance_scorecard(spark, sf):
+
+
+def _scorecard(spark, sf, is_global):
     rows = ledger(spark, sf)
     stats = led.audit_summary(rows, "tenant_id").join(
         rows.groupBy("tenant_id").agg(
@@ -807,7 +815,7 @@ def compliance_scorecard(spark, sf):
             "active_policies": F.lit(len(bundled_rules())),
         }
     )
-    c = comp.compliance_scorecard(stats, is_global=True)
+    c = comp.compliance_scorecard(stats, is_global=is_global)
     return c.select("tenant_id", "hipaa", "dpdp_2026", "gdpr_lite", "iso_27001_lite", "composite_score", "grade", "zero_incident_badge")
 
 
@@ -818,6 +826,17 @@ early AS (SELECT *, CASE WHEN NOT found THEN 'KEY_NOT_FOUND' WHEN NOT is_active
 """
 
 
+@query("compliance_scorecard", _SCORECARD)
+def compliance_scorecard(spark, sf):
+    return _scorecard(spark, sf, True)
+
+
+@query("compliance_scorecard_mean", _SCORECARD.replace("(hipaa * 35 + gdpr_lite * 35 + iso_27001_lite * 20 + dpdp_2026 * 10) / 100.0", "(hipaa + gdpr_lite + iso_27001_lite + dpdp_2026) / 4.0"))
+def compliance_scorecard_mean(spark, sf):
+    """The same with every framework counted alike."""
+    return _scorecard(spark, sf, False)
+
+
 @query(
     "license_status",
     _LIC + "SELECT seq, coalesce(e, CASE WHEN hardware_id IS NOT NULL AND hw IS NOT NULL AND hw <> hardware_id THEN 'HARDWARE_MISMATCH' ELSE 'VALID' END) AS reason FROM early",
@@ -970,20 +989,20 @@ _BLOCKING = ", ".join(f"'{e}'" for e in metrics.BLOCKING_EVENTS)
 @query(
     "hourly_series",
     duck("usage_events")
-    + f"""SELECT us // 3600000000 * 3600000000 AS hour_us, CAST(sum(CASE WHEN event IN ({_BLOCKING}) THEN 1 ELSE 0 END) AS BIGINT) AS blocked, CAST(sum(pii_count) AS BIGINT) AS pii
-FROM usage_events GROUP BY 1 ORDER BY 1 DESC LIMIT 12""",
+    + f"""SELECT us // 3600000000 * 3600000000 AS hour_us, CAST(sum(CASE WHEN event IN ({_BLOCKING}) THEN 1 ELSE 0 END) AS BIGINT) AS blocked, CAST(sum(pii_count) AS BIGINT) AS pii,
+  {_MEAN} AS risk FROM usage_events GROUP BY 1 ORDER BY 1 DESC LIMIT 12""",
 )
 def hourly_series(spark, sf):
-    return metrics.hourly_series(view(spark, sf, "usage_events")).select(_micros("hour"), "blocked", "pii")
+    return metrics.hourly_series(view(spark, sf, "usage_events")).select(_micros("hour"), "blocked", "pii", "risk")
 
 
 @query(
     "detection_counts",
-    duck("usage_events", ctes="dim(type, action) AS (VALUES " + ", ".join(f"('{t}', '{a}')" for t, a, _ in metrics.DETECTIONS) + ")")
-    + "SELECT type, action, coalesce(n, 0) AS count FROM dim LEFT JOIN (SELECT detection_type AS type, count(*) AS n FROM usage_events GROUP BY 1) USING (type)",
+    duck("usage_events", ctes="dim(type, action, sample_token) AS (VALUES " + ", ".join(f"('{t}', '{a}', '{x}')" for t, a, x in metrics.DETECTIONS) + ")")
+    + "SELECT type, action, sample_token, coalesce(n, 0) AS count FROM dim LEFT JOIN (SELECT detection_type AS type, count(*) AS n FROM usage_events GROUP BY 1) USING (type)",
 )
 def detection_counts(spark, sf):
-    return metrics.detection_counts(view(spark, sf, "usage_events")).drop("sample_token")
+    return metrics.detection_counts(view(spark, sf, "usage_events"))
 
 
 @query(

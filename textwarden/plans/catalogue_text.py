@@ -13,7 +13,7 @@ from ..functions.patterns import ALL_PATTERNS, INDIA_PATTERNS, REQUIRED_LABELS,
 from ..functions.presets import bundled_rules
 from ..functions.tokens import tokenize
 from ..operators import adversarial, detect, documents as docs_ops, ledger as ledger_ops, mask, nearest, policy, risk, semantic
-from ..session import cut
+from ..session import cut, spread
 from . import gateway
 from . import oracle_text as o
 from .bindings import documents, duck, load, view
@@ -756,10 +756,11 @@ def _roi(spark, sf):
     + ", "
     + _ROI
     + """ SELECT count(*) AS documents, CAST(sum(CASE WHEN risk > 7 THEN 1 ELSE 0 END) AS BIGINT) AS leaks_blocked, CAST(sum(words) AS BIGINT) AS words,
-  CAST(round(sum(CAST(hours AS DECIMAL(28,8))), 2) AS DOUBLE) AS hours_saved FROM roi""",
+  CAST(round(sum(CAST(hours AS DECIMAL(28,8))), 2) AS DOUBLE) AS hours_saved,
+  CAST(round(sum(CAST(round(hours * 250, 2) + CASE WHEN risk > 7 THEN 1500 ELSE 0 END AS DECIMAL(28,8))), 2) AS DOUBLE) AS money_saved FROM roi""",
 )
 def roi_stats(spark, sf):
-    return docs_ops.roi_totals(_roi(spark, sf)).drop("money_saved")
+    return docs_ops.roi_totals(_roi(spark, sf))
 
 
 @query(
@@ -807,6 +808,6 @@ def inbound_records(spark, sf):
     from ..sources.readers import read_inbound_json, scan_inbound
 
     note = F.concat(F.lit("SSN 321-54-"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"))
-    c = load(spark, sf, "customer").select("c_custkey", "c_name").withColumn("note", note)
+    c = spread(load(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey").withColumn("note", note)
     s = scan_inbound(read_inbound_json(c, "c_custkey", "c_name", "note"))
     return s.select("c_custkey", sha256(F.col("clean_text")).alias("clean_sha"), "risk_score")

@@ -82,5 +82,3 @@ WEBHOOK_DELIVERY = (
     "hook_id string, target_url string, body string, headers map<string,string>, reason string, attempts int, "
     "queued_at string"
 )
-EVIDENCE_SCHEDULE = "enabled boolean, frequency string, org_name string, tenant_id string, retention_days int"
-POLICY_VERSION = "bundle_name string, approval_state string, expires_at string, created_at string, created_by string"

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -146,13 +144,3 @@ def file_manifest(spark: SparkSession, folder: str, limit: int = 100, glob: str
         F.sha2("content", 256).alias("certificate"),
     )
     return names.orderBy(F.col("name").desc()).limit(limit)
-
-
-def read_schedules(spark: SparkSession, path: str) -> DataFrame:
-    from ..schemas import EVIDENCE_SCHEDULE
-
-    return spark.read.schema(EVIDENCE_SCHEDULE).option("multiLine", True).json(path)
-
-
-def newest_names(df: DataFrame, columns: Sequence[str], name: str = "name", limit: int = 100) -> DataFrame:
-    return df.select(name, *columns).orderBy(F.col(name).desc()).limit(limit)
