@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import JAVA_FLAGS, PROMPT_INJECTION, SCORE_CAP, word_classes
 from ..schemas import FINDINGS
-from .detect import any_literal, folded, quoted
+from .detect import any_literal, either, folded, plain_text, quoted
 
 # Labels, scores and patterns. Each pattern comes with literals
 # of which one must occur for it to match. The pattern of trailing short words
@@ -166,7 +166,7 @@ def _evidence_sql(text: str, pattern: str, literals: Sequence[str]) -> str:
     """First match of a pattern, NULL if there is none."""
     if pattern.startswith("TAIL:"):
         return _tail_sql(text, pattern.split(":")[1])
-    found = f"nullif(regexp_extract({text}, {quoted(JAVA_FLAGS + word_classes(pattern))}, 0), '')"
+    found = f"nullif(regexp_extract({text}, {either(JAVA_FLAGS + pattern, JAVA_FLAGS + word_classes(pattern), '__aplain')}, 0), '')"
     if pattern in _NEEDED_AT_END:
         last, needed = _NEEDED_AT_END[pattern]
         return f"CASE WHEN right({text}, {last}) RLIKE {quoted(JAVA_FLAGS + word_classes(needed))} THEN {found} END"
@@ -178,7 +178,7 @@ def _label_evidence(text: str, patterns) -> str:
 
 
 def _with_fold(df: DataFrame, text: str) -> DataFrame:
-    return df if "__afold" in df.columns else df.selectExpr("*", f"{folded(text)} AS __afold")
+    return df if "__afold" in df.columns else df.selectExpr("*", f"{folded(text)} AS __afold", f"{plain_text(text)} AS __aplain")
 
 
 def scan_injection(df: DataFrame, text: str = "text", out: str = "injection_findings") -> DataFrame:
@@ -206,7 +206,7 @@ def scan_injection(df: DataFrame, text: str = "text", out: str = "injection_find
         for k, (label, score, _) in enumerate(INJECTION_RULES)
     ]
     found = F.filter(F.array(*items), lambda f: f.isNotNull()).cast(FINDINGS)
-    return staged.withColumn(out, found).drop("__afold", *[f"__i{k}" for k in range(len(INJECTION_RULES))])
+    return staged.withColumn(out, found).drop("__afold", "__aplain", *[f"__i{k}" for k in range(len(INJECTION_RULES))])
 
 
 def injection_risk(findings: Column | str = "injection_findings") -> Column:
@@ -269,7 +269,7 @@ def guardian_scan(
         evidence.alias("evidence"),
         F.lit("deterministic+local-judge" if judge else "deterministic-local").alias("judge_mode"),
     )
-    return staged.withColumn(out, verdict).drop("__afold", *[c for c, _, _ in parts])
+    return staged.withColumn(out, verdict).drop("__afold", "__aplain", *[c for c, _, _ in parts])
 
 
 # What an access log row is checked for.

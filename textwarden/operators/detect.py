@@ -19,6 +19,7 @@ from ..functions.patterns import (
     CLASSIFICATION_PATTERNS,
     INDIA_PATTERNS,
     JAVA_FLAGS,
+    NOT_PLAIN,
     PII,
     REQUIRED_LABELS,
     SECRET_PATTERNS,
@@ -56,11 +57,22 @@ def with_probes(df: DataFrame, text: str) -> DataFrame:
         f"{folded(text)} AS __fold",
         f"{text} RLIKE {quoted('(?U)' + chr(92) + 'd')} AS __any",
         f"{text} RLIKE {quoted('(?U)' + chr(92) + 'd{4}')} AS __four",
+        f"{plain_text(text)} AS __plain",
     )
 
 
 def without_probes(df: DataFrame) -> DataFrame:
-    return df.drop("__fold", "__any", "__four")
+    return df.drop("__fold", "__any", "__four", "__plain")
+
+
+def plain_text(text: str) -> str:
+    """SQL: a text of plain letters, for which the cheaper form of a pattern will do."""
+    return f"NOT {text} RLIKE {quoted(NOT_PLAIN)}"
+
+
+def either(plain: str, spelt: str, flag: str = "__plain") -> str:
+    """SQL: the form of a pattern that suits the row."""
+    return quoted(spelt) if plain == spelt else f"IF({flag}, {quoted(plain)}, {quoted(spelt)})"
 
 
 def possible(p: Pattern, text: str) -> str | None:
@@ -74,7 +86,7 @@ def possible(p: Pattern, text: str) -> str | None:
 
 
 def _matches(p: Pattern, text: str) -> str:
-    found = f"regexp_extract_all({text}, {quoted(p.java)}, 0)"
+    found = f"regexp_extract_all({text}, {either(p.java_plain, p.java)}, 0)"
     cond = possible(p, text)
     return found if cond is None else f"CASE WHEN {cond} THEN {found} ELSE array() END"
 
@@ -100,10 +112,10 @@ def scan(
     """All matches of all patterns, in pattern order and then by position."""
     t = F.col(text)
     found_sql = ", ".join(_matches(p, text) for p in patterns)
-    staged = without_probes(with_probes(df, text).selectExpr("*", f"array({found_sql}) AS __m"))
+    staged = with_probes(df, text).selectExpr("*", f"array({found_sql}) AS __m")
     # Lengths of the gaps before each match; only worked out where there is a match.
     gaps_sql = ", ".join(
-        f"CASE WHEN size(__m[{i}]) > 0 THEN transform(split({text}, {quoted(p.java)}, -1), g -> length(g)) END"
+        f"CASE WHEN size(__m[{i}]) > 0 THEN transform(split({text}, {either(p.java_plain, p.java)}, -1), g -> length(g)) END"
         for i, p in enumerate(patterns)
     )
     meta_sql = ", ".join(
@@ -137,7 +149,7 @@ def scan(
             ),
         )
 
-    staged = staged.withColumn("__s", F.flatten(F.transform(hits, spans))).drop("__m")
+    staged = without_probes(staged.withColumn("__s", F.flatten(F.transform(hits, spans))).drop("__m"))
     if snippets:
         staged = staged.withColumn("__b", text_blocks(t))
 

@@ -25,7 +25,7 @@ from ..functions.patterns import (
     Pattern,
     sensitivity_weight,
 )
-from .detect import dedupe_findings, order_findings, possible, quoted, scan, union_findings, with_probes
+from .detect import dedupe_findings, either, order_findings, possible, quoted, scan, union_findings, with_probes
 
 # The route threshold and the names that each surface uses.
 AIRGAP_THRESHOLD = 7.0
@@ -240,7 +240,8 @@ def redact_india(df: DataFrame, text: str = "text", out: str = "redacted", patte
     staged, col = with_probes(df, text), text
     kept = list(staged.columns)
     for i, p in enumerate(patterns):
-        replaced = f"regexp_replace({col}, {quoted(p.java)}, {quoted(p.redaction_tag)})"
+        # Tags are plain letters: what is plain stays so.
+        replaced = f"regexp_replace({col}, {either(p.java_plain, p.java)}, {quoted(p.redaction_tag)})"
         tag_could_pass = p.probes and not p.folded and any(x in tag for x in p.probes for tag in _TAGS)
         cond = None if tag_could_pass else possible(p, text)
         step = replaced if cond is None else f"CASE WHEN {cond} THEN {replaced} ELSE {col} END"
