@@ -253,15 +253,19 @@ def audit_entries(
     return df.orderBy(F.col(seq).desc()).limit(limit)
 
 
-def audit_summary(ledger: DataFrame, *by: str, tenant_id: str | None = None) -> DataFrame:
-    df = audit_entries(ledger, None, tenant_id=tenant_id)
+def summary_figures() -> list[Column]:
+    """The aggregates of an audit summary."""
     risk = F.col("risk_score").cast("decimal(28,8)")
-    return df.groupBy(*by).agg(
+    return [
         F.count("*").alias("total_events"),
         F.coalesce(F.round(F.avg(risk), 2).cast("double"), F.lit(0.0)).alias("avg_risk_score"),
         F.coalesce(F.sum(F.size(F.coalesce("redactions_applied", F.array().cast("array<string>")))), F.lit(0)).alias("total_redactions"),
         F.count_if(F.col("risk_score") > HIGH_RISK).alias("high_risk_events"),
-    )
+    ]
+
+
+def audit_summary(ledger: DataFrame, *by: str, tenant_id: str | None = None) -> DataFrame:
+    return audit_entries(ledger, None, tenant_id=tenant_id).groupBy(*by).agg(*summary_figures())
 
 
 def audit_actions(ledger: DataFrame, *by: str, tenant_id: str | None = None) -> DataFrame:

@@ -168,10 +168,14 @@ def quarantined_actors(heat: DataFrame) -> DataFrame:
     return heat.where("quarantined")
 
 
+def is_loud() -> Column:
+    """Whether a profile raises an alert."""
+    return F.col("quarantined") | (F.col("risk_score") >= ALERT_SCORE) | (F.col("injection_attempts_last_hour") > 0)
+
+
 def alerts(heat: DataFrame) -> DataFrame:
     q = F.col("quarantined")
-    loud = q | (F.col("risk_score") >= ALERT_SCORE) | (F.col("injection_attempts_last_hour") > 0)
-    return heat.where(loud).select(
+    return heat.where(is_loud()).select(
         F.col("actor_hash").alias("id"),
         F.when(q, "CRITICAL").otherwise("HIGH").alias("severity"),
         F.when(q, "AUTO_QUARANTINE").otherwise("RISK_SPIKE").alias("type"),
