@@ -136,6 +136,24 @@ def test_licenses_as_votes_of_all_words():
         assert licenses.scan(words, index, idf) == want
 
 
+def test_licenses_that_do_not_match_cost_nothing():
+    import time
+
+    words = licenses.words_of(" ".join(f"filler{i % 900} the license of this software" for i in range(2000)) + " licensed under cc by sa 4 0")
+    more = [(f"x{i}", " ".join(f"own{i}word{k} the license of this software" for k in range(200)), (f"own{i}word7 the license", f"own{i}word9 the")) for i in range(500)]
+
+    def seconds(templates):
+        index = licenses.build_index(templates)
+        anchors = licenses.anchored(index, {})
+        begun = time.perf_counter()
+        for _ in range(20):
+            assert licenses.scan(words, index, {}, anchors) == {"cc-by-sa": 1.0}
+        return time.perf_counter() - begun
+
+    few, many = (min(seconds(t) for _ in range(3)) for t in (licenses.TEMPLATES, (*licenses.TEMPLATES, *more)))
+    assert many < 2 * few + 0.02
+
+
 # -- token files
 
 
@@ -412,6 +430,13 @@ def test_url_links(spark):
         ("http://e.com/m", link("mailto:x@a.net"), False),
         ("http://e.com/f", link("#part"), False),
         ("http://e.com/c", link("http://a.net/dir/page?page=2&ref=x&copy=1"), False),
+        ("http://h.com/1", f'<link rel="shortlink CANONICAL" href="{blocked}">', True),
+        ("http://h.com/2", f"<link data-href='http://c.com/9' rel=canonical title=it's href='{blocked}'>", True),
+        ("http://h.com/3", f'<link title="a > b" rel="canonical" href="{blocked}">', True),
+        ("http://h.com/4", f'<!-- <link rel="canonical" href="{blocked}"> -->', False),
+        ("http://h.com/5", f'<script>x = \'<link rel="canonical" href="{blocked}">\'</script><!--' + link(blocked), False),
+        ("http://h.com/6", f'<link rel="canonical-x" href="{blocked}"><link rel="next" href="{blocked}"><a rel="canonical" href="{blocked}">', False),
+        ("http://h.com/7", f'<a title="<!-- no comment" x=1>' + link("http://c.com/7") + "-->" + link(blocked) + "<meta " + "x='y' " * 9000, True),
         (blocked, None, True),
     ]
     pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string")
@@ -436,7 +461,7 @@ def test_quality_counts(hard, nothing):
 
 
 def test_host_verdicts(spark):
-    noisy, fine = " ".join(f"w{i}## *" for i in range(80)), " ".join(f"w{i}" for i in range(80))
+    noisy, fine = " ".join(f"word{i}## *" for i in range(80)), " ".join(f"word{i}" for i in range(80))
     rows = [(i, noisy if i % 10 else fine, "bad") for i in range(100)] + [(100 + i, fine if i % 10 else noisy, "good") for i in range(100)]
     rows += [(200 + 3 * h + i, fine, f"h{h}") for h in range(20) for i in range(3)] + [(900, noisy, None), (901, fine, None)]
     got = {r["doc_id"]: r["kept"] for r in host_quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}

@@ -50,9 +50,11 @@ RULES = (Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # What an edge is read from: <link rel=canonical href=...> and <meta http-equiv=refresh content="0; url=...">.
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*["']?\s*([^"'\s>]+)"""
-_BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+# Quotes count behind "=" alone, so that ">" in a value ends no tag. Bounded, as a pattern recurses per repetition.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title)\b.*?(?:</\1\s*>|\z)"
+_TAG = r"""(?is)<(?:link|meta|base)\b(?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+')?+){0,400}+>"""
+_ATTRIBUTE = r"""(?s)[^\s=<>/"']+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)"""
+_VALUE = r"""(?s)^[^=]*=\s*(?:"([^"]*)"|'([^']*)'|(.*))$"""
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 _ENTITY = re.compile(r"&(?:#([0-9]+);?|#[xX]([0-9a-fA-F]+);?|([A-Za-z][A-Za-z0-9]*)(;|(?!=)))")
 
@@ -84,6 +86,35 @@ def plain_form(url: Column) -> Column:
     )
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of the first attribute of that name, NULL if there is none."""
+    named = lambda a: F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)) == name
+    first = F.get(F.filter(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0)), named), 0)
+    return F.concat(*[F.regexp_extract(first, _VALUE, k) for k in (1, 2, 3)])
+
+
+def _link(tag: Column) -> Column:
+    """Where a tag leads as a canonical link or a refresh, NULL if it is neither."""
+    word = lambda value: F.regexp_extract(value, r"^\s*([^\s\"'>]*)", 1)
+    canonical = F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
+    refresh = F.trim(F.lower(_attribute(tag, "http-equiv"))) == "refresh"
+    turn = F.regexp_extract(_attribute(tag, "content"), r"""(?is)url\s*=\s*["']?\s*([^"'\s>]+)""", 1)
+    return F.when(tag.rlike(r"(?i)^<link") & canonical, word(_attribute(tag, "href"))).when(tag.rlike(r"(?i)^<meta") & refresh, turn)
+
+
+def links_of(html: Column) -> tuple[Column, Column]:
+    """Targets of all canonical links and refreshes of a page, and the first base of its relative links.
+
+    Comments, scripts, styles and titles are no markup; ``rel`` is a list of
+    words; values may hold any character.
+    """
+    tags = F.regexp_extract_all(F.regexp_replace(html, _HIDDEN, " "), F.lit(_TAG), F.lit(0))
+    tags = F.when(html.rlike("(?i)canonical|refresh"), tags).otherwise(F.array().cast("array<string>"))
+    bases = F.transform(F.filter(tags, lambda t: t.rlike(r"(?i)^<base")), lambda t: F.regexp_extract(_attribute(t, "href"), r"^\s*([^\s\"'>]*)", 1))
+    found = F.filter(F.transform(tags, _link), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.array_distinct(found), F.coalesce(F.get(F.filter(bases, lambda x: F.coalesce(x, F.lit("")) != ""), 0), F.lit(""))
+
+
 def _character(m: re.Match) -> str:
     if m[3]:
         return html5.get(m[3] + m[4], m[0])
@@ -142,6 +173,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    hrefs, base = links_of(F.col("html"))
     facts = stored(
         slim.select(
             "page_id",
@@ -149,10 +181,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             path_of(url).alias("path"),
             plain_form(url).alias("self"),
             url.alias("url"),
-            F.array_distinct(
-                F.concat(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(1)))
-            ).alias("hrefs"),
-            F.regexp_extract("html", _BASE, 1).alias("base"),
+            hrefs.alias("hrefs"),
+            base.alias("base"),
         )
         .withColumn("linked", F.col("self").isNotNull() & (F.size("hrefs") > 0))
         .withColumn("url", F.when(F.col("linked"), F.col("url")))  # kept for the pages that have links only
