@@ -17,6 +17,7 @@ blocks; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import shared_path, stored, worker_memory
+from .common import shared_path, stored
 from .tokens import default_vocabulary, encode
 
 #: Ids of a block, and ids of a file.
@@ -83,12 +84,10 @@ def count_ids(rows: DataFrame) -> np.ndarray:
     return counts
 
 
+@functools.lru_cache(maxsize=1)
 def _model(freq: bytes) -> rans.Model:
-    made = worker_memory("models")
-    if freq not in made:
-        made.clear()
-        made[freq] = rans.Model(np.frombuffer(freq, "<i8"))
-    return made[freq]
+    """The tables of one model per worker, beside the memory of pieces and not in its place."""
+    return rans.Model(np.frombuffer(freq, "<i8"))
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
