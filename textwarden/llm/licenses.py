@@ -1,14 +1,16 @@
 """License scan with a positional index of rare words.
 
-Licence wordings (``TEMPLATES``) are indexed by word and place. How many
-documents hold each word of the index is counted over all documents. Each
-template is sought on its own: of every mandatory phrase the word with the
-highest inverse document frequency is looked up in the document, and the phrase
-verified around it. Starts of the template are kept on which every phrase
-stands at its place, give or take ``SLACK`` words, and at least two words of
-the template agree; what is found gets the template's label, and its score is
-the share of the template's words that stand in their order. That gives what
-votes of all words of the index would give (tested).
+Licence wordings (``TEMPLATES``, or any number by parameter) are indexed by
+word and place. How many documents hold each word of the index is counted over
+all documents; of every mandatory phrase the word with the highest inverse
+document frequency becomes its posting: (template, phrase, place). The words of
+a document that have postings are looked up; a template of which all of them
+are there has its phrases verified around them, and the starts that these give
+are intersected by relative position, give or take ``SLACK`` words. A start on
+which at least two words of the template agree gives the template's label; its
+score is the share of the template's words that stand in their order. That
+gives what votes of all words of the index would give (tested), and templates
+that share no rarest word with a document cost it nothing (tested).
 
 The base labels come from exact phrases and always stay.
 
@@ -50,6 +52,13 @@ TEMPLATES = (
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("cc-by", "licensed under cc by 4 0", ("cc by 4",)),
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
+    ("lgpl-3", "this library is licensed under the gnu lesser general public license version 3", ("gnu lesser general public license", "version 3")),
+    ("agpl-3", "this program is licensed under the gnu affero general public license version 3", ("gnu affero general public license", "version 3")),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify and or distribute this software", "with or without fee is hereby granted")),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
+    ("bsl-1", "distributed under the boost software license version 1 0", ("boost software license",)),
 )
 
 
@@ -111,35 +120,74 @@ def _in_order(words: list[bytes], start: int, template: Template) -> float:
     return met / len(template.words)
 
 
-def _starts(words: list[bytes], places: dict[bytes, list[int]], template: Template, idf: dict[bytes, float]) -> set[int]:
-    """Starts on which every mandatory phrase stands at its place, give or take ``SLACK`` words."""
-    if not template.phrases:
-        return {k - q for q, w in enumerate(template.words) for k in places.get(w, ())}
-    out: set[int] | None = None
-    for at, key in template.phrases:
-        rare = min(set(key), key=lambda w: (-idf.get(w, math.inf), w))
-        inside = key.index(rare)
-        found = [k - inside for k in places[rare] if k >= inside and words[k - inside : k - inside + len(key)] == key]
-        near = {k - at + d for k in found for d in range(-SLACK, SLACK + 1)}
-        out = near if out is None else out & near
-        if not out:
-            break
+@dataclass
+class Anchors:
+    """The positional index that texts are looked up in: for the rarest word of each mandatory phrase its
+    (template, phrase, place in the phrase); and for templates without phrases each word's (template, place)."""
+
+    postings: dict[bytes, list[tuple[int, int, int]]] = field(default_factory=dict)
+    free: dict[bytes, list[tuple[int, int]]] = field(default_factory=dict)
+
+
+def anchored(index: Index, idf: dict[bytes, float]) -> Anchors:
+    out = Anchors()
+    for t, template in enumerate(index.templates):
+        for p, (_, key) in enumerate(template.phrases):
+            rare = min(set(key), key=lambda w: (-idf.get(w, math.inf), w))
+            out.postings.setdefault(rare, []).append((t, p, key.index(rare)))
+        if not template.phrases:
+            for q, w in enumerate(template.words):
+                out.free.setdefault(w, []).append((t, q))
+    return out
+
+
+def _places(words: list[bytes], wanted: set[bytes]) -> dict[bytes, list[int]]:
+    out: dict[bytes, list[int]] = {w: [] for w in wanted}
+    if wanted:
+        for place, w in enumerate(words):
+            if w in wanted:
+                out[w].append(place)
+    return out
+
+
+def _starts(words: list[bytes], index: Index, anchors: Anchors) -> dict[int, set[int]]:
+    """Per template the starts on which every mandatory phrase stands at its place, give or take ``SLACK`` words.
+
+    Only templates are looked at of which all rarest words stand in the text;
+    the places that their postings give are intersected phrase by phrase.
+    """
+    distinct = set(words)
+    held: dict[int, list[tuple[bytes, int, int]]] = {}
+    for w in anchors.postings.keys() & distinct:
+        for t, p, inside in anchors.postings[w]:
+            held.setdefault(t, []).append((w, p, inside))
+    held = {t: found for t, found in held.items() if len(found) == len(index.templates[t].phrases)}
+    free = anchors.free.keys() & distinct
+    places = _places(words, {w for found in held.values() for w, _, _ in found} | free)
+    out: dict[int, set[int]] = {}
+    for t, found in held.items():
+        starts: set[int] | None = None
+        for w, p, inside in found:
+            at, key = index.templates[t].phrases[p]
+            sure = [k - inside for k in places[w] if k >= inside and words[k - inside : k - inside + len(key)] == key]
+            near = {k - at + d for k in sure for d in range(-SLACK, SLACK + 1)}
+            starts = near if starts is None else starts & near
+            if not starts:
+                break
+        if starts:
+            out[t] = starts
+    for w in free:
+        for t, q in anchors.free[w]:
+            out.setdefault(t, set()).update(k - q for k in places[w])
     return out
 
 
-def scan(words: list[bytes], index: Index, idf: dict[bytes, float]) -> dict[str, float]:
-    """Labels of the templates found, with their scores."""
-    held = index.postings.keys() & set(words)
-    possible = [t for t in index.templates if all(held.issuperset(key) for _, key in t.phrases)]
-    if not possible:
-        return {}
-    places: dict[bytes, list[int]] = {w: [] for t in possible for w in t.words}
-    for place, w in enumerate(words):
-        if w in places:
-            places[w].append(place)
+def scan(words: list[bytes], index: Index, idf: dict[bytes, float], anchors: Anchors | None = None) -> dict[str, float]:
+    """Labels of the templates found, with their scores; the cost does not grow with templates that share no rarest word."""
     out: dict[str, float] = {}
-    for template in possible:
-        for start in _starts(words, places, template, idf):
+    for t, starts in _starts(words, index, anchors or anchored(index, idf)).items():
+        template = index.templates[t]
+        for start in starts:
             agreed = {w for k, w in enumerate(template.words, start) if 0 <= k < len(words) and words[k] == w}
             if len(agreed) >= 2:
                 out[template.label] = max(out.get(template.label, 0.0), _in_order(words, start, template))
@@ -168,6 +216,7 @@ def scan_licenses(docs: DataFrame, index: Index | None = None) -> DataFrame:
     index = index or build_index()
     rows, df = document_frequencies(docs, index)
     idf = {w: math.log((1 + rows) / (1 + df.get(w, 0))) for w in index.postings}
+    anchors = anchored(index, idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +224,7 @@ def scan_licenses(docs: DataFrame, index: Index | None = None) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
                 base = base_places(words, index)
-                found = scan(words, index, idf)
+                found = scan(words, index, idf, anchors)
                 starts = [at for at, _ in base]
                 base_labels = {label for _, label in base}
                 out.append(
