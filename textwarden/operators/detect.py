@@ -18,7 +18,6 @@ from ..functions.patterns import (
     ALL_PATTERNS,
     CLASSIFICATION_PATTERNS,
     INDIA_PATTERNS,
-    JAVA_FLAGS,
     NOT_PLAIN,
     PII,
     REQUIRED_LABELS,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_rows
 from ..functions.hashing import sha256
-from ..functions.patterns import ALL_PATTERNS, INDIA_PATTERNS, REQUIRED_LABELS, SECRET_PATTERNS, US_PATTERNS
+from ..functions.patterns import ALL_PATTERNS, INDIA_PATTERNS, REQUIRED_LABELS, SECRET_PATTERNS
 from ..functions.presets import bundled_rules
 from ..functions.tokens import tokenize
 from ..operators import adversarial, detect, documents as docs_ops, ledger as ledger_ops, mask, nearest, policy, risk, semantic
