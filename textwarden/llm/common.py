@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
@@ -19,7 +21,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows and bytes that reach a Python worker at once; texts may be long.
 BATCH = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -38,10 +40,28 @@ def worker_memory(name: str) -> dict:
     """
     home = sys.modules.setdefault("_textwarden_worker", types.ModuleType("_textwarden_worker")).__dict__
     if home.get("name") != name:
+        freed = home.pop("memory", None)
         home["name"], home["memory"] = name, {}
+        if freed:
+            freed.clear()
+            _give_back()
     return home["memory"]
 
 
+def fresh_worker() -> None:
+    """Called first by functions of workers that remember nothing: they need the room of those that do."""
+    worker_memory("")
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system where the C library can do that; else it stays with the worker."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def shared_path(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see."""
     return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
@@ -57,6 +77,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to which they are broadcast to leave out their rows (8 MB of numbers); for more, rows are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in the only column of ``ids``; texts stay where they are if these are few."""
+    gone = stored(ids.select(F.col(ids.columns[0]).alias("__gone")).where("__gone IS NOT NULL").distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
 def bucket_of(n: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 

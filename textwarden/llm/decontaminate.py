@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh_worker, stored, without
 from .shingles import plain_words, rolled, shingle_set, word_hashes
 
 N = 5
@@ -112,6 +112,7 @@ def signatures(items: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
     """item_id, kind (shingle length), upper (partition, 0 for items looked up exactly) and every key of every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -136,6 +137,7 @@ def document_keys(docs: DataFrame, shapes: list[tuple[int, int]], wanted: np.nda
     exact = [k for k, u in shapes if not u]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         sieve = None
         if wanted is not None:
             sieve = np.zeros(1 << 20, bool)
@@ -176,6 +178,7 @@ def contained_items(docs: DataFrame, items: DataFrame, similarity: tuple[int, in
     both = pairs.join(texts, "doc_id").join(items.select("item_id", F.col("text").alias("item")), "item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             rows, last = [], (None, None)
             for doc, item, text, other in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -196,8 +199,7 @@ def contained_items(docs: DataFrame, items: DataFrame, similarity: tuple[int, in
 
 def decontaminated(docs: DataFrame, items: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """``docs`` without the documents that contain an item; rows without doc_id stay."""
-    found = contained_items(docs, items, similarity).select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__d"), "left_anti")
+    return without(docs, contained_items(docs, items, similarity).select("doc_id"))
 
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -45,9 +45,10 @@ def covered_by_repeats(trigrams: Column) -> Column:
     return F.when(F.size(F.array_distinct(trigrams)) == F.size(trigrams), F.lit(0)).otherwise(found)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, host and the counts of every row."""
+def measured(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, host and the counts of every row, and the columns to keep."""
     slim = docs.select(
+        *keep,
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -55,6 +56,7 @@ def measured(docs: DataFrame) -> DataFrame:
     trimmed = F.btrim("text", F.lit(BLANKS))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     split = slim.select(
+        *keep,
         "doc_id",
         "host",
         F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
@@ -64,6 +66,7 @@ def measured(docs: DataFrame) -> DataFrame:
     )
     w = F.col("words")
     hashed = split.select(
+        *keep,
         "doc_id",
         "host",
         F.size(w).cast("long").alias("n_words"),
@@ -76,7 +79,7 @@ def measured(docs: DataFrame) -> DataFrame:
         .alias("trigrams"),
     )
     return hashed.select(
-        "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
+        *keep, "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
         covered_by_repeats(F.col("trigrams")).cast("long").alias("n_repeat_words"),
     )
 
@@ -117,8 +120,8 @@ def marked_hosts(rows: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     return hosts.select(F.col("host").alias("marked"), *flags).where(" OR ".join(f"b_{r}" for r in RULES))
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    rows = stored(with_failures(measured(docs)))
+def _judged(docs: DataFrame, *keep: str) -> DataFrame:
+    rows = stored(with_failures(measured(docs, *keep)))
     hosts = marked_hosts(rows)
     hit = F.lit(False)
     for r in RULES:
@@ -134,9 +137,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents of which a row is not kept."""
-    out = _judged(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(out, F.col("doc_id") == F.col("__d"), "left_anti")
+    """The rows of ``docs`` that are kept; each has its flags beside it and meets the few marked hosts, so no text is shuffled."""
+    whole = docs.withColumn("__doc", F.struct(*docs.columns))
+    return _judged(whole, "__doc").where("kept").select("__doc.*")
 
 
 _FLAGS = {

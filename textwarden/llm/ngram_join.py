@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import components, stored
+from .common import BROADCAST_IDS, components, fresh_worker, stored, without
 from .shingles import blank_words, shingle_set, word_hashes
 
 #: Counters of the frequency estimate, as a power of two, and in how many rows they travel.
@@ -59,8 +59,6 @@ LONGEST = 8
 VERIFY_COST = 50.0
 BACKGROUND = 0.25
 PARITY = 8
-#: Documents whose ids are broadcast to pick their texts (8 MB of numbers); for more, texts are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -73,6 +71,7 @@ def estimated_counts(docs: DataFrame, n: int, bits: int = COUNTERS) -> np.ndarra
     step = size // CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         total, any_row = np.zeros(size, np.uint32), False
         for batch in batches:
             found = []
@@ -88,6 +87,7 @@ def estimated_counts(docs: DataFrame, n: int, bits: int = COUNTERS) -> np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], ["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -137,6 +137,7 @@ def sketched(docs: DataFrame, levels: np.ndarray, n: int, similarity: Fraction)
     table, noise = spark.sparkContext.broadcast(levels), float(np.median(levels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         levels = table.value
         for batch in batches:
             rows = []
@@ -167,6 +168,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, similarity: Fraction) ->
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             keep, last = [], (None, None)
             for b, x, y in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
@@ -320,5 +322,4 @@ def one_per_component(docs: DataFrame, n: int = 5, similarity: Fraction = Fracti
     Repeated rows of a document that stays are kept; rows without doc_id stay.
     """
     found = jaccard_components(docs, n, similarity)
-    drop = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("__d"), "left_anti")
+    return without(docs, found.where("component_id <> doc_id").select("doc_id"))

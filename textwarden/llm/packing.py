@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .tokens import default_vocabulary, encode
+from .tokens import REMEMBERED, default_vocabulary, encode
 
 SEQUENCE = 2048
 GROUP = 20_000
 
 
-def pieces(docs: DataFrame, vocabulary: str, size: int) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, size: int, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for every piece of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist(), vocabulary), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist(), vocabulary, remembered), strict=True):
                     n = len(ids) // 4
                     end = n % size or min(n, size)
                     start = piece = 0
@@ -148,9 +148,9 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], size: int) -> list[
     return [bins[b] for b in kept] + [b for b in packed if b]
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE, group: int = GROUP, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
-    rows = stored(pieces(docs, vocabulary or default_vocabulary(), size))
+    rows = stored(pieces(docs, vocabulary or default_vocabulary(), size, remembered))
     groups = rows.count() // group + 1
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -11,8 +12,11 @@ from .common import worker_memory
 #: A blank before white space; a text that has it is cut by the slower rule.
 _ODD = re.compile(r" \s")
 _CUT = re.compile(r" (?=\S)")
-#: Pieces remembered per Python worker; beyond that the memory is emptied. It changes no result.
+#: Pieces remembered per Python worker (200 bytes each); beyond that the memory is emptied. It changes no result.
 REMEMBERED = 700_000
+#: Texts and letters that are cut into words at once.
+STEP = 500
+SLICE = 4_000_000
 END_ID = 0
 #: Marks that follow a word, and the last letter of which every version of Unicode says the same.
 MARKS = ".,;:!?"
@@ -33,6 +37,15 @@ def _tokenizer(path: str):
     return tok
 
 
+def _cuts_at_blanks(path: str) -> bool:
+    """Whether a vocabulary is of the kind that starts a new piece at a blank before a visible character."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    splitter = made.get("pre_tokenizer") or {}
+    plain = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space")
+    return bool(plain and made.get("normalizer") is None and not made.get("truncation") and not made.get("padding"))
+
+
 def _byte_letters() -> dict[int, int]:
     """The letter by which a byte-level vocabulary writes each byte: itself where it can be printed, else from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -68,33 +81,47 @@ def _encode_words(memory: dict, words: list[str]) -> Iterator[tuple[str, bytes]]
     yield from zip(others, _encode(tok, [" " + w for w in others]), strict=True)
 
 
-def encode(texts: list[str | None], path: str, step: int = 500) -> list[bytes]:
+def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    held, letters = [], 0
+    for t in texts:
+        held.append(t)
+        letters += len(t or "")
+        if len(held) == STEP or letters > SLICE:
+            yield held
+            held, letters = [], 0
+    yield held
+
+
+def encode(texts: list[str | None], path: str, remembered: int = REMEMBERED) -> list[bytes]:
     """For each text its ids with the end id, as little-endian unsigned 32-bit integers.
 
     Words come again and again. The splitter of the vocabulary always starts a
     new piece at a blank that a visible character follows, so a text is cut
     there and each distinct piece is encoded once; joined, they are the ids of
-    the whole text. None and "" give the end id alone.
+    the whole text. With a vocabulary of another kind whole texts are encoded.
+    None and "" give the end id alone.
     """
     memory, end = worker_memory(f"tokens of {path}"), array("I", [END_ID]).tobytes()
     if not memory:
         tok = _tokenizer(path)
         marks = dict(zip(MARKS, _encode(tok, list(MARKS)), strict=True))
-        memory.update(tokenizer=tok, pieces={}, letters=_byte_letters(), marks=marks | {"": b""})
+        memory.update(tokenizer=tok, pieces={}, letters=_byte_letters(), marks=marks | {"": b""}, cut=_cuts_at_blanks(path))
     tok, known = memory["tokenizer"], memory["pieces"]
+    if not memory["cut"]:
+        return [ids + end for ids in _encode(tok, [t or "" for t in texts])]
     out = []
-    for at in range(0, len(texts), step):
-        parts = [(_CUT.split(t) if _ODD.search(t) else t.split(" ")) if t else [] for t in texts[at : at + step]]
+    for some in _slices(texts):
+        parts = [(_CUT.split(t) if _ODD.search(t) else t.split(" ")) if t else [] for t in some]
         heads = _encode(tok, [p[0] for p in parts if p])
         heads.reverse()
         rests = [p[1:] for p in parts]
         new = set().union(*rests)
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) + len(new) > remembered:
             known.clear()
         for word, ids in _encode_words(memory, list(new - known.keys())):
             known[word] = ids
         get = known.__getitem__
         out += [(heads.pop() if p else b"") + b"".join(map(get, r)) + end for p, r in zip(parts, rests, strict=True)]
-    if len(known) > REMEMBERED:
+    if len(known) > remembered:
         known.clear()
     return out
