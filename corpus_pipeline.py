@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from textwarden.llm import decontaminate, host_quality, ngram_join, packing, toxicity
 from textwarden.llm.common import prepare, read, stored
 
+#: Pieces that a worker remembers while it packs: fewer than on its own, as its executor holds what earlier stages left.
+REMEMBERED = 200_000
+
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity machine does not reject."""
@@ -39,7 +42,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their sequence and their place in it."""
     prepare(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=REMEMBERED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
