@@ -179,3 +179,29 @@ def test_collocations_on_hard_rows(spark, hard, nothing, monkeypatch):
         monkeypatch.setattr(collocations, name, 20)  # full tables and small portions change no result
     assert _phrases(collocations.collocations(docs)) == want
     assert collocations.collocations(nothing.withColumn("lang", F.lit("en"))).count() == 0
+
+
+# -- filters by ids
+
+
+def test_rows_without_ids_by_broadcast_and_by_shuffle(spark, hard, monkeypatch):
+    from textwarden.llm import common, ngram_join
+
+    ids = spark.createDataFrame([(20,), (20,), (31,), (None,), (999,)], "gone long")
+    want = sorted(str(r) for r in hard.where("doc_id IS NULL OR doc_id NOT IN (20, 31)").collect())
+    kept = sorted(str(r) for r in ngram_join.one_per_component(hard).collect())
+    for limit in (common.BROADCAST_IDS, 0):
+        monkeypatch.setattr(common, "BROADCAST_IDS", limit)
+        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", limit)
+        assert sorted(str(r) for r in common.without(hard, ids).collect()) == want
+    assert sorted(str(r) for r in ngram_join.one_per_component(hard).collect()) == kept
+
+
+def test_worker_memory_is_given_back():
+    from textwarden.llm import common
+
+    first = common.worker_memory("one")
+    first["x"] = 1
+    assert common.worker_memory("one") is first
+    common.fresh_worker()
+    assert first == {} and common.worker_memory("one") == {}
