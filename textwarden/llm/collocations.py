@@ -6,8 +6,9 @@ whole one times its share of the language's words. A phrase that is frequent
 in all is so frequent in one shard at least. A shard is no task: its phrases
 are counted by many tasks and summed by key, those of two words first, longer
 ones only where the pairs inside them are frequent in their shard. What is
-frequent in any shard is united, and one more pass counts these phrases
-exactly over everything.
+frequent in any shard is united, less what cannot reach the support in all by
+its local counts, and one more pass counts these phrases exactly over
+everything.
 
 In the mining passes a phrase is a 64-bit hash, and sets of phrases are bitmaps
 sized by their counts up to ``MAX_BITS``. Two phrases that fall together can
@@ -44,10 +45,14 @@ SUPPORT = 30
 UNKNOWN = "und"
 #: Bits of a set of phrases: 16 for each up to the largest table (64 MB); beyond that tables fill and prune less.
 MIN_BITS, MAX_BITS = 20, 29
+SHIFTS = (0, 17, 35)
 #: Bytes of text of one part taken at once and of all that wait for more, and entries a task sums before it passes them on.
 SLICE = 2 << 20
 WAITING = 24 << 20
 PENDING = 1 << 22
+#: Phrases of a bucket in the last count, and lists of a batch.
+BUCKET = 20_000
+LISTS = 64
 #: Ends of pieces become a word of their own, A-Z fall.
 _MARKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _FOLD = bytes.maketrans(_MARKS + bytes(range(65, 91)), b"." * len(_MARKS) + bytes(range(97, 123)))
@@ -84,22 +89,28 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class Bits:
-    """A set of 64-bit hashes as a bitmap on their upper bits."""
+    """A set of 64-bit hashes as a bitmap, in which each has three places: its bits from ``SHIFTS`` on."""
 
     def __init__(self, table: np.ndarray) -> None:
         self.table = table
         self.shift = np.uint64(64 - (len(table) * 64).bit_length() + 1)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> self.shift
-        return (self.table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        out = np.ones(len(hashes), bool)
+        for left in SHIFTS:
+            live = np.flatnonzero(out)
+            at = (hashes[live] << np.uint64(left)) >> self.shift
+            out[live] = (self.table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        return out
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
     """The bitmap of column ``hash``; the driver sees the table alone, whose size is bounded."""
     bits = min(MAX_BITS, max(MIN_BITS, (16 * hashes.count()).bit_length()))
-    at = F.shiftrightunsigned("hash", 64 - bits)
-    words = hashes.groupBy(F.shiftright(at, 6).cast("int").alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(hash, {64 - bits}) & 63 AS INT))")).alias("w"))
+    places = F.explode(F.array(*[F.shiftrightunsigned(F.shiftleft("hash", left), 64 - bits) for left in SHIFTS]))
+    words = hashes.select(places.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("i")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("w")
+    )
     got = words.toArrow()
     table = np.zeros(1 << (bits - 6), np.uint64)
     table[got.column("i").to_numpy()] = got.column("w").to_numpy().view(np.uint64)
@@ -263,9 +274,20 @@ def local_counts(rows: DataFrame, words: np.ndarray, pairs: np.ndarray | None, l
 
 
 def locally_frequent(counts: DataFrame, supports: DataFrame) -> DataFrame:
-    """part, hash with the support of their part."""
+    """part, hash, n, need, room of what is frequent in its part."""
     sums = counts.groupBy("part", "hash").agg(F.sum("n").alias("n"))
-    return sums.join(supports, "part").where("CAST(n AS DECIMAL(20,0)) * total >= floor").select("part", "hash")
+    return sums.join(supports, "part").where("n >= need")
+
+
+def candidates(local: DataFrame, support: int) -> DataFrame:
+    """Column ``hash`` of the phrases that can have the support in all.
+
+    Where a phrase is not frequent in a part, it has less than the part's
+    support there; so its count is at most what the parts in which it is
+    frequent have, and one less than the support of each other part.
+    """
+    most = F.sum((F.col("n") - F.col("need") + 1).cast("decimal(20,0)")) + F.max("room")
+    return local.groupBy("hash").agg(most.alias("most")).where(F.col("most") >= support).select("hash")
 
 
 def _part_hashes(found: DataFrame) -> DataFrame:
@@ -285,22 +307,33 @@ def _ranks(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return np.unique(first * width + second, return_inverse=True)[1]
 
 
-def candidate_counts(rows: DataFrame, words: np.ndarray, candidates: np.ndarray, longest: int) -> DataFrame:
-    """lang, phrase, n per task of all candidates, told apart by their words."""
-    shared = rows.sparkSession.sparkContext.broadcast((words, candidates))
+def candidate_counts(rows: DataFrame, words: np.ndarray, wanted: np.ndarray, longest: int, support: int, buckets: int) -> DataFrame:
+    """lang, phrase, f of all candidates that have the support, told apart by their words.
+
+    A task passes its counts on in lists, one for each bucket of phrases; a
+    bucket is summed as its lists come in, and holds no more than its phrases.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((words, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory("collocations")
         known = Words()
-        good, wanted = map(Bits, shared.value)
+        good, likely = map(Bits, shared.value)
         sums: dict[str, dict[bytes, int]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, total in sums.items():
-                for at in range(0, len(total), 1 << 15):
-                    some = list(total.items())[at : at + (1 << 15)]
-                    cols = [pa.array([lang] * len(some)), pa.array([p.decode() for p, _ in some]), pa.array([n for _, n in some], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "n"])
+                dealt: dict[int, tuple[list[bytes], list[int]]] = {}
+                for phrase, n in total.items():
+                    phrases, counts = dealt.setdefault(xxhash.xxh3_64_intdigest(phrase) % buckets, ([], []))
+                    phrases.append(phrase)
+                    counts.append(n)
+                lists = list(dealt.values())
+                cols = [pa.array([lang] * len(lists)), pa.array(list(dealt), pa.int32())]
+                cols += [pa.array([p for p, _ in lists], pa.list_(pa.binary())), pa.array([n for _, n in lists], pa.list_(pa.int64()))]
+                batch = pa.RecordBatch.from_arrays(cols, ["lang", "bucket", "phrases", "counts"])
+                for at in range(0, len(lists), LISTS):
+                    yield batch.slice(at, LISTS)
             sums.clear()
 
         for lang, _, texts in _groups(batches):
@@ -315,7 +348,7 @@ def candidate_counts(rows: DataFrame, words: np.ndarray, candidates: np.ndarray,
                 at = np.flatnonzero(live[: max(len(ids) - n + 1, 0)])
                 at = at[ok[at + n - 1]]
                 whole_at = joined(whole[at], h[at + n - 1])
-                hit = wanted.has(whole_at)
+                hit = likely.has(whole_at)
                 at, whole_at = at[hit], whole_at[hit]
                 number = _ranks(exact[at], ids[at + n - 1])
                 _, where, times = np.unique(number, return_index=True, return_counts=True)
@@ -331,7 +364,21 @@ def candidate_counts(rows: DataFrame, words: np.ndarray, candidates: np.ndarray,
                 known.clear()
         yield from flush()
 
-    return rows.mapInArrow(run, "lang string, phrase string, n long")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("collocations")
+        sums: dict[str, dict[bytes, int]] = {}
+        for batch in batches:
+            for lang, phrases, counts in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                total = sums.setdefault(lang, {})
+                for phrase, n in zip(phrases, counts, strict=True):
+                    total[phrase] = total.get(phrase, 0) + n
+        for lang, total in sums.items():
+            found = [(p.decode(), n) for p, n in total.items() if n >= support]
+            cols = [pa.array([lang] * len(found), pa.string()), pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "f"])
+
+    lists = rows.mapInArrow(run, "lang string, bucket int, phrases array<binary>, counts array<bigint>")
+    return lists.repartition(buckets, "lang", "bucket").mapInArrow(add, "lang string, phrase string, f long")
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -340,18 +387,20 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     counted = stored(word_counts(rows).groupBy("lang", "part", "phrase").agg(F.sum("n").alias("n")))
     parts = stored(counted.where("phrase IS NULL").select("lang", "part", "n"))
     totals = parts.groupBy("lang").agg(F.sum("n").alias("n"))
-    # n * total >= support * words of the part, the share without rounding; of parts with one number the smallest share.
+    # need: support * words of the part / words of the language, rounded up; room: one less, summed over the language's parts.
     wide = "decimal(20,0)"
-    supports = parts.join(totals.select("lang", F.col("n").cast(wide).alias("total")), "lang").select(
-        "part", "total", (F.col("n").cast(wide) * F.lit(support)).alias("floor")
-    )
-    supports = stored(supports.groupBy("part").agg(F.max("total").alias("total"), F.min("floor").alias("floor")))
+    shares = parts.join(totals.select("lang", F.col("n").cast(wide).alias("total")), "lang")
+    needs = shares.select("lang", "part", F.greatest(F.expr("CAST((CAST(n AS DECIMAL(20,0)) * %d + total - 1) DIV total AS BIGINT)" % support), F.lit(1)).alias("need"))
+    rooms = needs.groupBy("lang").agg(F.sum(F.col("need") - 1).alias("room"))
+    supports = stored(needs.join(rooms, "lang").groupBy("part").agg(F.min("need").alias("need"), F.max("room").alias("room")))
     words = stored(counted.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support))
     good = bitmap(_word_hashes(words))
     pairs = stored(locally_frequent(local_counts(rows, good, None, 2), supports))
-    longer = stored(locally_frequent(local_counts(rows, good, bitmap(_part_hashes(pairs)), longest), supports))
-    candidates = pairs.select("hash").unionByName(longer.select("hash")).distinct()
-    exact = candidate_counts(rows, good, bitmap(candidates), longest).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
+    likely = stored(candidates(pairs, support))
+    inside = pairs.join(likely, "hash", "left_semi").select("part", "hash")
+    longer = stored(locally_frequent(local_counts(rows, good, bitmap(_part_hashes(inside)), longest), supports))
+    wanted = stored(likely.unionByName(candidates(longer, support)).distinct())
+    exact = candidate_counts(rows, good, bitmap(wanted), longest, support, wanted.count() // BUCKET + 32)
     every = words.unionByName(exact).withColumn("size", F.size(F.split("phrase", " ", -1)))
     return stored(every.select("lang", "phrase", "size", "f")), totals
 
