@@ -143,9 +143,44 @@ def test_budget_equals_model(spark, block):
     assert {r.request_id: r.decision for r in got} == want and len(set(want.values())) == 3
 
 
+# Joins planned as sorts turn into broadcasts once their small side is known, and small shuffles are read in parts, as with large tables.
+BROADCAST_LATE = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+@pytest.fixture()
+def broadcast_late(spark):
+    before = {key: spark.conf.get(key, None) for key in BROADCAST_LATE}
+    for key, value in BROADCAST_LATE.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_budget_when_the_join_turns_broadcast(spark, broadcast_late):
+    rng = random.Random(7)
+    rows = [(i, rng.choice("abcdefghijklmnopqrst"), 1000 * i + 1_700_000_000_000_000, rng.randrange(9000)) for i in range(6000)]
+    df = spark.createDataFrame([(a, b, at(c), d) for a, b, c, d in rows], "request_id bigint, actor string, ts timestamp, tokens bigint")
+    got = budget.rate_cost_decisions(df, max_requests=20, window_us=500_000, max_cost=0.9, block_us=2_000_000).collect()
+    assert {r.request_id: r.decision for r in got} == budget_model(rows, 20, 500_000, 0.9)
+
+
 # ---- ledger ---------------------------------------------------------------
 
 
+def test_chain_of_joined_rows_when_the_join_turns_broadcast(spark, broadcast_late):
+    rows = [(f"c{i % 40}", i) for i in range(4000)]
+    entries = spark.createDataFrame(rows, "chain_id string, seq bigint")
+    bodies = spark.createDataFrame([(f"c{k}", f"{k}" + ledger.PREV_MARK) for k in range(40)], "chain_id string, body string")
+    got = ledger.build_chain(entries.join(bodies, "chain_id")).collect()
+    assert sum(r.prev_hash == ledger.GENESIS for r in got) == 40 and len({r.entry_hash for r in got}) == 4000
+
+
+
 def _sealed(spark, n=25, salt="s"):
     rows = [("c", i, f"2024-01-01T00:00:{i:02d}+00:00", "default", "uñ", "STAFF", "HR", "AI_QUERY", ["PAN Card"], 1.5, '{"b": 1, "a": "é"}') for i in range(1, n + 1)]
     df = spark.createDataFrame(

@@ -153,7 +153,10 @@ def window_starts(
             yield pdf.drop(columns=["__blk", "__entry"]).assign(window_start=starts)
 
     schema = requests.select("*", F.lit(0).cast("bigint").alias("window_start")).schema
-    joined = rows.join(entries, [actor, "__blk"]).repartition(actor, "__blk").sortWithinPartitions(actor, "__blk", us)
+    # By a digest of the keys: a repartition by the join's own keys is dropped from the plan, and the join then may
+    # read its shuffle in other pieces, which parts the rows of a block.
+    dealt = rows.join(entries, [actor, "__blk"]).repartition(F.xxhash64(actor, "__blk"))
+    joined = dealt.sortWithinPartitions(actor, "__blk", us)
     return joined.select(*requests.columns, "__blk", "__entry").mapInPandas(mark, schema)
 
 

@@ -87,7 +87,8 @@ def build_chain(entries: DataFrame, chain: str = "chain_id", seq: str = "seq", b
                 hashes.append(prev)
             yield pdf.assign(prev_hash=prevs, canonical=canon, entry_hash=hashes)
 
-    return entries.repartition(chain).sortWithinPartitions(chain, seq).mapInPandas(seal, schema)
+    # By a digest, as a repartition by the key of a join before it is dropped from the plan (see budget.window_starts).
+    return entries.repartition(F.xxhash64(chain)).sortWithinPartitions(chain, seq).mapInPandas(seal, schema)
 
 
 def chain_heads(sealed: DataFrame, chain: str = "chain_id", seq: str = "seq", root: str = "root") -> DataFrame:
