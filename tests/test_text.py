@@ -262,3 +262,26 @@ def test_inbound_records_equal_sql_beyond_five_digit_keys(spark, tmp_path):
     (tmp_path / "customer.parquet").write_bytes(part.read_bytes())
     got = catalogue.queries()["inbound_records"](spark, str(tmp_path))
     assert oracle.compare(got, oracle.connect(str(tmp_path)), catalogue.oracle_sql()["inbound_records"]) is None
+
+
+def test_plain_texts_are_told_without_the_class_meeting_ascii(spark):
+    import time
+
+    from textwarden.functions.patterns import NOT_PLAIN
+
+    odd = ["", "abc", "é ñ Ñ x", "“quoted” – …", "a日b", "x́", "ß½", "²", "\n\x7f\x00", "€ ‿", "ا", None]
+    df = spark.createDataFrame([(t,) for t in odd], "text string")
+    got = [r[0] for r in df.selectExpr(detect.plain_text("text")).collect()]
+    assert got == [None if t is None else not re.search(NOT_PLAIN, t) for t in odd] and {True, False} < set(got)
+
+    long = spark.range(0, 400, 1, 4).selectExpr("repeat(concat('plain words, ', id, '. '), 2000) AS text")
+
+    def seconds(sql):
+        best = []
+        for _ in range(3):
+            start = time.perf_counter()
+            long.selectExpr(f"sum(int({sql}))").collect()
+            best.append(time.perf_counter() - start)
+        return min(best)
+
+    assert seconds(detect.plain_text("text")) < seconds(f"NOT text RLIKE {detect.quoted(NOT_PLAIN)}") / 2

@@ -51,6 +51,7 @@ _BOUNDARY = rf"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
 # What a text of plain letters has none of: ASCII, Latin letters and common punctuation are left out. In these,
 # Java and the rules' own language agree on word characters.
 NOT_PLAIN = r"[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u00a0\u00a7\u00ab\u00b0\u00bb\u2010-\u2015\u2018-\u201e\u2026\u20ac]"
+ASCII_RUN = r"[\x00-\x7f]+"
 
 
 def word_classes(regex: str) -> str:
