@@ -141,7 +141,13 @@ JUDGE_LABEL, JUDGE_SCORE, JUDGE_EVIDENCE = "Local Judge Jailbreak", 3.0, "root/s
 JUDGE_LITERALS = ("you are now root", "disable all safety")
 
 
-def _tail_sql(text: str, kind: str) -> str:
+def _form(pattern: str, flag: str | None) -> str:
+    """SQL: a pattern with its words spelt out, or in the cheaper form where ``flag`` says that the text is plain."""
+    spelt = JAVA_FLAGS + word_classes(pattern)
+    return quoted(spelt) if flag is None else either(JAVA_FLAGS + pattern, spelt, flag)
+
+
+def _tail_sql(text: str, kind: str, flag: str | None = None) -> str:
     """Text of a trailing run of words of one to three letters, NULL if too short.
 
     The run is what follows the last piece of text that cannot belong to it: a
@@ -149,12 +155,12 @@ def _tail_sql(text: str, kind: str) -> str:
     This needs no repeated group, so a long text cannot exhaust the stack.
     """
     sep, least, symbols = _TAILS[kind]
-    breaker = JAVA_FLAGS + word_classes(rf"(?i)[^\w{sep}]|\b(?![a-z]{{1,3}}\b)\w+")
+    breaker = _form(rf"(?i)[^\w{sep}]|\b(?![a-z]{{1,3}}\b)\w+", flag)
     # Only the last breaker matters, and nearly every text has one near its end.
-    near, whole = (f"split({x}, {quoted(breaker)}, -1)" for x in (f"right({text}, {_NEAR_END})", text))
+    near, whole = (f"split({x}, {breaker}, -1)" for x in (f"right({text}, {_NEAR_END})", text))
     tail = f"CASE WHEN size({near}) > 1 THEN element_at({near}, -1) ELSE element_at({whole}, -1) END"
     trimmed = f"regexp_replace(({tail}), {quoted(JAVA_FLAGS + '^[' + sep + ']+')}, '')"
-    run = f"CASE WHEN regexp_count({trimmed}, {quoted(JAVA_FLAGS + word_classes(chr(92) + 'w+'))}) >= {least} THEN {trimmed} END"
+    run = f"CASE WHEN regexp_count({trimmed}, {_form(chr(92) + 'w+', flag)}) >= {least} THEN {trimmed} END"
     if symbols is None:
         return run
     sym = f"nullif(regexp_extract({text}, {quoted(JAVA_FLAGS + symbols)}, 0), '')"
@@ -165,7 +171,7 @@ def _tail_sql(text: str, kind: str) -> str:
 def _evidence_sql(text: str, pattern: str, literals: Sequence[str]) -> str:
     """First match of a pattern, NULL if there is none."""
     if pattern.startswith("TAIL:"):
-        return _tail_sql(text, pattern.split(":")[1])
+        return _tail_sql(text, pattern.split(":")[1], "__aplain")
     found = f"nullif(regexp_extract({text}, {either(JAVA_FLAGS + pattern, JAVA_FLAGS + word_classes(pattern), '__aplain')}, 0), '')"
     if pattern in _NEEDED_AT_END:
         last, needed = _NEEDED_AT_END[pattern]
@@ -222,10 +228,13 @@ def _decoded_sql(candidate: str) -> str:
     return f"replace(make_valid_utf8(cast({binary} as string)), '�', '')"
 
 
-def encoded_payload(text: str, candidates: int | None = None) -> str:
-    """SQL: ``base64:<decoded>`` of the first suspicious candidate, else NULL; ``candidates`` looks at the first few only."""
+def encoded_payload(text: str, candidates: int | None = None, flag: str | None = None) -> str:
+    """SQL: ``base64:<decoded>`` of the first suspicious candidate, else NULL; ``candidates`` looks at the first few only.
+
+    ``flag`` names a column that tells plain texts.
+    """
     words = quoted("(?i)(" + "|".join(PAYLOAD_WORDS) + ")")
-    found = f"regexp_extract_all({text}, {quoted(JAVA_FLAGS + word_classes(PAYLOAD_REGEX))}, 0)"
+    found = f"regexp_extract_all({text}, {_form(PAYLOAD_REGEX, flag)}, 0)"
     if candidates is not None:
         found = f"slice({found}, 1, {int(candidates)})"
     decoded = f"transform({found}, c -> {_decoded_sql('c')})"
@@ -245,7 +254,7 @@ def guardian_scan(
     staged = _with_fold(df, text).selectExpr(
         "*",
         *[f"{_label_evidence(text, pats)} AS __h{k}" for k, (_, _, pats) in enumerate(GUARDIAN_RULES)],
-        f"{encoded_payload(text)} AS __h{n}",
+        f"{encoded_payload(text, flag='__aplain')} AS __h{n}",
     )
     parts = [(f"__h{k}", label, weight) for k, (label, weight, _) in enumerate(GUARDIAN_RULES)]
     parts.append((f"__h{n}", PAYLOAD_LABEL, PAYLOAD_SCORE))
