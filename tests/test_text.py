@@ -285,3 +285,26 @@ def test_plain_texts_are_told_without_the_class_meeting_ascii(spark):
         return min(best)
 
     assert seconds(detect.plain_text("text")) < seconds(f"NOT text RLIKE {detect.quoted(NOT_PLAIN)}") / 2
+
+
+def test_long_batches_of_words_are_taken_in_parts_with_equal_vectors(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from textwarden.functions import tokens
+
+    rng = random.Random(3)
+    lists = [None if i % 50 == 7 else [f"w{rng.randrange(300)}" for _ in range(rng.choice([0, 1, 5, 40, 900]))] for i in range(200)]
+    batch = pa.array(lists, pa.list_(pa.string()))
+    taken = []
+    encode = tokens.encode_tokens
+    monkeypatch.setattr(tokens, "encode_tokens", lambda part: (taken.append(len(part.flatten())), encode(part))[1])
+    monkeypatch.setattr(tokens, "SLICE_WORDS", 1000)
+    monkeypatch.setattr(tokens.F, "arrow_udf", lambda returns: lambda f: f)
+    vectors = tokens.embed_texts(["merger target", "w1 w2 w3"])
+    taken.clear()
+    got = [tokens.hash_embed_udf()(batch), tokens.concept_udf(vectors, [["merger"], ["w1", "w2"]])(batch)]
+    assert len(taken) > 20 and max(taken) < 2000  # no part holds more than its words and one list
+    whole = tokens.embed_batch(batch)
+    assert len(got[0]) == len(got[1]) == len(lists)
+    assert np.array_equal(np.array(got[0].to_pylist()), whole) and np.allclose(np.array(got[1].to_pylist())[:, :2], whole @ vectors.T)
+    assert len(tokens.hash_embed_udf()(batch.slice(0, 0))) == 0

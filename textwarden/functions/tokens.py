@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIMS = 384
+# Words that a Python worker takes at once; a batch of long texts holds many millions, each of which costs some hundred bytes.
+SLICE_WORDS = 1_000_000
 _WORD = "[a-z0-9][a-z0-9_-]+"
 
 
@@ -77,14 +80,30 @@ def embed_batch(word_lists: pa.Array, dims: int = DIMS) -> np.ndarray:
     return _matrix(len(word_lists), *encode_tokens(word_lists), dims)
 
 
+def _slices(word_lists: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
+    """A batch of word lists in parts of about ``most`` words, one list at least."""
+    if isinstance(word_lists, pa.ChunkedArray):
+        word_lists = word_lists.combine_chunks()
+    counts = pc.fill_null(pc.list_value_length(word_lists), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(counts, dtype=np.int64) - counts) // (most or SLICE_WORDS)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(counts)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi > lo:
+            yield word_lists.slice(lo, hi - lo)
+
+
+def _vectors(parts: Iterator[np.ndarray], dims: int) -> pa.Array:
+    """Rows of matrices as one array of lists."""
+    flat = pa.concat_arrays([pa.array([], pa.float64()), *(pa.array(m.ravel()) for m in parts)])
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dims, dtype=np.int32)), flat)
+
+
 def hash_embed_udf(dims: int = DIMS):
     """UDF: word list to a dense unit vector."""
 
     @F.arrow_udf("array<double>")
     def hash_embed(word_lists: pa.Array) -> pa.Array:
-        matrix = embed_batch(word_lists, dims)
-        offsets = pa.array(np.arange(0, matrix.size + 1, dims, dtype=np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()))
+        return _vectors((embed_batch(part, dims) for part in _slices(word_lists)), dims)
 
     return hash_embed
 
@@ -99,8 +118,7 @@ def concept_udf(vectors: np.ndarray, token_sets: list[list[str]]):
     member = np.array([[float(t in ts) for ts in token_sets] for t in names])
     sizes = np.array([len(ts) for ts in token_sets], dtype=float)
 
-    @F.arrow_udf("array<double>")
-    def concepts(word_lists: pa.Array) -> pa.Array:
+    def scores_of(word_lists: pa.Array) -> np.ndarray:
         n = len(word_lists)
         rows, codes, dictionary = encode_tokens(word_lists)
         scores = np.zeros((n, 2 * k))
@@ -112,8 +130,11 @@ def concept_udf(vectors: np.ndarray, token_sets: list[list[str]]):
             present = np.zeros((n, len(wanted)))
             present[rows[hit], slot[hit].astype(np.int64)] = 1.0
             scores[:, k:] = present @ member / sizes
-        offsets = pa.array(np.arange(0, scores.size + 1, 2 * k, dtype=np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(scores.ravel()))
+        return scores
+
+    @F.arrow_udf("array<double>")
+    def concepts(word_lists: pa.Array) -> pa.Array:
+        return _vectors((scores_of(part) for part in _slices(word_lists)), 2 * k)
 
     return concepts
 
