@@ -308,3 +308,34 @@ def test_long_batches_of_words_are_taken_in_parts_with_equal_vectors(monkeypatch
     assert len(got[0]) == len(got[1]) == len(lists)
     assert np.array_equal(np.array(got[0].to_pylist()), whole) and np.allclose(np.array(got[1].to_pylist())[:, :2], whole @ vectors.T)
     assert len(tokens.hash_embed_udf()(batch.slice(0, 0))) == 0
+
+
+def test_patterns_of_digits_are_tried_only_where_their_digits_stand(spark):
+    from textwarden.functions.patterns import ALL_PATTERNS
+
+    texts = ["In 2024 and 1999 nothing happened. The best tbsp of scotch.", "PAN ABCDE1234F", "u12345AB2024ABC123456", "x 2345 6789 0123.",
+             "4539 1488 0343 6467", "call +919812345678", "日 ABCDE1234F", "٢٣٤٥ ٦٧٨٩ ٠١٢٣", "sc", "a st.", "TB!", "ABCD0123456", None, ""]
+    df = detect.with_probes(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text")
+    for p in ALL_PATTERNS:
+        cond = detect.possible(p, "text") or "true"
+        rows = df.selectExpr("id", f"{cond} AS tried", f"size(regexp_extract_all(text, {detect.either(p.java_plain, p.java)}, 0)) > 0 AS found").collect()
+        assert not [r for r in rows if r.found and not r.tried], p.label
+        if p.digits or "Caste" in p.label or "Health" in p.label:
+            assert not rows[0].tried, p.label  # four digits in a row, and "st", "sc" and "tb" inside of words, are no reason
+
+
+def test_tails_of_short_words_equal_a_plain_fold(spark):
+    rng = random.Random(5)
+    words = ["a", "is", "the", "word", "ab1", "x_", "ſk", "é", "日"]
+    texts = [" ".join(rng.choice(words[:3] if rng.random() < 0.97 else words) for _ in range(rng.choice([5, 20, 40, 300]))) for _ in range(150)]
+    texts += [t + rng.choice(["!", ".", " .,", "\n", ""]) for t in texts]
+
+    def tail(text, sep, least):
+        pieces = re.split(rf"(?i)[^\w{sep}]|\b(?![a-zſK]{{1,3}}\b)\w+", text)[-1].lstrip()
+        pieces = re.sub(rf"^[{sep}]+", "", pieces)
+        return pieces if len(re.findall(r"\w+", pieces)) >= least else None
+
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for kind, sep, least in (("injection", r"\s", 18), ("guardian", r"\s,.;:/\\|", 24)):
+        got = [r[0] for r in df.selectExpr(adversarial._tail_sql("text", kind)).collect()]
+        assert got == [tail(t, sep, least) for t in texts] and {None} < set(got)

@@ -41,6 +41,18 @@ class Pattern:
         """The same for texts of plain letters, in which Java's own word boundary is right and cheaper."""
         return JAVA_FLAGS + _first_character(self.regex) + self.regex
 
+    @property
+    def core(self) -> str | None:
+        """What some run of a text (``RUN``) holds if a pattern of digits matches: the pattern without its boundaries."""
+        if not self.digits:
+            return None
+        return JAVA_FLAGS + re.sub(r"\\b|\(\?<[!=][^()]*\)", "", self.regex).replace("[LUu]", "")
+
+    @property
+    def whole_words(self) -> bool:
+        """The pattern is an alternation of words that stand alone."""
+        return self.regex.startswith(r"(?i)\b(") and self.regex.endswith(r")\b")
+
 
 # Java counts combining marks and join controls as word characters; here, as in
 # the rules' own language, only letters, numbers and the underscore are.
@@ -52,6 +64,8 @@ _BOUNDARY = rf"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
 # Java and the rules' own language agree on word characters.
 NOT_PLAIN = r"[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u00a0\u00a7\u00ab\u00b0\u00bb\u2010-\u2015\u2018-\u201e\u2026\u20ac]"
 ASCII_RUN = r"[\x00-\x7f]+"
+# In a text of plain letters, the core of every match of a pattern of digits lies within one such run.
+RUN = r"[A-Z0-9\s\u00a0-]{4,}+"
 
 
 def word_classes(regex: str) -> str:
@@ -153,7 +167,7 @@ _INDIA = (
     Pattern("Driving License (India)", r"\b[A-Z]{2}[0-9]{2}\s?[0-9]{4}[0-9]{7}\b", INDIA_PII, digits="four"),
     Pattern("GST Number", r"\b\d{2}[A-Z]{5}\d{4}[A-Z][1-9A-Z]Z[0-9A-Z]\b", INDIA_PII, digits="four"),
     Pattern("UPI ID", r"\b[a-zA-Z0-9.\-_]{2,49}@[a-zA-Z]{2,}\b", INDIA_PII, probes=("@",)),
-    Pattern("IFSC Code", r"\b[A-Z]{4}0[A-Z0-9]{6}\b", INDIA_PII, probes=("0",)),
+    Pattern("IFSC Code", r"\b[A-Z]{4}0[A-Z0-9]{6}\b", INDIA_PII, probes=("0",), digits="any"),
     Pattern("Indian Bank Account", r"(?<!\+)(?<!\d)\b[0-9]{9,16}\b", INDIA_PII, digits="four"),
     Pattern("MICR Code", r"\b[0-9]{9}\b", INDIA_PII, digits="four"),
     Pattern("UHID (Hospital ID)", r"\bUHID[-\s]?[A-Z0-9]{6,12}\b", INDIA_PII, probes=("UHID",)),
@@ -172,11 +186,8 @@ _INDIA = (
     Pattern("LLPIN", r"\bAAA[-]?\d{4}\b", INDIA_PII, probes=("AAA",)),
     Pattern("TAN Number", r"\b[A-Z]{4}\d{5}[A-Z]\b", INDIA_PII, digits="four"),
     Pattern("FSSAI License", r"\b[1-2]\d{13}\b", INDIA_PII, digits="four"),
-    # "st" and "sc" occur in almost any text, so a probe would not pay here.
-    Pattern(
-        "Caste / Tribe Reference",
-        r"(?i)\b(scheduled caste|sc\b|scheduled tribe|st\b|OBC|backward class)\b",
-        INDIA_PII,
+    _alternation(
+        "Caste / Tribe Reference", r"(?i)\b(scheduled caste|sc\b|scheduled tribe|st\b|OBC|backward class)\b", INDIA_PII
     ),
     _alternation("Religious Identity", r"(?i)\b(hindu|muslim|christian|sikh|jain|buddhist|parsi|jewish)\b", INDIA_PII),
     _alternation("Political Opinion", r"(?i)\b(BJP|INC|congress|AAP|DMK|AIADMK|voter preference)\b", INDIA_PII),

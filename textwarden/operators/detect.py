@@ -22,6 +22,7 @@ from ..functions.patterns import (
     NOT_PLAIN,
     PII,
     REQUIRED_LABELS,
+    RUN,
     SECRET_PATTERNS,
     US_PATTERNS,
     Pattern,
@@ -42,6 +43,14 @@ def any_literal(text: str, literals: Sequence[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, {quoted(x)})" for x in literals) + ")"
 
 
+def any_word(fold: str, words: Sequence[str]) -> str:
+    """SQL: one of the words may stand alone in a folded text; short ones are looked at with their neighbours."""
+    short = [w for w in words if len(w) <= 3 and w.isalpha()]
+    conds = [f"contains({fold}, {quoted(w)})" for w in words if w not in short]
+    conds += [f"(contains({fold}, '{w}') AND {fold} RLIKE '{w}(?<![a-z0-9_]{w})(?![a-z0-9_])')" for w in short]
+    return "(" + " OR ".join(conds) + ")"
+
+
 def folded(text: str) -> str:
     """Lower-cased text in which case-insensitive literals can be looked up."""
     odd = any_literal(text, _FOLD_FROM)
@@ -52,17 +61,21 @@ def with_probes(df: DataFrame, text: str) -> DataFrame:
     """Stage the shared probe columns, so that they are computed once per row."""
     if "__fold" in df.columns:
         return df
-    return df.selectExpr(
+    staged = df.selectExpr(
         "*",
         f"{folded(text)} AS __fold",
         f"{text} RLIKE {quoted('(?U)' + chr(92) + 'd')} AS __any",
         f"{text} RLIKE {quoted('(?U)' + chr(92) + 'd{4}')} AS __four",
         f"{plain_text(text)} AS __plain",
     )
+    # The few places that patterns of digits can match; of a text that is not plain, the text itself.
+    runs = f"CASE WHEN NOT __any THEN '' WHEN __plain THEN array_join(regexp_extract_all({text}, {quoted(RUN)}, 0), '|') ELSE {text} END"
+    return staged.selectExpr("*", f"{runs} AS __runs")
 
 
-def without_probes(df: DataFrame) -> DataFrame:
-    return df.drop("__fold", "__any", "__four", "__plain")
+def without_probes(df: DataFrame, but: Sequence[str] = ()) -> DataFrame:
+    """Drop the probe columns, unless they were there before, ``but`` being the columns of then."""
+    return df if "__fold" in but else df.drop("__fold", "__any", "__four", "__plain", "__runs")
 
 
 def plain_text(text: str) -> str:
@@ -83,8 +96,12 @@ def possible(p: Pattern, text: str) -> str | None:
     conds = []
     if p.digits:
         conds.append("__any" if p.digits == "any" else "__four")
-    if p.probes:
+    if p.probes and p.folded and p.whole_words:
+        conds.append(any_word("__fold", p.probes))
+    elif p.probes:
         conds.append(any_literal("__fold" if p.folded else text, p.probes))
+    if p.core:
+        conds.append(f"__runs RLIKE {quoted(p.core)}")
     return " AND ".join(conds) or None
 
 
@@ -102,7 +119,7 @@ def count_matches(
     Enough for every score and label statistic, and much narrower than findings.
     """
     sizes = ", ".join(f"coalesce(size({_matches(p, text)}), 0)" for p in patterns)
-    return without_probes(with_probes(df, text).selectExpr("*", f"array({sizes}) AS {out}"))
+    return without_probes(with_probes(df, text).selectExpr("*", f"array({sizes}) AS {out}"), df.columns)
 
 
 def scan(
@@ -152,7 +169,7 @@ def scan(
             ),
         )
 
-    staged = without_probes(staged.withColumn("__s", F.flatten(F.transform(hits, spans))).drop("__m"))
+    staged = without_probes(staged.withColumn("__s", F.flatten(F.transform(hits, spans))).drop("__m"), df.columns)
     if snippets:
         staged = staged.withColumn("__b", text_blocks(t))
 

@@ -178,19 +178,20 @@ def redaction_token(f: Column) -> Column:
     ).otherwise(F.concat(F.lit("[REDACTED_"), F.when(name == "", "DATA").otherwise(name), F.lit("]")))
 
 
-def _greedy(spans: Column, text: Column, item: str) -> Column:
+def _greedy(spans: Column, length: Column, item: str) -> Column:
     """Right-to-left choice of spans that do not overlap a span already taken.
 
     ``spans`` holds structs with start, end, ord and token; the result is in
-    right-to-left order.
+    right-to-left order. ``length`` is that of the text, as a column of its own:
+    it is compared with every span.
     """
-    valid = F.filter(spans, lambda s: (s["start"] >= 0) & (s["end"] <= F.length(text)) & (s["start"] < s["end"]))
+    valid = F.filter(spans, lambda s: (s["start"] >= 0) & (s["end"] <= length) & (s["start"] < s["end"]))
     right_first = F.array_sort(
         F.transform(valid, lambda s: F.struct((-s["start"]).alias("k"), s["ord"].alias("ord"), s.alias("s")))
     )
     return scan_fold(
         right_first,
-        F.length(text),
+        length,
         lambda edge, x: (
             F.when(x["s"]["end"] <= edge, x["s"]["start"]).otherwise(edge),
             x["s"]["end"] <= edge,
@@ -225,8 +226,9 @@ def redact_spans(df: DataFrame, text: str = "text", findings: str = "findings",
             f["start"].alias("start"), f["end"].alias("end"), f["ord"].alias("ord"), redaction_token(f).alias("token")
         ),
     )
-    staged = df.withColumns({"__c": F.reverse(_greedy(spans, t, _SPAN)), "__b": text_blocks(t)})
-    return staged.withColumn(out, _replace(t, F.col("__b"), F.col("__c"))).drop("__c", "__b")
+    staged = df.withColumn("__n", F.length(t))
+    staged = staged.withColumns({"__c": F.reverse(_greedy(spans, F.col("__n"), _SPAN)), "__b": text_blocks(t)})
+    return staged.withColumn(out, _replace(t, F.col("__b"), F.col("__c"))).drop("__c", "__b", "__n")
 
 
 def redact_india(df: DataFrame, text: str = "text", out: str = "redacted", patterns: Sequence[Pattern] = INDIA_PATTERNS) -> DataFrame:
@@ -339,7 +341,8 @@ def pseudonymize(
     """Replace findings by numbered tokens; the vault keeps hashes, never values."""
     t = F.col(text)
     staged = _with_tokens(df, findings, patterns)
-    staged = staged.withColumns({"__c": F.reverse(_greedy(F.col("__p"), t, _PSEUDO)), "__b": text_blocks(t)}).drop("__p")
+    staged = staged.withColumn("__n", F.length(t))
+    staged = staged.withColumns({"__c": F.reverse(_greedy(F.col("__p"), F.col("__n"), _PSEUDO)), "__b": text_blocks(t)}).drop("__p", "__n")
     cols = {
         out: _replace(t, F.col("__b"), F.col("__c")),
         tokens: F.transform("__c", lambda s: s["token"]),
