@@ -385,6 +385,23 @@ def test_golden_chunks(spark):
     assert [r["chunk"] for r in rows] == ["First paragraph here.", "Second one is a little longer than", "than that.", "It has two lines.", "End"]
 
 
+def test_chunks_are_found_without_a_step_per_word(spark):
+    df = spark.createDataFrame([(1, "a line of words\n" * 3)], "id int, text string")
+    plan = splitter.split_text(df, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "lambdafunction" not in plan
+    places = []
+
+    class Counted(str):
+        def __getitem__(self, key):
+            places.append(key)
+            return super().__getitem__(key)
+
+    text = Counted("word " * 200_000 + "x" * 5000)
+    bounds = list(splitter.chunk_bounds(text, 1000, 150))
+    assert bounds[0] == (0, 999) and bounds[-1][1] == len(text) and len(places) <= 3
+    assert all(a < c <= b and b - a <= 1000 for (a, b), (c, _) in zip(bounds, bounds[1:]))
+
+
 # ---- upserts by bucket ----------------------------------------------------
 
 

@@ -38,13 +38,11 @@ def tokenize(text: Column) -> Column:
 
 def _digests(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bucket hash and sign per distinct token."""
-    heads = np.empty(len(tokens), dtype=np.int64)
-    signs = np.empty(len(tokens), dtype=np.float64)
-    for i, token in enumerate(tokens.to_pylist()):
-        d = hashlib.blake2b(token.encode(), digest_size=8).digest()
-        heads[i] = int.from_bytes(d[:4], "big")
-        signs[i] = 1.0 if d[4] % 2 == 0 else -1.0
-    return heads, signs
+    blake2b = hashlib.blake2b
+    made = b"".join([blake2b(t, digest_size=8).digest() for t in tokens.cast(pa.large_binary()).to_pylist()])
+    octets = np.frombuffer(made, np.uint8).reshape(-1, 8)
+    heads = np.ascontiguousarray(octets[:, :4]).view(">u4").ravel().astype(np.int64)
+    return heads, 1.0 - 2.0 * (octets[:, 4] % 2)
 
 
 def encode_tokens(word_lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
