@@ -205,3 +205,24 @@ def test_worker_memory_is_given_back():
     assert common.worker_memory("one") is first
     common.fresh_worker()
     assert first == {} and common.worker_memory("one") == {}
+
+
+def test_words_are_looked_up_once():
+    asked = []
+
+    class All:
+        def has(self, hashes):
+            asked.append(len(hashes))
+            return np.ones(len(hashes), bool)
+
+    words = collocations.Words()
+    texts = [["One two\tthree. two", "", "é日本 one!"], ["one FOUR\vtwo  ", "  "], ["..", "é日本"]]
+    for group in texts:
+        ids = words.read([t.encode() for t in group])
+        hashes, ok = words.frequent("en", All())
+        plain = b".".join([b"", *[t.encode() for t in group], b""]).translate(collocations._FOLD).replace(b".", b" . ").split()
+        assert [words.word[i] for i in ids.tolist()] == plain and len(words) == len(set(words.word)) == len(hashes)
+        assert not ok[0] and ok[1:].all()
+    assert asked == [5, 1] and words.word == [b".", b"one", b"two", b"three", "é日本".encode(), b"four"]
+    words.clear()
+    assert len(words) == 1 and words.read([b"two"]).tolist() == [0, 1, 0]

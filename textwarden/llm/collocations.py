@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,26 +62,50 @@ _MULTIPLY = np.uint64(0xBF58476D1CE4E5B9)
 
 
 class Words:
-    """The words of some texts as numbers; 0 is the end of a piece. Known words are kept while a task runs."""
+    """The words of some texts as numbers; 0 is the end of a piece. Known words are kept while a task runs.
+
+    Words are parted, told apart and looked up as Arrow columns; Python meets a word once, when its bytes or hash are asked for.
+    """
 
     def __init__(self) -> None:
         self.clear()
 
+    def __len__(self) -> int:
+        return len(self.known)
+
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {b".": 0}
+        self.known = pa.array(["."], pa.large_string())
         self.word: list[bytes] = [b"."]
         self.hashes = np.zeros(1, np.uint64)
+        self.marked: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def read(self, texts: list[bytes]) -> np.ndarray:
-        words = b".".join([b"", *texts, b""]).translate(_FOLD).replace(b".", b" . ").split()
-        number = self.number
-        new = [w for w in set(words) if w not in number]
-        for w in new:
-            number[w] = len(number)
+        whole = b".".join([b"", *texts, b""]).translate(_FOLD).replace(b".", b" . ").strip()
+        column = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(whole)], np.int64)), pa.py_buffer(whole)])
+        words = pc.ascii_split_whitespace(column).flatten().dictionary_encode()
+        found = pc.index_in(words.dictionary, value_set=self.known)
+        number = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if found.null_count:
+            number[number < 0] = np.arange(len(self), len(self) + found.null_count)
+            self.known = pa.concat_arrays([self.known, words.dictionary.filter(found.is_null())])
+        return number[words.indices.to_numpy(zero_copy_only=False)]
+
+    def _complete(self) -> None:
+        new = self.known[len(self.word) :].cast(pa.large_binary()).to_pylist()
         if new:
             self.word += new
             self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))])
-        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+
+    def frequent(self, lang: str, good: Bits) -> tuple[np.ndarray, np.ndarray]:
+        """Per known word its hash in a language, and whether it is one of ``good``; worked out once per word."""
+        self._complete()
+        h, ok = self.marked.get(lang, (np.zeros(0, np.uint64), np.zeros(0, bool)))
+        if len(h) < len(self):
+            new = mix(self.hashes[len(h) :] ^ _lang_seed(lang))
+            h, ok = np.concatenate([h, new]), np.concatenate([ok, good.has(new)])
+            ok[0] = False
+            self.marked[lang] = h, ok
+        return h, ok
 
 
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -183,23 +208,24 @@ def word_counts(rows: DataFrame) -> DataFrame:
             for (lang, part), total in sums.items():
                 at = np.flatnonzero(total)
                 n = total[at]
-                text = [None if k == 0 else words.word[k].decode() for k in at.tolist()]
                 for i in range(0, len(at), 1 << 15):
-                    m = len(text[i : i + (1 << 15)])
-                    cols = [pa.array([lang] * m), pa.array([part] * m, pa.int64()), pa.array(text[i : i + m], pa.string()), pa.array(n[i : i + m])]
+                    some = at[i : i + (1 << 15)]
+                    m = len(some)
+                    text = words.known.take(pa.array(some, mask=some == 0)).cast(pa.string())
+                    cols = [pa.array([lang] * m), pa.array([part] * m, pa.int64()), text, pa.array(n[i : i + m])]
                     yield pa.RecordBatch.from_arrays(cols, ["lang", "part", "phrase", "n"])
             sums.clear()
             words.clear()
 
         for lang, part, texts in _groups(batches):
             ids = words.read(texts)
-            c = np.bincount(ids, minlength=len(words.word))
+            c = np.bincount(ids, minlength=len(words))
             c[0] = len(ids) - c[0]  # all words, in place of the ends of pieces
             old = sums.get((lang, part))
             if old is not None:
                 c[: len(old)] += old
             sums[lang, part] = c
-            if len(words.word) * len(sums) > PENDING:
+            if len(words) * len(sums) > PENDING:
                 yield from flush()
         yield from flush()
 
@@ -247,9 +273,7 @@ def local_counts(rows: DataFrame, words: np.ndarray, pairs: np.ndarray | None, l
         good, two = (t if t is None else Bits(t) for t in shared.value)
         for lang, part, texts in _groups(batches):
             ids = known.read(texts)
-            h = mix(known.hashes ^ _lang_seed(lang))
-            ok = good.has(h)
-            ok[0] = False
+            h, ok = known.frequent(lang, good)
             h, ok = h[ids], ok[ids]
             at = _starts(ok, 2)
             pair = joined(h[at], h[at + 1])
@@ -266,7 +290,7 @@ def local_counts(rows: DataFrame, words: np.ndarray, pairs: np.ndarray | None, l
                     sums.add(part, whole[at])
             if sums.size > PENDING:
                 yield from sums.flush()
-            if len(known.word) > PENDING // 8:
+            if len(known) > PENDING // 8:
                 known.clear()
         yield from sums.flush()
 
@@ -338,9 +362,7 @@ def candidate_counts(rows: DataFrame, words: np.ndarray, wanted: np.ndarray, lon
 
         for lang, _, texts in _groups(batches):
             ids = known.read(texts)
-            h = mix(known.hashes ^ _lang_seed(lang))
-            ok = good.has(h)
-            ok[0] = False
+            h, ok = known.frequent(lang, good)
             h, ok = h[ids], ok[ids]
             total = sums.setdefault(lang, {})
             live, whole, exact = ok, h, ids
@@ -360,7 +382,7 @@ def candidate_counts(rows: DataFrame, words: np.ndarray, wanted: np.ndarray, lon
                 live[at], whole[at], exact[at] = True, whole_at, number
             if sum(map(len, sums.values())) > PENDING // 16:
                 yield from flush()
-            if len(known.word) > PENDING // 8:
+            if len(known) > PENDING // 8:
                 known.clear()
         yield from flush()
 
