@@ -11,7 +11,7 @@ import pytest
 from conftest_rows import rows_of_documents
 from pyspark.sql import functions as F
 
-from textwarden.llm import decontaminate, host_quality, licenses, ngram_join, packing, queries, rans, shards, tokenids, toxicity, url_rules, warc
+from textwarden.llm import decontaminate, host_quality, licenses, ngram_join, packing, queries, rans, shards, tokenids, tokens, toxicity, url_rules, warc
 
 QUERIES, ORACLES = queries.queries(), queries.oracle_sql()
 
@@ -187,6 +187,29 @@ def test_token_files(hard, nothing, spark, small):
     assert tokenids.token_digest(nothing).count() == 0
 
 
+SHREDS = ["alpha", "Beta", "é", "ß", "ɏ", "ɐ", "×", "÷", "日本", " ", " ", " ", "  ", "\n", "\n\n", "\n\n\n", "\t", "\r\n", "\xa0", "\u2003"]
+SHREDS += ["\u3000", "\x85", "\x1c", "\0", ".", ",", "%%%", "'s", "'", "’", "—", "²", "12", "_", "a1b2", "<|endoftext|>", "e\u0301", "\u200d", "😀"]
+
+
+def test_parts_give_the_ids_of_whole_texts(monkeypatch):
+    rng = np.random.default_rng(5)
+    for size in (10, 300, 4_000_000):
+        monkeypatch.setattr(tokens, "SLICE", size)
+        texts = [None, "", *("".join(rng.choice(SHREDS, rng.integers(1, 12))) for _ in range(1000))]
+        want = [np.array(plain.ids_of(t), "<u4").tobytes() for t in texts]
+        for remembered in (40, tokens.REMEMBERED):
+            assert tokens.encode(texts, tokens.default_vocabulary(), remembered) == want
+
+
+def test_known_words_with_other_marks_are_not_encoded_again(monkeypatch):
+    path, asked, encode = tokens.default_vocabulary(), [], tokens._encode
+    tokens.encode(["alpha beta. gamma\ndelta %%% gamma%%%", "beta delta"], path)
+    monkeypatch.setattr(tokens, "_encode", lambda tok, texts: asked.extend(texts) or encode(tok, texts))
+    got = tokens.encode(["alpha beta%%% gamma.\ndelta", "alpha delta%%%\ndelta."], path)
+    assert got == [np.array(plain.ids_of(t), "<u4").tobytes() for t in ("alpha beta%%% gamma.\ndelta", "alpha delta%%%\ndelta.")]
+    assert not asked
+
+
 # -- packing
 
 

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .tokens import REMEMBERED, default_vocabulary, encode
+from .common import BATCH, stored
+from .tokens import REMEMBERED, default_vocabulary, encode_arrays
 
 SEQUENCE = 2048
 GROUP = 20_000
@@ -36,15 +36,15 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, remembered: int = REMEMB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
                 rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist(), vocabulary, remembered), strict=True):
-                    n = len(ids) // 4
+                for doc, ids in zip(part.column(0).to_pylist(), encode_arrays(part.column(1), vocabulary, remembered), strict=True):
+                    ids, n = ids.astype("<u4", copy=False), len(ids)
                     end = n % size or min(n, size)
                     start = piece = 0
                     while start < n:
-                        rows.append((doc, piece, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
+                        rows.append((doc, piece, start, end - start, zlib.crc32(ids[start:end])))
                         start, end, piece = end, end + size, piece + 1
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import shared_path, stored
-from .tokens import default_vocabulary, encode
+from .common import BATCH, shared_path, stored
+from .tokens import default_vocabulary, encode_arrays
 
 #: Ids of a block, and ids of a file.
 BLOCK = 1 << 18
@@ -41,15 +41,14 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = encode(part.column(1).to_pylist(), vocabulary)
-                wide = [np.frombuffer(b, "<u4") for b in ids]
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                wide = [w.astype("<u4", copy=False) for w in encode_arrays(part.column(1), vocabulary)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([len(w) for w in wide], pa.int64()),
-                        pa.array([zlib.crc32(b) for b in ids], pa.int64()),
+                        pa.array([zlib.crc32(w) for w in wide], pa.int64()),
                         pa.array([w.astype("<u2").tobytes() if w.max() < 65536 else w.tobytes() for w in wide], pa.binary()),
                     ],
                     ["doc_id", "n", "crc", "ids"],
