@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import hmac
 import json
 import random
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textwarden.functions.hashing import sign_payload, verify_signature
 from textwarden.functions.presets import bundled_rules
-from textwarden.operators import budget, compliance, ledger, policy, risk
+from textwarden.operators import budget, compliance, ledger, metrics, policy, risk
 from textwarden.plans import bindings, gateway
 from textwarden.sources import readers, sinks
 
@@ -353,3 +354,38 @@ def test_history_can_quarantine(spark):
     past = spark.createDataFrame([(hashlib.sha256(b":t:u").hexdigest(), at(-60_000_000 * k), 1.0, True, False, False) for k in (1, 2, 3)], "actor_hash string, ts timestamp, severity double, is_pii boolean, is_injection boolean, is_semantic boolean")
     assert gateway.gateway_decide(one).first().action == gateway.ALLOWED
     assert gateway.gateway_decide(one, history=past).first().action == gateway.QUARANTINED
+
+
+def test_deliveries_are_signed_once_per_secret(spark, monkeypatch):
+    """Many hooks with one secret, some without; lists cut short or not, the deliveries are those of a plain loop."""
+    hooks = [(f"h{i}", f"https://{i}.example/", True, "t1", ["A", "A", "B"], "s3cret") for i in range(40)]
+    hooks += [("own", "u", True, "t1", ["A"], "other"), ("none", "u", True, "t1", ["A"], None), ("empty", "u", True, "t1", ["B"], "")]
+    hooks += [("off", "u", False, "t1", ["A"], "s3cret"), ("home", "u", True, None, ["A"], "s3cret"), ("still", "u", True, "t1", [], "s3cret")]
+    hooks += [("twice", "u", True, "t1", ["B"], "s3cret")] * 2
+    events = [(1, "t1", "A", 5, "x"), (2, "t1", "B", 6, "ü\""), (3, "default", "A", 7, None), (4, None, "A", 8, "y"), (5, "t1", "C", 9, "z"), (6, "t1", "A", 5, "x")]
+    want = []
+    for seq, tenant, kind, ts, payload in events:
+        said = {"event_type": kind, "tenant_id": tenant, "timestamp": str(ts), "payload": payload}
+        body = json.dumps({k: v for k, v in said.items() if v is not None}, ensure_ascii=False, separators=(",", ":"))
+        for name, url, active, owner, kinds, secret in hooks:
+            if active and (owner or "default") == tenant and kind in kinds:
+                sealed = secret and "sha256=" + hmac.new(secret.encode(), body.encode(), hashlib.sha256).hexdigest()
+                want.append((seq, name, url, body, hashlib.sha256(body.encode()).hexdigest(), sealed or None))
+    e = spark.createDataFrame(events, "seq long, tenant_id string, event_type string, ts long, payload string")
+    h = spark.createDataFrame(hooks, "hook_id string, target_url string, active boolean, tenant_id string, event_types array<string>, secret string")
+    for most in (1000, 7):
+        monkeypatch.setattr(metrics, "HOOKS", most)
+        got = [tuple(r) for r in metrics.route_webhooks(e, h, "seq").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(body):
+        calls.add(1)
+        return body
+
+    monkeypatch.setattr(metrics, "HOOKS", 1000)
+    monkeypatch.setattr(metrics, "hmac_sha256", lambda body, pads: F.when(pads.isNotNull(), counted(body)))
+    assert len(metrics.route_webhooks(e, h, "seq").select("signature").collect()) == len(want)
+    assert calls.value <= 10  # events times secrets, not times hooks

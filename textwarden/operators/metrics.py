@@ -14,6 +14,8 @@ from ..functions.hashing import hmac_pads, hmac_sha256
 BLOCKING_EVENTS = ("PROMPT_INJECTION_BLOCKED", "SEMANTIC_DLP_BLOCKED", "HIGH_SENSITIVITY_LOCAL_ROUTE", "AUTO_QUARANTINE")
 MASKED_EVENT = "PII_MASKED_BEFORE_LLM"
 HIGH_RISK = 7.0
+# Hooks of one list, about.
+HOOKS = 1000
 DETECTIONS = (
     ("Aadhaar", "pseudonymized", "[Aadhaar_1]"),
     ("PAN", "pseudonymized", "[PAN_1]"),
@@ -75,26 +77,35 @@ def snapshot(**figures: DataFrame) -> DataFrame:
 def route_webhooks(events: DataFrame, hooks: DataFrame, *keep: str, event_type: str = "event_type") -> DataFrame:
     """Deliveries: active hooks of the tenant that list the event's type.
 
-    The lists of the hooks are exploded, so this is an equality join.
+    The lists of the hooks are exploded, so this is an equality join. An event
+    says the same to all hooks that share a secret: its body is written and
+    digested before the join and signed once per ``HOOKS`` of them, and only
+    then come the rows of the single hooks, which may be very many.
     """
-    # Key blocks are worked out per hook, before the join multiplies the rows.
     h = hooks.where("active").select(
-        "hook_id",
-        "target_url",
-        F.coalesce("tenant_id", F.lit("default")).alias("tenant_id"),
+        F.struct("hook_id", "target_url").alias("__hook"),
+        F.coalesce("tenant_id", F.lit("default")).alias("__tenant"),
         F.array_distinct("event_types").alias("__types"),
-        F.when(F.coalesce("secret", F.lit("")) != "", hmac_pads(F.col("secret"))).alias("__pads"),
+        F.coalesce("secret", F.lit("")).alias("__secret"),
     )
-    h = explode_rows(h, ("hook_id", "target_url", "tenant_id", "__pads"), "__types", "__type")
+    h = explode_rows(h, ("__hook", "__tenant", "__secret"), "__types", "__type")
+    same = ["__tenant", "__type", "__secret"]
+    shares = h.groupBy(*same).agg((F.floor(F.count(F.lit(1)) / HOOKS) + 1).alias("__shares"))
+    dealt = h.join(shares, same).withColumn("__share", F.pmod(F.xxhash64("__hook"), F.col("__shares")))
+    # Key blocks are worked out per group of hooks, before the join multiplies the rows.
+    groups = dealt.groupBy(*same, "__share").agg(F.collect_list("__hook").alias("__hooks"))
+    groups = groups.select("__tenant", "__type", "__hooks", F.when(F.col("__secret") != "", hmac_pads(F.col("__secret"))).alias("__pads"))
     body = F.to_json(
         F.struct(
             F.col(event_type).alias("event_type"), "tenant_id", F.col("ts").cast("string").alias("timestamp"), "payload"
         )
     )
-    joined = events.join(h, (events["tenant_id"] == h["tenant_id"]) & (events[event_type] == h["__type"])).drop(h["tenant_id"])
-    signed = joined.withColumn("body", body)
+    said = events.select(*keep, F.col("tenant_id").alias("__tenant"), F.col(event_type).alias("__type"), body.alias("body"))
+    said = said.withColumn("body_sha", F.sha2("body", 256))
     signature = F.concat(F.lit("sha256="), hmac_sha256(F.col("body"), F.col("__pads")))
-    return signed.select(*keep, "hook_id", "target_url", "body", signature.alias("signature"))
+    signed = said.join(groups, ["__tenant", "__type"]).select(*keep, "body", "body_sha", signature.alias("signature"), "__hooks")
+    rows = signed.select(*keep, "body", "body_sha", "signature", F.explode("__hooks").alias("__hook"))
+    return rows.select(*keep, "__hook.hook_id", "__hook.target_url", "body", "body_sha", "signature")
 
 
 def hook_id(target_url: Column, tenant: Column) -> Column:

@@ -1053,7 +1053,7 @@ _PAD = {m: "".join(f"\\x{(b ^ m):02X}" for b in b"s3cret".ljust(64, b"\0")) for
 def webhook_routes(spark, sf):
     e = view(spark, sf, "ledger_rows").select("seq", F.concat(F.lit("t"), F.col("seq") % 5000).alias("tenant_id"), F.col("action").alias("event_type"), F.col("us").alias("ts"), F.col("user_id").alias("payload"))
     r = metrics.route_webhooks(e, _hooks(spark, sf), "seq")
-    return r.select("seq", "hook_id", F.sha2("body", 256).alias("body_sha"), "signature")
+    return r.select("seq", "hook_id", "body_sha", "signature")
 
 
 @query(
